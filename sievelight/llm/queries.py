@@ -2,21 +2,64 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import decontam, huffman, packing, simhash
+from .common import shared_dir, table
+
+#: Words and windows by position; a document word is hit if a window that occurs covers it.
+OP3 = """
+with norm as (
+  select 'd' as kind, cast(doc_id as varchar) as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+  union all
+  select 'b', cast(item_id as varchar), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') from benchmark
+), item as (
+  select id, least(len(w), 10) as m, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from norm where kind = 'b' and len(w) > 0
+), windows as (
+  select distinct id as item_id, m, array_to_string(w[i : i + m - 1], ' ') as words from item
+), lengths as (
+  select distinct m from windows
+), place as (
+  select n.id, l.m, n.w, unnest(range(1, len(n.w) - l.m + 2)) as i from norm n, lengths l where n.kind = 'd' and len(n.w) >= l.m
+), found as (
+  select p.id, p.i, p.m, x.item_id from (select id, i, m, array_to_string(w[i : i + m - 1], ' ') as words from place) p join windows x on p.m = x.m and p.words = x.words
+), covered as (
+  select id, count(distinct j) as n_hit from (select id, unnest(range(i, i + m)) as j from (select distinct id, i, m from found)) group by id
+), named as (
+  select id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names from (select distinct id, item_id from found) group by id
+)
+select d.doc_id, cast(len(n.w) as bigint) as n_words, coalesce(c.n_hit, 0) as n_hit, coalesce(x.n_items, 0) as n_items,
+  sha256(coalesce(x.names, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
+from documents d join norm n on n.kind = 'd' and n.id = cast(d.doc_id as varchar) left join covered c on c.id = n.id left join named x on x.id = n.id
+"""
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/sievelight-tokens-{uuid.uuid4().hex}"
+    huffman.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return huffman.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": OP3}
