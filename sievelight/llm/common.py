@@ -33,6 +33,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with `at`: 0, 1, ... in the given order, over all rows; stored once.
+
+    Rows are range-partitioned and sorted, so that no key's rows need to fit one task; what is collected is a row a partition.
+    """
+    spark = df.sparkSession
+    kept = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, rows = 0, []
+    for r in kept.groupBy(part.alias("part")).count().orderBy("part").collect():
+        rows.append((r["part"], before))
+        before += r["count"]
+    starts = F.broadcast(spark.createDataFrame(rows, "_part long, _before long"))
+    return kept.withColumn("_part", part).join(starts, "_part").withColumn("at", inside + F.col("_before")).drop("_at", "_part", "_before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

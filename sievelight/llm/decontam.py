@@ -86,9 +86,20 @@ def joined(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _items(benchmark: DataFrame, most_bytes: int) -> tuple[DataFrame, int]:
+    """The items, and how many automata they are dealt to by their size."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
+    total = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + F.length("item_id"))).first()[0] or 0
+    return items, -(-total // (most_bytes // 2)) if total > most_bytes else 1
+
+
+def _held(items: DataFrame) -> list[tuple[str, bytes | None]]:
+    return [(r["item_id"], None if r["text"] is None else bytes(r["text"])) for r in items.collect()]
+
+
 def _searched(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """docs with n_words, hits and items (sorted names) added; items fit one automaton, so they may be collected and sent out."""
-    shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], None if r["text"] is None else bytes(r["text"])) for r in items.collect()])
+    shared = docs.sparkSession.sparkContext.broadcast(_held(items))
     tables: list[Windows] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,10 +126,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_byt
     Repeated rows come back as often as they came; empty tables give no rows (docs) or no hits (benchmark). A benchmark over most_bytes
     is dealt to several automata by item; the hits of their passes are put together a row.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
-    total = items.agg(F.sum(F.length("text") + F.length("item_id"))).first()[0] or 0
+    items, groups = _items(benchmark, most_bytes)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    groups = -(-total // (most_bytes // 2)) if total > most_bytes else 1
     if groups == 1:
         return _searched(texts, items, size)
     texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
@@ -136,6 +145,30 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_byt
     return per_row.mapInArrow(run, "row long, doc_id long, n_words long, hits array<long>, items array<string>").drop("row")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs, in the same columns: one pass an automaton, without a shuffle."""
+    items, groups = _items(benchmark, most_bytes)
+    out = docs
+    for g in range(groups):
+        part = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)
+        shared = docs.sparkSession.sparkContext.broadcast(_held(part))
+        out = out.mapInArrow(_cleaner(shared, size), docs.schema)
+    return out
+
+
+def _cleaner(shared, size: int):
+    tables: list[Windows] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tables:
+            tables.append(Windows(shared.value, size))
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array([not tables[0].search(words((t or "").encode(errors="surrogatepass")))[1] for t in texts], pa.bool_()))
+
+    return run
+
+
 def judged(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs."""
     n_hit = F.aggregate(F.sequence(F.lit(1), F.size("hits")), F.lit(0).cast("long"), lambda acc, i: acc + F.when(i % 2 == 0, F.element_at("hits", i)).otherwise(-F.element_at("hits", i)))

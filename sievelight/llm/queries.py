@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, huffman, packing, simhash
-from .common import shared_dir, table
+from . import chat, decontam, editprint, huffman, language, packing, quality, secrets, simhash, urls
+from .common import shared_dir, stored, table
 
 #: Words and windows by position; a document word is hit if a window that occurs covers it.
 OP3 = """
@@ -39,6 +39,81 @@ from documents d join norm n on n.kind = 'd' and n.id = cast(d.doc_id as varchar
 """
 
 
+#: Positions from the gaps between matches; weak candidates against all parts of their document.
+OP4 = f"""
+with doc as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+), scan(scan, pattern) as (values {", ".join(f"({k}, '" + p.replace("'", "''") + "')" for k, p in enumerate(secrets.SCANS))}
+), matched as (
+  select r, scan, regexp_extract_all(t, pattern) as m, regexp_split_to_array(t, pattern) as g from doc, scan where regexp_matches(t, pattern)
+), one as (
+  select r, scan, unnest(range(1, len(m) + 1)) as i, m, g from matched
+), placed as (
+  select r, scan, m[i] as s, sum(length(g[i]) + length(m[i])) over (partition by r, scan order by i) as b from one
+), valued as (
+  select r, scan, s, b, length(regexp_extract(s, '{secrets.ASSIGN.replace("'", "''")}', 2)) as v from placed
+), kinds as (
+  select r, b - length(s) as a, b, case scan when 0 then if(v >= 8, 0, -1) when 1 then 1 when 2 then 2 else
+    case when regexp_matches(s, '^{(secrets.KEYWORD + secrets.SETS).replace("'", "''")}[A-Za-z0-9+/_.=-]') then if(v between 4 and 7, 4, -1)
+         when regexp_matches(s, '^{secrets.ACCOUNT.replace("'", "''")}') then 3
+         when regexp_matches(s, '^{secrets.ENDPOINT.replace("'", "''")}') then 6
+         when regexp_matches(s, '[0-9]') and regexp_matches(s, '[a-z]') and regexp_matches(s, '[A-Z]') and not regexp_matches(s, '{secrets.ACCESS}|{secrets.HEX}') then 5
+         else -1 end end as kind from valued
+), spans as (
+  select r, kind, a, b, {list(secrets.PARTS)}[kind + 1] as part from kinds where kind >= 0
+), linked as (
+  select x.r, x.kind, x.a, x.b from spans x join spans y on x.r = y.r and y.a < x.b + {secrets.SCOPE} and y.b > x.a - {secrets.SCOPE} and x.part <> y.part
+  where x.kind >= {secrets.WEAK_FROM} group by x.r, x.kind, x.a, x.b, x.part
+  having case x.part when 'access' then bool_or(y.part = 'secret') when 'secret' then bool_or(y.part = 'access') else bool_or(y.part = 'access') and bool_or(y.part = 'secret') end
+), told as (
+  select r, kind, a, b, concat({list(secrets.KINDS)}[kind + 1], ':', a, ':', b) as s from (select r, kind, a, b from spans where kind < {secrets.WEAK_FROM} union all select * from linked)
+), summed as (
+  select r, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+    string_agg(s, ',' order by a, kind) filter (kind < {secrets.WEAK_FROM}) as base, string_agg(s, ',' order by a, kind) as spans from told group by r
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from doc left join summed using (r)
+"""
+
+#: Every rule and every listed name against every page.
+OP8 = """
+with u as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), h as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u
+), known(h, p, verdict, ruled) as (
+  values ('net', '/', 'block', true), ('example.net', '/en/', 'allow', true), ('example.com', '/de/', 'block', true), ('org', '/fr/', 'allow', true)
+  union all select n || '.' || d, '/', 'block', false
+  from (values ('adult-x'), ('ads-track'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) a(n), (values ('example.com'), ('example.net'), ('example.org')) b(d)
+), fit as (
+  select h.page_id, k.h || k.p as entry, k.verdict, k.ruled from h join known k on (h.host = k.h or h.host like '%.' || k.h) and starts_with(h.path, k.p)
+), best as (
+  select page_id, max_by(entry, length(entry)) filter (ruled) as rule, max_by(verdict, length(entry)) filter (ruled) as ruled,
+    max_by(entry, length(entry)) filter (not ruled) as listed, max_by(verdict, length(entry)) filter (not ruled) as unruled from fit group by page_id
+)
+select h.page_id, h.host, h.path, b.rule, coalesce(b.ruled, b.unruled, 'allow') as verdict, b.listed from h left join best b using (page_id)
+"""
+
+
+def _escaped_sql(c: str) -> str:
+    c = f"replace({c}, '\\', '\\\\')"
+    for s in chat.CONTROL:
+        c = f"replace({c}, '{s}', '{s[0]}\\{s[1:]}')"
+    return c
+
+
+OP9 = f"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length({_escaped_sql("role")}) + length({_escaped_sql("text")}) + {len(chat.TURN + chat.SAYS + chat.END)}) as bigint) as formatted_chars
+from c group by conv_id
+"""
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -53,13 +128,49 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.judged(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+#: Host and path, verdict: these decide before any list.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: Listed names of advertisers and the like, under each of the domains.
+URL_LISTED = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+URL_DOMAINS = ("example.com", "example.net", "example.org")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = [(e, v, True) for e, v in URL_RULES] + [(f"{n}.{d}/", "block", False) for n in URL_LISTED for d in URL_DOMAINS]
+    entries = spark.createDataFrame(known, "entry string, verdict string, rule boolean")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), entries).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
+    return chat.report(stored(chat.format_trees(chat.as_tree(turns)), "chats"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3}
+    return {"op3_decontamination": OP3, "op4_secrets": OP4, "op8_url_filter": OP8, "op9_chat": OP9}
