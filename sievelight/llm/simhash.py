@@ -172,11 +172,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 46, lanes: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 52, lanes: int = 4) -> DataFrame:
     """docs without those that link to a smaller doc_id, in the same columns.
 
-    Over different shingles of five words, 46 of 256 bits are the angle between sets of Jaccard similarity 0.8 (39 bits) and the
-    spread of its estimate. Of rows with one doc_id, the one whose text comes first stays (null as empty); null doc_ids all stay.
+    Over different shingles of five words, 52 of 256 bits are the angle between sets of Jaccard similarity 0.8 (39 bits) and twice
+    the spread of its estimate, so that what is that similar is caught. Of rows with one doc_id, the one whose text comes first stays (null as empty); null doc_ids all stay.
     """
     found = stored(near_duplicates(docs, shingle, radius, lanes, repeats=False).select("doc_id", "component_id"), "groups")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
