@@ -1,6 +1,6 @@
 """SimHash near-duplicates: tiled exact comparison of fingerprints.
 
-Fingerprints are compared in tiles of a few thousand. Tiles are sorted by population counts (of the whole fingerprint, then of its
+Fingerprints are compared in tiles. Tiles are sorted by population counts (of the whole fingerprint, then of its
 16-bit parts); two tiles meet only if the least difference of their population counts, which no pair can undercut, is within the
 radius. What meets is compared by numpy exclusive-or and bit counts, exactly. A task keeps only as many links as connect the same
 fingerprints, so a large group of near copies costs one row a fingerprint, never one a pair.
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import components, forest, mix64, stored
 
-TILE, PART = 8192, 512
+#: Fingerprints in a tile: what pairs of tiles move is the square of all over this. They are compared in parts, which are skipped alike.
+TILE, PART = 32768, 512
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, lanes: int = 1, repeats: bool = True) -> np.ndarray:
@@ -101,7 +102,7 @@ def _tiles(distinct: DataFrame, lanes: int, tile: int) -> DataFrame:
         if held:
             yield rows(held)
 
-    n = max(1, distinct.count() // (4 * tile))
+    n = max(1, distinct.count() // tile)
     ones = sum((F.bit_count(F.conv(F.substring(F.hex("fp"), 8 * i + 1, 8), 16, 10).cast("long")) for i in range(1, 2 * lanes)), F.bit_count(F.conv(F.substring(F.hex("fp"), 1, 8), 16, 10).cast("long")))
     first = [F.bit_count(F.conv(F.substring(F.hex("fp"), 4 * i + 1, 4), 16, 10).cast("long")) for i in range(3)]
     keyed = distinct.withColumn("ones", ones).withColumns({f"c{i}": x for i, x in enumerate(first)})
@@ -180,7 +181,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 52, lanes: int
     """
     found = stored(near_duplicates(docs, shingle, radius, lanes, repeats=False).select("doc_id", "component_id"), "groups")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # it grows with docs: one plan for every size
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         first = out.where("doc_id is not null").groupBy(F.col("doc_id").alias("_")).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
         out = out.where("doc_id is null").unionByName(first.select("row.*"))
