@@ -11,6 +11,7 @@ Near duplicates are found by bands of sampled bytes and verified by all of them.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,21 +122,20 @@ class _Print:
         return text, fingerprint(np.concatenate([self.cs[:keep], more]), np.concatenate([self.left[:keep], rest]))
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What edits() returns, the digests and fingerprints as bytes until its last step.
+OUT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _row(one: _Print, other: _Print) -> tuple:
-    import hashlib
-
     text, fp = one.edited(other)
-    return one.doc_id, len(one.cs), hashlib.sha256(text.encode(errors="surrogatepass")).hexdigest(), one.fp.hex(), fp.hex(), likeness(one.fp, fp), likeness(one.fp, other.fp)
+    return one.doc_id, len(one.cs), hashlib.sha256(text.encode(errors="surrogatepass")).digest(), one.fp, fp, likeness(one.fp, fp), likeness(one.fp, other.fp)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.binary()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 _ENDS = pa.schema([*_ARROW, ("part", pa.int64()), ("head", pa.bool_()), ("text", pa.string())])
 
 
@@ -190,7 +190,8 @@ def edits(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(rows, _ARROW)
 
-    return first.where("part is null").drop("part", "head", "text").unionByName(pairs.mapInArrow(finish, OUT))
+    both = first.where("part is null").drop("part", "head", "text").unionByName(pairs.mapInArrow(finish, OUT))
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.5, bands: int = BANDS, tile: int = TILE) -> DataFrame:
