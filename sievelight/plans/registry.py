@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import inspection, telemetry, words
+
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (inspection, telemetry, words)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for part in PARTS for k, f in part.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in PARTS for k, s in part.SQL.items()}
