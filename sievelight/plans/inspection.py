@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import stats, vectors
-from ..operators import coreset, gates, knn, maps
+from ..operators import coreset, gates, knn, maps, twin
 from ..params import DEFAULT
 from ..sources.shared import stored, table
 
@@ -314,3 +314,13 @@ def parity(spark, sf_dir):
     x = rows(spark, sf_dir).select("twin", F.explode("f").alias("a")).withColumn("b", F.round("a", 2))
     s = x.groupBy("twin").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"), F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("dd"))
     return s.select("twin", F.round(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")), 6).alias("cosine"), F.round(F.sqrt("dd") / F.sqrt("aa"), 6).alias("relative"))
+
+
+@query()
+def teach_and_judge(spark, sf_dir):
+    """Each part taught from all its frames as maps, and all frames shown to their own part and to the next."""
+    cov = F.array(*(F.lit(1.0 if r in (1, 2) and c in (1, 2) else 0.25) for r in range(4) for c in range(4)))
+    frames = rows(spark, sf_dir).select("twin", F.col("id").alias("frame"), (F.col("id") * 100).alias("t_ms"), F.lit("OK").alias("sanity"), F.aggregate("f", F.lit(0.0), lambda a, x: a + x * x).alias("sharpness"), "f", cov.alias("cov"))
+    taught = twin.teach(frames, twin.Grid(4, 4, 4), 8)
+    own, wrong = frames.withColumn("frame", F.col("frame") * 2), frames.withColumn("frame", F.col("frame") * 2 + 1).withColumn("twin", (F.col("twin") + 1) % 10)
+    return twin.judge(taught, own.unionByName(wrong), twin.Grid(4, 4, 4))

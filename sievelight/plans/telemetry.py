@@ -11,6 +11,8 @@ from ..operators import gates
 from ..operators import telemetry as t
 from ..params import DEFAULT
 from ..sources.shared import stored, table
+from ..streaming import governor, tracker
+from ..streaming.run import run_available
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -198,3 +200,24 @@ def replay_matches(spark, sf_dir):
 def event_auroc(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("s", (F.col("user_id") % 97).cast("double")).withColumn("high", F.col("value") > 50)
     return stats.auroc(stored(e, "events"), "s", "high", ["event_type"]).select("event_type", "n_pos", "n_neg", F.round("auroc", 6).alias("auroc"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("user_id").alias("stream"), "t_ms", (F.col("event_id") % 7 % 4).cast("int").alias("status"), (F.col("value") / 100).alias("headroom"))
+
+
+@query()
+def governor_levels(spark, sf_dir):
+    """Levels of each user's stream of samples, by the streaming operator."""
+    return run_available(samples(spark, sf_dir), governor.governed, "governor")
+
+
+@query()
+def tracker_events(spark, sf_dir):
+    """Each user's events as detections that drift over the line: triggers and exits of the streaming tracker."""
+    e = events(spark, sf_dir)
+    first = e.groupBy("user_id").agg(F.min("t_ms").alias("t0"))
+    order = F.row_number().over(W.partitionBy("user_id").orderBy("t_ms", "event_id"))
+    det = e.join(first, "user_id").withColumn("k", order)
+    shaped = det.select(F.col("user_id").alias("stream"), (F.col("k") * 33).cast("long").alias("t_ms"), (F.col("k") * 10 % 330).cast("double").alias("x"), (F.col("user_id") % 200 + 20).cast("double").alias("y"), F.lit(900.0).alias("area"), F.abs("value").alias("sharp"), F.lit(False).alias("border"))
+    return run_available(shaped, tracker.tracked, "tracker")

@@ -20,8 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/sievelight-{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/sievelight-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
