@@ -87,12 +87,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step over links (u > v). The only join is on u with one row a node at its other side, so a hub's rows can be split."""
+    """One large-star or small-star step over links (u > v). The smallest neighbours are stored first, so that the join on u is a join of
+    two tables, and Spark splits the rows of a hub over tasks."""
     if large:
         around = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = links
-    low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = stored(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lows")
     moved = around.join(low, "u")
     if large:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import components, forest, mix64, stored
 
 #: Fingerprints in a tile: what pairs of tiles move is the square of all over this. They are compared in parts, which are skipped alike.
-TILE, PART = 32768, 512
+TILE, PART, MOST_TASKS = 32768, 512, 20_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, lanes: int = 1, repeats: bool = True) -> np.ndarray:
@@ -127,7 +127,9 @@ def links(distinct: DataFrame, radius: int, lanes: int = 1, tile: int = TILE) ->
                 if len(u):
                     yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return both.repartition(F.col("tile"), F.col("other")).mapInArrow(run, "u long, v long")
+    n = tiles.count()
+    # by how many pairs there are, not by their bytes: comparing is what takes time
+    return both.repartition(max(1, min(MOST_TASKS, n * (n + 1) // 2)), "tile", "other").mapInArrow(run, "u long, v long")
 
 
 def _compare(r: dict, radius: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
