@@ -26,11 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: its lineage ends there, and lost executors cost only single tasks."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/sievelight-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back: its lineage ends there, and lost executors cost only single tasks."""
+    return written(df, name)[0]
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Tables that nothing reads any more, deleted in whatever file system they are."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
@@ -86,33 +97,41 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[top[rest]], nodes[rest]
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step over links (u > v). The smallest neighbours are stored first, so that the join on u is a join of
-    two tables, and Spark splits the rows of a hub over tasks."""
+def _star(links: DataFrame, large: bool) -> tuple[DataFrame, list[str]]:
+    """One large-star or small-star step over links (u > v), and the tables that it has written.
+
+    The smallest neighbours are stored first, so that the join on u is one of two tables, and Spark splits the rows of a hub over tasks.
+    """
     if large:
         around = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = links
-    low = stored(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lows")
+    low, low_path = written(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lows")
     moved = around.join(low, "u")
     if large:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    out, path = written(moved.where("u <> v").distinct(), "links")
+    return out, [low_path, path]
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links (u, v of type long): component is the smallest node that it reaches.
 
-    Alternates large-star and small-star steps, each round stored, until the links no longer change. Links with a null end or from
-    a node to itself say nothing and are left out; no links give no rows.
+    Alternates large-star and small-star steps, each stored, until the links no longer change; a round's tables go once the next one's
+    are written. Links with a null end or from a node to itself say nothing and are left out; no links give no rows.
     """
+    spark = links.sparkSession
     links = links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links, before = stored(links, "links"), None
+    links, path = written(links, "links")
+    before, old = None, [path]
     for _ in range(most_rounds):
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before, links = now, stored(_star(_star(links, True), False), "links")
+        wide, first = _star(links, True)
+        links, last = _star(wide, False)
+        removed(spark, [*old, *first, last[0]])
+        before, old = now, [last[1]]
     raise RuntimeError("connected components did not settle")
