@@ -127,7 +127,7 @@ def links(distinct: DataFrame, radius: int, lanes: int = 1, tile: int = TILE) ->
                 if len(u):
                     yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
 
-    n = tiles.count()
+    n = -(-distinct.count() // tile)
     # by how many pairs there are, not by their bytes: comparing is what takes time
     return both.repartition(max(1, min(MOST_TASKS, n * (n + 1) // 2)), "tile", "other").mapInArrow(run, "u long, v long")
 
