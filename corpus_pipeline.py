@@ -15,8 +15,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return simhash.one_of_each(docs, shingle=5, radius=52, lanes=4)
+    """One document of each group of near copies (links of a Jaccard similarity of 0.8 at least) stays: the one with the smallest doc_id."""
+    return simhash.one_of_each(docs, shingle=5, radius=60, lanes=4)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

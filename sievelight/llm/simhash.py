@@ -16,27 +16,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, mix64, stored
+from .common import components, forest, mix64, numbered, stored
 
 #: Fingerprints in a tile: what pairs of tiles move is the square of all over this. They are compared in parts, which are skipped alike.
 TILE, PART, MOST_TASKS = 32768, 512, 20_000
+#: Sets of LEAST to FEW shingles differ in one from what is 0.8 similar, if one holds the other, or not at all.
+LEAST, FEW = 5, 9
+#: Bytes of shingles, and sets, that are compared with as many at once, and the columns of such a row.
+BUNDLE_BYTES, MOST_SETS = 4 << 20, 4096
+BUNDLE = ["bundle", "lo", "hi", "component", "n", "node", "fps", "hashes"]
 
 
-def fingerprint(text: bytes | None, shingle: int = 4, lanes: int = 1, repeats: bool = True) -> np.ndarray:
-    """lanes 64-bit words: bit set if it is in over half of the shingles' hashes. Lane 0 has XXH64 with seed 42; others scramble it.
-    Without repeats each different shingle counts once."""
+def shingles(text: bytes | None, shingle: int = 4, repeats: bool = True) -> np.ndarray:
+    """XXH64 (seed 42) of each run of shingle words; without repeats, each different one once, in ascending order."""
     words = (text or b"").lower().split()
     if not words:
-        return np.zeros(lanes, np.uint64)
+        return np.empty(0, np.uint64)
     joined, n = b" ".join(words), len(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, n)
     xx = xxhash.xxh64_intdigest
     h = np.fromiter((xx(joined[a:b], 42) for a, b in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n - k + 1)
-    h = h if repeats else np.unique(h)
-    out = np.empty(lanes, np.uint64)
-    for lane in range(lanes):
+    return h if repeats else np.unique(h)
+
+
+def fingerprint(text: bytes | None, shingle: int = 4, lanes: int = 1, repeats: bool = True) -> np.ndarray:
+    """lanes 64-bit words: bit set if it is in over half of the shingles' hashes. Lane 0 has XXH64 with seed 42; others scramble it.
+    Without repeats each different shingle counts once."""
+    return majority(shingles(text, shingle, repeats), lanes)
+
+
+def majority(h: np.ndarray, lanes: int) -> np.ndarray:
+    """The fingerprint of the shingles' hashes; zero where there are none."""
+    out = np.zeros(lanes, np.uint64)
+    for lane in range(lanes if len(h) else 0):
         own = mix64(h + np.uint64(0x9E3779B97F4A7C15 * lane % 2**64)) if lane else h
         ones = np.zeros(64, np.int64)
         for i in range(0, len(own), 1 << 16):
@@ -72,9 +86,9 @@ def near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndar
     d = np.zeros((len(a), len(b)), np.uint16)
     for lane in range(a.shape[1]):
         d += np.bitwise_count(a[:, lane, None] ^ b[None, :, lane])
-        if lane == 1 and a.shape[1] > 2:  # few random pairs are left after two lanes
+        if lane and lane + 1 < a.shape[1] and 32 * (lane + 1) - 8 * (lane + 1) ** 0.5 > radius:  # few random pairs are left
             i, j = np.nonzero(d <= radius)
-            d = d[i, j] + np.bitwise_count(a[i, 2:] ^ b[j, 2:]).sum(1, dtype=np.uint16)
+            d = d[i, j] + np.bitwise_count(a[i, lane + 1 :] ^ b[j, lane + 1 :]).sum(1, dtype=np.uint16)
             return i[d <= radius], j[d <= radius]
     return np.nonzero(d <= radius)
 
@@ -175,13 +189,139 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 52, lanes: int = 4) -> DataFrame:
-    """docs without those that link to a smaller doc_id, in the same columns.
+def _sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """Of every row: doc_id, its set of different shingles (by a 128-bit digest), their number n and fingerprint; of sets of
+    LEAST to FEW shingles also less, the digests of the sets without one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(len(h), _digest(h), majority(h, lanes).astype(">u8").tobytes(), [_digest(np.delete(h, i)) for i in range(len(h))] if LEAST <= len(h) <= FEW else None) for h in (shingles(t, shingle, False) for t in b.column("text").to_pylist())]
+            ns, digests, fps, less = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.record_batch([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(less, pa.list_(pa.binary()))], ["doc_id", "set", "n", "fp", "less"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, set binary, n long, fp binary, less array<binary>")
+
+
+def _digest(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.astype("<u8").tobytes())
+
+
+def _bundles(docs: DataFrame, members: DataFrame, shingle: int, most_bytes: int) -> DataFrame:
+    """The sets of members (set, n, fp, least, node, component) in rows of up to most_bytes of shingles (or one set) and MOST_SETS sets, by component and n."""
+    cut = max(1, int((members.agg(F.sum("n")).first()[0] or 0) * 8 // (4 * most_bytes)))
 
-    Over different shingles of five words, 52 of 256 bits are the angle between sets of Jaccard similarity 0.8 (39 bits) and twice
-    the spread of its estimate, so that what is that similar is caught. Of rows with one doc_id, the one whose text comes first stays (null as empty); null doc_ids all stay.
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, shingle, False) for t in b.column("text").to_pylist()]
+            own = pa.array([_digest(h) == d for h, d in zip(sets, b.column("set").to_pylist(), strict=True)], pa.bool_())
+            yield pa.record_batch([*(b.column(c) for c in ("component", "n", "node", "fp")), pa.array([h.tobytes() for h in sets], pa.binary())], ["component", "n", "node", "fp", "hashes"]).filter(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def row() -> pa.RecordBatch:
+            component, n, node, fp, hashes = zip(*held, strict=True)
+            return pa.record_batch([pa.array([x]) for x in (node[0], component[0], component[-1], *(np.array(x, np.int64).tobytes() for x in (component, n, node)), np.frombuffer(b"".join(fp), ">u8").astype(np.uint64).tobytes(), b"".join(hashes))], BUNDLE)
+
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("component", "n", "node", "fp", "hashes")), strict=True):
+                if held and (size + len(r[4]) > most_bytes or len(held) == MOST_SETS):
+                    yield row()
+                    held, size = [], 0
+                held.append(r)
+                size += len(r[4])
+        if held:
+            yield row()
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    of = members.select(F.col("least").alias("doc_id"), "set", "n", "fp", "node", "component")
+    # one row a node: a doc_id may come back with the same text
+    kept = texts.join(of.hint("merge"), "doc_id").select("text", "set", "component", "n", "node", "fp").mapInArrow(hashed, "component long, n long, node long, fp binary, hashes binary").dropDuplicates(["node"])
+    dealt = kept.repartitionByRange(cut, "component", "n", "node").sortWithinPartitions("component", "n", "node")
+    return dealt.mapInArrow(run, "bundle long, lo long, hi long, component binary, n binary, node binary, fps binary, hashes binary")
+
+
+def similar_links(bundles: DataFrame, radius: int, lanes: int, ratio: tuple[int, int]) -> DataFrame:
+    """Links (u, v) that connect what pairs of bundled sets connect: of one component, at most radius bits apart, with a Jaccard
+    similarity of ratio (as numerator, denominator) at least. Each pair is compared exactly, or its ends are connected already."""
+    ends = bundles.select("bundle", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c"))
+    # two bundles share at most the component at which one ends and the other begins
+    pairs = ends.join(ends.withColumnRenamed("bundle", "other"), "c").where("bundle < other").select("bundle", "other").union(bundles.select("bundle", F.col("bundle").alias("other"))).distinct()
+    both = pairs.join(bundles, "bundle").join(bundles.select(*(F.col(c).alias({"bundle": "other"}.get(c, f"{c}2")) for c in bundles.columns)), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                u, v = _similar(batch.slice(i, 1).to_pylist()[0], radius, lanes, ratio)
+                if len(u):
+                    yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return both.repartition(max(1, min(MOST_TASKS, pairs.count())), "bundle", "other").mapInArrow(run, "u long, v long")
+
+
+def _similar(r: dict, radius: int, lanes: int, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    one = r["bundle"] == r["other"]
+    (ca, na, ida, ha, fa), (cb, nb, idb, hb, fb) = ((*(np.frombuffer(r[k + x], np.int64) for k in ("component", "n", "node")), np.frombuffer(r["hashes" + x], np.uint64), np.frombuffer(r["fps" + x], np.uint64).reshape(-1, lanes)) for x in ("", "2"))
+    words, at = np.unique(np.concatenate([ha, hb]), return_inverse=True)
+    wa, wb = at[: len(ha)], at[len(ha) :]
+    ea, eb = np.concatenate([[0], np.cumsum(na)]), np.concatenate([[0], np.cumsum(nb)])
+    inside, (p, q), us, vs = np.zeros(len(words), bool), ratio, [], []
+    for c in np.intersect1d(ca, cb):
+        a, b = np.flatnonzero(ca == c), np.flatnonzero(cb == c)
+        # connected[x] are labels of a's sets, then b's; one table where both are the same sets
+        label = np.arange(len(a) if one else len(a) + len(b))
+        shift = 0 if one else len(a)
+        for start in range(0, len(a), PART):
+            near_a, near_b = near(fa[a[start : start + PART]], fb[b], radius)
+            cuts = np.searchsorted(near_a, np.arange(min(PART, len(a) - start) + 1))
+            for i in range(start, min(start + PART, len(a))):
+                j = near_b[cuts[i - start] : cuts[i - start + 1]]
+                j = j[(label[shift + j] != label[i]) & (q * np.minimum(na[a[i]], nb[b[j]]) >= p * np.maximum(na[a[i]], nb[b[j]]))]
+                if one:
+                    j = j[j > i]
+                if not len(j):
+                    continue
+                own, sizes = wa[ea[a[i]] : ea[a[i] + 1]], nb[b[j]]
+                inside[own] = True
+                common = np.add.reduceat(inside[np.concatenate([wb[eb[k] : eb[k + 1]] for k in b[j]])], np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+                inside[own] = False
+                j = j[(p + q) * common >= p * (len(own) + sizes)]
+                if len(j):
+                    joined = np.unique(label[shift + j])
+                    us.append(np.full(len(joined), ida[a[i]]))
+                    vs.append(idb[b[j[np.unique(label[shift + j], return_index=True)[1]]]])
+                    label[np.isin(label, joined)] = label[i]
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def groups(docs: DataFrame, shingle: int = 5, radius: int = 60, lanes: int = 4, ratio: tuple[int, int] = (4, 5)) -> DataFrame:
+    """doc_id, set (digest of its different shingles) and component_id of every row of docs with a doc_id: the smallest doc_id that links
+    reach. A link is a Jaccard similarity of ratio at least, of exact sets.
+
+    Fingerprints only search: sets within radius, and what they connect, meet again in _similar, which compares their shingles.
+    Sets of LEAST to FEW shingles that are one more or one less than another's don't need the search: they are joined by digests.
+    """
+    rows = stored(_sets(docs, shingle, lanes).where("doc_id is not null"), "sets")
+    distinct = numbered(rows.groupBy("set", "n", "fp").agg(F.min("doc_id").alias("least"), F.first("less").alias("less")), "distinct", "set").withColumnRenamed("at", "node")
+    distinct = stored(distinct, "numbered")
+    search = components(links(distinct.where("n > 0").select("fp", "node"), radius, lanes))
+    members = stored(distinct.drop("less").join(search.hint("merge"), "node"), "members")
+    bundles = stored(_bundles(docs, members, shingle, BUNDLE_BYTES), "bundles")
+    less = distinct.where("less is not null").select(F.col("node").alias("v"), F.explode("less").alias("set"))
+    few = less.join(distinct.select("set", F.col("node").alias("u")), "set").select("u", "v")
+    found = components(similar_links(bundles, radius, lanes, ratio).union(few))
+    of = stored(distinct.select("set", "least", "node").join(found.hint("merge"), "node", "left").select("set", "least", F.coalesce("component", "node").alias("top")), "tops")
+    tops = of.groupBy("top").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "set").join(of.join(tops.hint("merge"), "top").select("set", "component_id").hint("merge"), "set")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 60, lanes: int = 4) -> DataFrame:
+    """docs without those that link to a smaller doc_id, in the same columns: links are Jaccard similarities of 0.8 at least.
+
+    Over different shingles of five words, 60 of 256 bits are the angle between sets of Jaccard similarity 0.8 (39 bits) and over three
+    times the spread of its estimate, so that what is that similar is found; what is found and less similar doesn't link. Of rows with one doc_id, the one whose text comes first stays (null as empty); null doc_ids all stay.
     """
-    found = stored(near_duplicates(docs, shingle, radius, lanes, repeats=False).select("doc_id", "component_id"), "groups")
+    found = stored(groups(docs, shingle, radius, lanes), "groups")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # it grows with docs: one plan for every size
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():

@@ -72,3 +72,62 @@ def test_small_tiles_and_empty(spark):
     assert all(got.get(i, i) == top[i] for i in range(len(fps)))
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(none).count() == 0
+
+
+def _pairs(rng):
+    """Texts in families: words changed at one end of a text give a known Jaccard similarity of different five-word shingles."""
+    word = lambda: f"v{rng.randrange(10**9)}"
+    rows = []
+    for shared, own in [(60, 20), (70, 15), (78, 11), (80, 10), (85, 7), (90, 5)]:  # shared / (shared + 2 own): 0.6, 0.7, 0.78, 0.8, 0.86, 0.9
+        for _ in range(30):
+            base = [word() for _ in range(shared + 4)]
+            rows += [" ".join(base + [word() for _ in range(own)]) for _ in range(2)]
+    for n in range(1, 22):  # very short: n words against n and one or two more, and with another word at the end
+        for _ in range(8):
+            base = [word() for _ in range(n)]
+            rows += [" ".join(base), " ".join([*base, word()]), " ".join([*base, word(), word()]), " ".join([*base[:-1], word()])]
+    return rows
+
+
+def _similar_groups(texts):
+    sets = [set(simhash.shingles(t.encode(), 5, False).tolist()) for t in texts]
+    holders, top = {}, list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for h in s:
+            holders.setdefault(h, []).append(i)
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for near in holders.values():
+        for i in near:
+            for j in near:
+                if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    a, b = sorted((find(i), find(j)))
+                    top[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_only_what_is_similar_enough_links(spark):
+    texts = _pairs(random.Random(8))
+    random.Random(9).shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = _similar_groups(texts)
+    assert {r.doc_id: r.component_id for r in simhash.groups(df).collect()} == dict(enumerate(want))
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [i for i, x in enumerate(want) if i == x]
+
+
+def test_one_group_over_many_bundles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUNDLE_BYTES", 8 * 400)
+    rng = random.Random(10)
+    base = [f"v{i}" for i in range(100)]
+    texts = []
+    for _ in range(60):  # from one base: some pairs are similar enough, others near by fingerprint alone
+        t = list(base)
+        for k in rng.sample(range(100), rng.randint(0, 3)):
+            t[k] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.groups(df).collect()} == dict(enumerate(_similar_groups(texts)))
