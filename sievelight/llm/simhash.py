@@ -295,8 +295,8 @@ def _similar(r: dict, radius: int, lanes: int, ratio: tuple[int, int]) -> tuple[
 
 
 def groups(docs: DataFrame, shingle: int = 5, radius: int = 60, lanes: int = 4, ratio: tuple[int, int] = (4, 5)) -> DataFrame:
-    """doc_id, set (digest of its different shingles) and component_id of every row of docs with a doc_id: the smallest doc_id that links
-    reach. A link is a Jaccard similarity of ratio at least, of exact sets.
+    """doc_id, set (digest of its different shingles), top (number of the component) and component_id of every row of docs with a doc_id:
+    the smallest doc_id that links reach, which components share where a doc_id has several texts. A link is a Jaccard similarity of ratio at least, of exact sets.
 
     Fingerprints only search: sets within radius, and what they connect, meet again in _similar, which compares their shingles.
     Sets of LEAST to FEW shingles that are one more or one less than another's don't need the search: they are joined by digests.
@@ -312,19 +312,34 @@ def groups(docs: DataFrame, shingle: int = 5, radius: int = 60, lanes: int = 4,
     found = components(similar_links(bundles, radius, lanes, ratio).union(few))
     of = stored(distinct.select("set", "least", "node").join(found.hint("merge"), "node", "left").select("set", "least", F.coalesce("component", "node").alias("top")), "tops")
     tops = of.groupBy("top").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "set").join(of.join(tops.hint("merge"), "top").select("set", "component_id").hint("merge"), "set")
+    return rows.select("doc_id", "set").join(of.join(tops.hint("merge"), "top").select("set", "top", "component_id").hint("merge"), "set")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 60, lanes: int = 4) -> DataFrame:
     """docs without those that link to a smaller doc_id, in the same columns: links are Jaccard similarities of 0.8 at least.
 
     Over different shingles of five words, 60 of 256 bits are the angle between sets of Jaccard similarity 0.8 (39 bits) and over three
-    times the spread of its estimate, so that what is that similar is found; what is found and less similar doesn't link. Of rows with one doc_id, the one whose text comes first stays (null as empty); null doc_ids all stay.
+    times the spread of its estimate, so that what is that similar is found; what is found and less similar doesn't link. Of rows with one doc_id, the one whose text comes first
+    stays (null as empty) of those that don't link to a smaller doc_id that stays; null doc_ids all stay.
     """
     found = stored(groups(docs, shingle, radius, lanes), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # it grows with docs: one plan for every size
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = out.where("doc_id is not null").groupBy(F.col("doc_id").alias("_")).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
-        out = out.where("doc_id is null").unionByName(first.select("row.*"))
-    return out
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.limit(1).count():
+        gone = found.where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # it grows with docs: one plan for every size
+    # a doc_id that comes again: its rows go by their own text, and what it doesn't keep doesn't stand for others' copies
+    digest = F.pandas_udf(lambda texts: texts.map(lambda t: _digest(shingles(t, shingle, False))), "binary")
+    own = docs.join(again.hint("merge"), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("first"))
+    own = stored(own.withColumn("set", digest(F.col("first").cast("binary"))), "again")
+    alive = found.select("doc_id", "set", "top").distinct()
+    while True:
+        least = alive.groupBy("top").agg(F.min("doc_id").alias("doc_id"))
+        kept = stored(alive.join(least.hint("merge"), ["top", "doc_id"]).select("doc_id", "set"), "kept")
+        firsts = own.join(kept.withColumnRenamed("doc_id", "id").hint("merge"), ["id", "set"]).groupBy("id").agg(F.min_by(F.struct("row", "set"), "first").alias("x"))
+        firsts = stored(firsts.select(F.col("id").alias("doc_id"), "x.set", "x.row"), "firsts")
+        others = kept.join(firsts.select("doc_id"), "doc_id", "left_semi").join(firsts.select("doc_id", "set"), ["doc_id", "set"], "left_anti")
+        if not others.limit(1).count():
+            break
+        alive = stored(alive.join(others.hint("merge"), ["doc_id", "set"], "left_anti"), "alive")
+    single = docs.join(kept.join(again, "doc_id", "left_anti").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    return single.unionByName(docs.where("doc_id is null")).unionByName(firsts.select("row.*"))

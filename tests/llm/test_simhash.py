@@ -131,3 +131,13 @@ def test_one_group_over_many_bundles(spark, monkeypatch):
         texts.append(" ".join(t))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in simhash.groups(df).collect()} == dict(enumerate(_similar_groups(texts)))
+
+
+def test_rows_of_one_doc_id_go_by_their_own_text(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (3, a), (3, b), (3, b), (5, c), (5, d), (7, d), (8, c), (None, a)]
+    df = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, lang string").repartition(3)
+    out = simhash.one_of_each(df)
+    # 3 loses its copy of 1, not b; 5 keeps c alone, so 7 is the one that holds d
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (3, b), (5, c), (7, d), (None, a)], key=str)
