@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from .common import LOWER, UPPER, stored
 
@@ -56,15 +57,16 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and x (array of features) of every row of docs."""
+def featured(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id and x (array of features) of every row of docs; whole keeps all columns instead, with the features as __x."""
+    own, name = (docs, "__x") if whole else (docs.select(F.col("doc_id").cast("long"), "text"), "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "x"])
+            x = pa.array([features(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.list_(pa.float32()))
+            yield pa.record_batch([*b.columns, x], [*b.schema.names, name]) if whole else pa.record_batch([b.column("doc_id"), x], ["doc_id", name])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<float>")
+    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(name, ArrayType(FloatType()))]) if whole else "doc_id long, x array<float>")
 
 
 @dataclass(frozen=True)
@@ -132,30 +134,20 @@ def learn(feats: DataFrame, labels: DataFrame, usable: Column, most: int = MOST_
     return found, float(low / (n[True] + n[False]))
 
 
-def strengths(feats: DataFrame, ranking: Ranking | None) -> DataFrame:
-    """doc_id and strength of every row of feats; all 0 without a ranking."""
-    if ranking is None:
-        return feats.select("doc_id", F.lit(0.0).alias("strength"))
-    mean, spread, weights = np.array(ranking.mean), np.array(ranking.spread), np.array(ranking.weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(mean))
-                yield pa.record_batch([b.column("doc_id"), pa.array(standard(x, mean, spread) @ weights)], ["doc_id", "strength"])
+def strength(x: Column, ranking: Ranking) -> Column:
+    """The strength of features x, summed in index order: equal texts have equal ones, wherever and however often they are computed."""
+    terms = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(s).alias("s"), F.lit(w).alias("w")) for m, s, w in zip(ranking.mean, ranking.spread, ranking.weights, strict=True)))
+    parts = F.zip_with(x.cast("array<double>"), terms, lambda v, t: F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (v - t["m"]) / t["s"])) * t["w"])
+    return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v)
 
-    return feats.mapInArrow(run, "doc_id long, strength double")
 
-
-def _judge(docs: DataFrame, labels: DataFrame, usable: Column | None, most: int) -> tuple[DataFrame, Ranking | None, float]:
-    """(doc_id and strength of every row of docs, the ranking, the strength at the quantile)."""
-    feats = stored(featured(docs), "quality")
+def _judge(feats: DataFrame, labels: DataFrame, usable: Column | None, most: int) -> tuple[Ranking | None, float]:
+    """The ranking, and the strength at the quantile over all of feats (doc_id, x)."""
     ranking, share = learn(feats, labels, F.lit(True) if usable is None else usable, most)
-    raw = strengths(feats, ranking)
     if ranking is None:
-        return raw, None, 0.0
-    raw = stored(raw, "strengths")
-    return raw, ranking, raw.agg(F.percentile_approx("strength", F.lit(share), F.lit(100_000))).first()[0] or 0.0
+        return None, 0.0
+    edge = feats.select(strength(F.col("x"), ranking).alias("s")).agg(F.percentile_approx("s", F.lit(share), F.lit(100_000))).first()[0]
+    return ranking, float(edge or 0.0)
 
 
 def scored(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most: int = MOST_LABELLED) -> DataFrame:
@@ -165,8 +157,11 @@ def scored(docs: DataFrame, labels: DataFrame, usable: Column | None = None, mos
     are scored like any other; equal texts have equal scores; repeated rows come back as often as they came. Without labels of both
     sides all strengths are equal, every score is CUT and every document is kept. An empty table gives no rows.
     """
-    raw, _, edge = _judge(docs, labels, usable, most)
-    over = F.col("strength") - F.lit(float(edge))
+    feats = stored(featured(docs), "quality")
+    ranking, edge = _judge(feats, labels, usable, most)
+    over = F.lit(0.0) if ranking is None else strength(F.col("x"), ranking) - F.lit(edge)
+    raw = feats.select("doc_id", over.alias("over"))
+    over = F.col("over")
     good = (over >= 0).cast("int")
     score = 1 / (1 + F.exp(-(over + F.lit(float(np.log(CUT / (1 - CUT)))))))
     return raw.select("doc_id", F.when(good == 1, F.greatest(score, F.lit(CUT))).otherwise(F.least(score, F.lit(CUT - 1e-9))).alias("score"), good.alias("predicted"))
@@ -185,16 +180,11 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """The rows of docs that are not rejected, in the same columns. Each row is judged again where it lies, so no text is shuffled."""
-    _, ranking, edge = _judge(docs, labels, None, most)
-    if ranking is None:
-        return docs
-    mean, spread, weights = np.array(ranking.mean), np.array(ranking.spread), np.array(ranking.weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.array([features(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], np.float32).astype(float)
-                yield b.filter(pa.array(standard(x, mean, spread) @ weights >= edge))
+    """The rows of docs that are not rejected, in the same columns; no text is shuffled and each is read once.
 
-    return docs.mapInArrow(run, docs.schema)
+    Null texts count as empty and are judged like any other, rows with a null doc_id too; repeated rows go or stay together. Without
+    labels of both sides every row stays; an empty table gives no rows. Texts are read whole, however long. A column named __x would clash.
+    """
+    held = stored(featured(docs, whole=True), "quality")
+    ranking, edge = _judge(held.select(F.col("doc_id").cast("long"), F.col("__x").alias("x")), labels, None, most)
+    return (held if ranking is None else held.where(strength(F.col("__x"), ranking) >= F.lit(edge))).select(*docs.columns)

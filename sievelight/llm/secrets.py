@@ -114,10 +114,11 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with each reported span of text replaced by [kind], and n_chars counted anew where such a column is.
 
     All rows stay, as often as they came, in the same columns; a null text stays null. Spans that overlap are replaced together, by the
-    first one's kind. Only texts that have a token are stored and joined; all others pass through untouched.
+    first one's kind. Patterns are looked for once in each text; only texts that have a token are joined, all others pass through untouched.
+    Empty and very long texts are read whole; an empty table gives no rows. Columns named __row, __hit and __spans would clash.
     """
-    hit = F.coalesce(F.col("text").rlike(WEAK), F.lit(False))
-    held = stored(docs.where(hit).withColumn("__row", F.monotonically_increasing_id()), "redact")
+    flagged = stored(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hit": F.coalesce(F.col("text").rlike(WEAK), F.lit(False))}), "redact")
+    held = stored(flagged.where("__hit"), "redact")
     spans = _spans(_tokens_of(held.select(F.col("__row").alias("row"), "text"), "row")).withColumnsRenamed({"row": "__row", "spans": "__spans"})
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -130,7 +131,7 @@ def redact(docs: DataFrame) -> DataFrame:
     changed = held.join(spans, "__row", "left").withColumn("text", F.coalesce(F.when(F.col("__spans").isNotNull(), done), F.col("text"))).select(*docs.columns)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.where(~hit).unionByName(changed)
+    return flagged.where("not __hit").select(*docs.columns).unionByName(changed)
 
 
 def report(docs: DataFrame) -> DataFrame:
