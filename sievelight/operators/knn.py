@@ -1,8 +1,8 @@
 """Exact nearest-neighbour joins against memory banks.
 
 Queries and banks are packed into tiles of rows that share a key. Tiles of one key meet in pairs, a matrix product finds the nearest row
-of each pair, whose distance is then computed exactly, and the best over all pairs is a grouped minimum. A hot key has many tiles, so
-its work spreads over tasks; a task holds one pair of tiles at a time.
+of each pair, whose distance is then computed exactly, and the best over all pairs is a grouped minimum. Pairs are made of tile numbers
+and dealt by key and both tiles before any row follows them, so a hot key's work spreads over all tasks, each with one pair at a time.
 """
 
 from __future__ import annotations
@@ -13,18 +13,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.vectors import squared_distance
 
 TILE = 1024
 
 
-def _tiles(df: DataFrame, key: str, id_col: str, mask: str | None, vector: str, tile: int) -> DataFrame:
-    """key, tile, ids, masks and vectors of the rows; how many tiles a key gets follows from how many rows it has."""
+def _tiles(df: DataFrame, key: str, id_col: str, mask: str | None, vector: str, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(key, tile, ids, masks and vectors of the rows), (key, tiles: as many as its number of rows asks for)."""
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("id"), (F.lit(0) if mask is None else F.col(mask)).cast("long").alias("mask"), F.col(vector).cast("array<double>").alias("f"))
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("tiles"))
     dealt = rows.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    return dealt.groupBy("key", "tile").agg(F.collect_list(F.struct("id", "mask", "f")).alias("rows"))
+    return dealt.groupBy("key", "tile").agg(F.collect_list(F.struct("id", "mask", "f")).alias("rows")), sizes
+
+
+def paired(queries: tuple[DataFrame, DataFrame], banks: tuple[DataFrame, DataFrame], parts: int) -> DataFrame:
+    """key, rows and bank of every pair of tiles of a key, in that many partitions."""
+    (q, q_sizes), (b, b_sizes) = queries, banks
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    rows = q_sizes.join(b_sizes.withColumnRenamed("tiles", "others"), "key").select("key", "others", upto("tiles").alias("tile"))
+    pairs = rows.repartition(parts, "key", "tile").select("key", "tile", upto("others").alias("other"))
+    both = pairs.join(q, ["key", "tile"]).join(b.select("key", F.col("tile").alias("other"), F.col("rows").alias("bank")), ["key", "other"])
+    return both.repartition(parts, "key", "tile", "other").select("key", "rows", "bank")
 
 
 def nearest(queries: DataFrame, bank: DataFrame, key: str | tuple[str, str], query_id: str = "id", bank_id: str = "id", mask: str | None = None, vector: str = "f", how: str = "distance", own: bool = False, tile: int = TILE) -> DataFrame:
@@ -36,7 +47,7 @@ def nearest(queries: DataFrame, bank: DataFrame, key: str | tuple[str, str], que
     """
     qk, bk = (key, key) if isinstance(key, str) else key
     q = _tiles(queries, qk, query_id, mask, vector, tile)
-    b = _tiles(bank, bk, bank_id, mask, vector, tile).select("key", F.col("rows").alias("bank"))
+    b = _tiles(bank, bk, bank_id, mask, vector, tile)
     masked = mask is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +71,9 @@ def nearest(queries: DataFrame, bank: DataFrame, key: str | tuple[str, str], que
                 key_col = one.column(0).take(pa.array(np.zeros(len(first), np.int64)))
                 yield pa.record_batch([key_col, pa.array(qi[r[first]]), pa.array(exact[first]), pa.array(bi[c[first]])], ["key", "id", "best", "other"])
 
-    kind = q.schema["key"].dataType.simpleString()
-    found = q.join(b, "key").select("key", "rows", "bank").mapInArrow(run, f"key {kind}, id long, best double, other long")
+    kind = q[1].schema["key"].dataType.simpleString()
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = paired(q, b, parts).mapInArrow(run, f"key {kind}, id long, best double, other long")
     best = F.min(F.struct("best", "other")) if how == "distance" else F.max(F.struct("best", (-F.col("other")).alias("other")))
     out = found.groupBy("key", "id").agg(best.alias("b"))
     return out.select("key", "id", F.col("b.best").alias("best"), (F.col("b.other") if how == "distance" else -F.col("b.other")).alias("other"))
@@ -75,9 +87,39 @@ def _matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def nearest_sql(queries: DataFrame, bank: DataFrame, key: str, query_id: str = "id", bank_id: str = "id", mask: str | None = None, vector: str = "f") -> DataFrame:
-    """The same by a join and a grouped minimum alone: for small banks."""
+    """The same by a join and a grouped minimum alone: for small banks, and one of the two backends that a caller may choose from."""
     q = queries.select(F.col(key).alias("key"), F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("q"), (F.lit(0) if mask is None else F.col(mask)).alias("qm"))
     b = bank.select(F.col(key).alias("key"), F.col(bank_id).alias("other"), F.col(vector).cast("array<double>").alias("b"), (F.lit(1) if mask is None else F.col(mask)).alias("bm"))
     pairs = q.join(b, "key").where("qm <> bm").select("key", "id", "other", squared_distance(F.col("q"), F.col("b")).alias("best"))
     return pairs.groupBy("key", "id").agg(F.min(F.struct("best", "other")).alias("b")).select("key", "id", "b.best", "b.other")
 
+
+
+def most_alike(queries: DataFrame, bank: DataFrame, k: int, key: str, mask: str | None = "id", vector: str = "f", tile: int = TILE) -> DataFrame:
+    """key, id, place (from 1), other and sim of the k bank rows with the largest inner product with each query of their key; of equal
+    ones (to 12 decimals) the lower id first. Rows with an equal mask are passed over. The best k of each pair of tiles are merged by query."""
+    q, b = (_tiles(df, key, "id", mask, vector, tile) for df in (queries, bank))
+    masked = mask is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                (qi, qm, qf), (bi, bm, bf) = _matrix(one.column(1)), _matrix(one.column(2))
+                order = np.argsort(bi, kind="stable")
+                bi, bm, bf = bi[order], bm[order], bf[order]
+                sims = qf @ bf.T
+                sims[np.isnan(sims)] = -np.inf
+                if masked:
+                    sims[qm[:, None] == bm[None, :]] = -np.inf
+                at = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
+                r, c = np.repeat(np.arange(len(qi)), at.shape[1]), at.ravel()
+                there = np.isfinite(sims[r, c])
+                r, c = r[there], c[there]
+                key_col = one.column(0).take(pa.array(np.zeros(len(r), np.int64)))
+                yield pa.record_batch([key_col, pa.array(qi[r]), pa.array(bi[c]), pa.array((qf[r] * bf[c]).sum(1))], ["key", "id", "other", "sim"])
+
+    kind = q[1].schema["key"].dataType.simpleString()
+    found = paired(q, b, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, f"key {kind}, id long, other long, sim double")
+    place = F.row_number().over(W.partitionBy("key", "id").orderBy(F.desc(F.round("sim", 12)), "other"))
+    return found.withColumn("place", place).where(F.col("place") <= k)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.vectors import doubles, l2_normalized
 from ..params import DEFAULT, Params
 
+#: Frames that are laid out at once.
+FRAMES = 256
+
 
 def exploded(frames: DataFrame, gw: int, dim: int, vector: str = "f", keep: tuple[str, ...] = ("frame",)) -> DataFrame:
     """keep, p, r, c and f of every patch of row-major maps."""
@@ -16,41 +24,103 @@ def exploded(frames: DataFrame, gw: int, dim: int, vector: str = "f", keep: tupl
     return frames.select(*keep, F.col(vector).alias("_v"), F.explode(F.sequence(F.lit(0), F.floor(patches).cast("int") - 1)).alias("p")).select(*keep, "p", F.floor(F.col("p") / gw).cast("int").alias("r"), (F.col("p") % gw).alias("c"), doubles(F.slice("_v", F.col("p") * dim + 1, F.lit(dim))).alias("f"))
 
 
-def _around(reach: int) -> Column:
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    return F.explode(F.flatten(F.transform(steps, lambda a: F.transform(steps, lambda b: F.struct(a.alias("dr"), b.alias("dc"))))))
+def _framed(patches: DataFrame, by: str, added: str, run: Callable[[_Grid, pa.StructArray], list[pa.Array]]) -> DataFrame:
+    """patches with the columns that run adds. The patches of a frame meet once; frames are laid out side by side on a padded grid, many
+    at a time, so that neighbours are shifted views of arrays."""
+    names = [f.name for f in patches.schema]
+    grouped = patches.groupBy(by).agg(F.collect_list(F.struct(*(F.col(c) for c in names))).alias("m")).select("m")
+    extra = [x.split()[0] for x in added.split(", ")]
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, FRAMES):
+                m = b.column(0).slice(i, FRAMES)
+                rows = m.flatten()
+                if len(rows):
+                    at = np.repeat(np.arange(len(m)), np.diff(m.offsets.to_numpy()))
+                    grid = _Grid(at, *(rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("r", "c")))
+                    yield pa.record_batch([*(rows.field(c) for c in names), *run(grid, rows)], [*names, *extra])
+
+    schema = StructType([*patches.schema.fields, *StructType.fromDDL(added).fields])
+    return grouped.mapInArrow(batches_of, schema)
+
+
+class _Grid:
+    """Places of patches of several frames, with a rim of empty places around each frame."""
+
+    def __init__(self, frame: np.ndarray, r: np.ndarray, c: np.ndarray, rim: int = 2) -> None:
+        self.low_r, self.low_c = r.min(), c.min()
+        self.h, self.w = int(r.max() - self.low_r) + 1 + 2 * rim, int(c.max() - self.low_c) + 1 + 2 * rim
+        self.at = (frame * self.h + r - self.low_r + rim) * self.w + c - self.low_c + rim
+        self.size = (int(frame.max()) + 1) * self.h * self.w
+
+    def laid(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size, values.dtype)
+        out[self.at] = values
+        return out
+
+    def around(self, laid: np.ndarray, reach: int) -> Iterator[np.ndarray]:
+        """The value at each place of the neighbourhood of every patch."""
+        for dr in range(-reach, reach + 1):
+            for dc in range(-reach, reach + 1):
+                yield laid[self.at + dr * self.w + dc]
 
 
-def neighbours(patches: DataFrame, value: Column, reach: int = 1, by: str = "frame") -> DataFrame:
-    """by, r, c and v: the value of every patch sent to the patches around it, itself included. An aggregate by place combines
-    partial sums before the shuffle."""
-    return patches.select(by, "r", "c", value.alias("v"), _around(reach).alias("d")).select(by, (F.col("r") + F.col("d.dr")).alias("r"), (F.col("c") + F.col("d.dc")).alias("c"), "v")
+def _flags(rows: pa.StructArray, name: str) -> np.ndarray:
+    return np.array(rows.field(name).fill_null(False).to_numpy(zero_copy_only=False), bool)
+
+
+def _numbers(rows: pa.StructArray, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values (0 for nulls), and which there are."""
+    col = rows.field(name)
+    return col.fill_null(0.0).to_numpy(zero_copy_only=False).astype(float), ~col.is_null().to_numpy(zero_copy_only=False)
 
 
 def patch_sets(patches: DataFrame, params: Params = DEFAULT, by: str = "frame") -> DataFrame:
     """patches with in_core (enough covered), in_s and in_b (within one and two patches of the core; the grid's rim is outside)."""
-    core = F.col("cov") >= params.core_threshold
-    out = patches.withColumn("in_core", core)
-    for name, reach in (("in_s", 1), ("in_b", 2)):
-        near = neighbours(patches.where(core), F.lit(True), reach, by).groupBy(by, "r", "c").agg(F.max("v").alias(name))
-        out = out.join(near, [by, "r", "c"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return out
+
+    def run(grid: _Grid, rows: pa.StructArray) -> list[pa.Array]:
+        cov, there = _numbers(rows, "cov")
+        core = there & (cov >= params.core_threshold)
+        laid = grid.laid(core)
+        near = (np.logical_or.reduce(list(grid.around(laid, reach))) for reach in (1, 2))
+        return [pa.array(x) for x in (core, *near)]
+
+    return _framed(patches.drop("in_core", "in_s", "in_b"), by, "in_core boolean, in_s boolean, in_b boolean", run)
+
+
+def with_smooth(patches: DataFrame, by: str = "frame") -> DataFrame:
+    """patches with sm: mean of d over the 3x3 neighbourhood within S; null outside S and where no d is known."""
+
+    def run(grid: _Grid, rows: pa.StructArray) -> list[pa.Array]:
+        (d, there), inside = _numbers(rows, "d"), _flags(rows, "in_s")
+        known = inside & there
+        n = sum(x.astype(int) for x in grid.around(grid.laid(known), 1))
+        total = sum(grid.around(grid.laid(np.where(known, d, 0.0)), 1))
+        return [pa.array(total / np.maximum(n, 1), mask=~inside | (n == 0))]
+
+    return _framed(patches.drop("sm"), by, "sm double", run)
 
 
 def smoothed(patches: DataFrame, by: str = "frame") -> DataFrame:
-    """by, r, c and sm: mean of d over the 3x3 neighbourhood within S; patches outside S have none."""
-    inside = patches.where("in_s")
-    mean = neighbours(inside, F.col("d"), 1, by).groupBy(by, "r", "c").agg((F.sum("v") / F.count("v")).alias("sm"))
-    return inside.select(by, "r", "c").join(mean, [by, "r", "c"])
+    """by, r, c and sm of the patches in S."""
+    return with_smooth(patches, by).where("in_s").select(by, "r", "c", "sm")
 
 
 def edge_mean(patches: DataFrame, gh: int, gw: int, by: str = "frame") -> DataFrame:
-    """by, r, c and sm: 3x3 mean of d, the rim repeated: a patch counts once for each place of the neighbourhood that is clamped to it."""
-    sent = patches.select(by, "r", "c", "d", _around(1).alias("o")).select(by, F.col("r").alias("r0"), F.col("c").alias("c0"), "d", (F.col("r") - F.col("o.dr")).alias("r"), (F.col("c") - F.col("o.dc")).alias("c")).where((F.col("r") >= 0) & (F.col("r") < gh) & (F.col("c") >= 0) & (F.col("c") < gw))
-    twice = lambda at, own, n: F.when((F.col(own) == F.col(at)) & ((F.col(own) == 0) | (F.col(own) == n - 1)), 2).otherwise(1)
-    rows = F.when(F.lit(gh == 1), 3).otherwise(twice("r", "r0", gh))
-    cols = F.when(F.lit(gw == 1), 3).otherwise(twice("c", "c0", gw))
-    return sent.groupBy(by, "r", "c").agg((F.sum(F.col("d") * rows * cols) / 9).alias("sm"))
+    """by, r, c and sm: 3x3 mean of d, the rim repeated."""
+
+    def run(grid: _Grid, rows: pa.StructArray) -> list[pa.Array]:
+        d, _ = _numbers(rows, "d")
+        r, c = (rows.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("r", "c"))
+        laid, total = grid.laid(d), np.zeros(len(d))
+        for dr in (-1, 0, 1):
+            for dc in (-1, 0, 1):
+                step = (np.clip(r + dr, 0, gh - 1) - r) * grid.w + np.clip(c + dc, 0, gw - 1) - c
+                total = total + laid[grid.at + step]
+        return [pa.array(total / 9)]
+
+    return _framed(patches.drop("sm"), by, "sm double", run).select(by, "r", "c", "sm")
 
 
 def descriptors(patches: DataFrame, by: tuple[str, ...] = ("frame",)) -> DataFrame:

@@ -53,7 +53,7 @@ def scored(patches: DataFrame, bank: DataFrame, mask: str | None) -> DataFrame:
     """frame, raw, fit and peaks of patches against their twin's bank."""
     near = knn.nearest(patches.where("in_b"), bank, "twin", mask=mask).select("id", F.sqrt("best").alias("d"))
     with_d = stored(patches.join(near, "id", "left"), "distances")
-    return maps.frame_scores(with_d.join(maps.smoothed(with_d), ["frame", "r", "c"], "left"), tau=None)
+    return maps.frame_scores(maps.with_smooth(with_d), tau=None)
 
 
 def teach(frames: DataFrame, grid: Grid, keyframes: int, params: Params = DEFAULT) -> Taught:
@@ -87,7 +87,7 @@ def judge(taught: Taught, shown: DataFrame, grid: Grid, params: Params = DEFAULT
     patches = stored(patches_of(shown, grid, params), "shown")
     near = knn.nearest(patches.where("in_b"), taught.bank, "twin").select("id", F.sqrt("best").alias("d"))
     with_d = stored(patches.join(near, "id", "left").join(taught.limits, "twin"), "judged")
-    scores = maps.frame_scores(with_d.join(maps.smoothed(with_d), ["frame", "r", "c"], "left"), params, tau="tau")
+    scores = maps.frame_scores(maps.with_smooth(with_d), params, tau="tau")
     g = maps.descriptors(patches, ("twin", "frame")).select("twin", F.col("frame").alias("id"), F.col("g").alias("f"))
     sims = knn.nearest(g, taught.globals.select("twin", F.col("frame").alias("id"), F.col("g").alias("f")), "twin", how="dot").select(F.col("id").alias("frame"), F.col("best").alias("sim"))
     rows = shown.select("twin", "frame", "sanity").join(taught.limits.where("status = 'OK'"), "twin").join(scores, "frame", "left").join(sims, "frame", "left")

@@ -78,7 +78,7 @@ def patch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_smooth(patches: DataFrame) -> DataFrame:
-    return patches.join(maps.smoothed(patches), ["frame", "r", "c"], "left")
+    return maps.with_smooth(patches)
 
 
 def r6(*names: str) -> list:
@@ -199,12 +199,10 @@ def vote_median(spark, sf_dir):
 @query(f"""with {EMB}, {UNIT}, p as (select a.twin, a.vec_id, b.vec_id as view, {DOT} as sim from unit a join unit b on a.twin = b.twin and a.vec_id <> b.vec_id)
 select twin, vec_id, k, view, round(sim, 6) as sim from (select *, row_number() over (partition by vec_id order by round(sim, 12) desc, view) as k from p) where k <= 3""")
 def topk_views(spark, sf_dir):
-    """The three views most like each row: ranks over pairs of tiles would do for large banks; a part's views are few."""
-    u = unit(rows(spark, sf_dir)).select("twin", F.col("id").alias("vec_id"), "f")
-    v = u.select("twin", F.col("vec_id").alias("view"), F.col("f").alias("g"))
-    pairs = u.join(v, "twin").where("vec_id <> view").withColumn("sim", vectors.dot(F.col("f"), F.col("g"))).select("twin", "vec_id", "view", "sim")
-    best = pairs.groupBy("twin", "vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.round("sim", 12)).alias("minus"), "view", "sim"))), 1, DEFAULT.top_k_views).alias("l"))
-    return best.select("twin", "vec_id", F.posexplode("l").alias("k", "x")).select("twin", "vec_id", (F.col("k") + 1).cast("long").alias("k"), "x.view", F.round("x.sim", 6).alias("sim"))
+    """The three views of its part most like each row."""
+    u = unit(rows(spark, sf_dir))
+    best = knn.most_alike(u, u, DEFAULT.top_k_views, "twin")
+    return best.select(F.col("key").alias("twin"), F.col("id").alias("vec_id"), F.col("place").cast("long").alias("k"), F.col("other").alias("view"), F.round("sim", 6).alias("sim"))
 
 
 def _coreset_sql(k: int) -> str:
