@@ -26,7 +26,7 @@ def sheet_model(pixels: DataFrame, by: str, channels: tuple[str, ...], params: P
     from .stats import with_mad
 
     long = pixels.select(by, F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("v")) for c in channels))).alias("x")).select(by, "x.*")
-    return with_mad(long, "v", [by, "channel"]).select(by, "channel", F.col("median").alias("mu"), F.greatest(params.mad_scale * F.col("mad"), F.lit(params.sigma_min)).alias("sigma"))
+    return with_mad(long, "v", [by, "channel"], counted=True).select(by, "channel", F.col("median").alias("mu"), F.greatest(params.mad_scale * F.col("mad"), F.lit(params.sigma_min)).alias("sigma"))
 
 
 def foreground(pixels: DataFrame, sheet: DataFrame, by: str, channels: tuple[str, ...], params: Params = DEFAULT) -> DataFrame:

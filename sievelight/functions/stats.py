@@ -9,11 +9,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.shared import stored
 
-def with_mad(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """by, median and mad (unscaled) of value: two passes, the second against the first's medians."""
-    med = df.groupBy(*by).agg(F.median(value).alias("median"))
-    return df.join(med, by).groupBy(*by, "median").agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+#: Ranges that a group's values are ranked in.
+RANGES = 64
+
+
+def positions(df: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """df with _at: each row's place (from 0) in its group's order. Rows are range-partitioned by group and order, so that a large group
+    spreads; how many of a group lie in the partitions before is a sum over one row a group and partition."""
+    dealt = df.withColumn("_o", order).repartitionByRange(*by, "_o").sortWithinPartitions(*by, "_o")
+    kept = stored(dealt.withColumn("_id", F.monotonically_increasing_id()), "positions").withColumn("_part", F.shiftright("_id", 33))
+    parts = kept.groupBy(*by, "_part").agg(F.count("*").alias("_k"), F.min("_id").alias("_first"))
+    before = F.sum("_k").over(W.partitionBy(*by).orderBy("_part")) - F.col("_k")
+    starts = parts.select(*by, "_part", "_first", before.alias("_before"))
+    return kept.join(starts, [*by, "_part"]).withColumn("_at", F.col("_id") - F.col("_first") + F.col("_before")).drop("_o", "_id", "_part", "_first", "_before")
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], at: list[float], names: list[str]) -> DataFrame:
+    """by and exact quantiles (linear between ranks) of value, nulls left out, under names.
+
+    Equal values are counted first, so that what is ranked are different values; ranks are sums of counts over ranges between approximate
+    quantiles, then within a range, so that no task sees a whole group.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    same = known.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    cuts = known.groupBy(*by).agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 1000).alias("_cuts"), F.count("*").alias("_all"))
+    ranged = same.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    under = F.sum("_n").over(W.partitionBy(*by).orderBy("_range")) - F.col("_n")
+    below = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_n")).select(*by, "_range", under.alias("_below"))
+    upto = ranged.join(below, [*by, "_range"]).withColumn("_to", F.col("_below") + F.sum("_n").over(W.partitionBy(*by, "_range").orderBy("_v")))
+    low = lambda q: F.floor(q * (F.col("_all") - 1))
+    first, last = F.col("_to") - F.col("_n"), F.col("_to") - 1  # the ranks, from 0, that a value takes
+    at_rank = lambda k: F.max(F.when((first <= k) & (k <= last), F.col("_v")))
+    ends = upto.groupBy(*by).agg(*(x for q, n in zip(at, names, strict=True) for x in (at_rank(low(q)).alias(f"_{n}0"), at_rank(F.least(low(q) + 1, F.col("_all") - 1)).alias(f"_{n}1"))), F.max("_all").alias("_all"))
+    part = lambda q: q * (F.col("_all") - 1) - low(q)
+    return ends.select(*by, *((F.col(f"_{n}0") + part(q) * (F.col(f"_{n}1") - F.col(f"_{n}0"))).alias(n) for q, n in zip(at, names, strict=True)))
+
+
+def with_mad(df: DataFrame, value: str, by: list[str], counted: bool = False) -> DataFrame:
+    """by, median and mad (unscaled) of value: two passes, the second against the first's medians. counted is for groups too large for
+    one task: their quantiles are ranks among counted values."""
+    mid = (lambda d, v, g, name: quantiles(d, v, g, [0.5], [name])) if counted else (lambda d, v, g, name: d.groupBy(*g).agg(F.median(v).alias(name)))
+    off = df.join(mid(df, value, by, "median"), by).select(*by, "median", F.abs(F.col(value) - F.col("median")).alias("_off"))
+    return mid(off, "_off", [*by, "median"], "mad")
 
 
 def order_alpha(confidence: float, m: Column) -> Column:
@@ -26,14 +65,14 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
     f = d
-    for k in range(1, 500):
+    for k in range(1, 20_000):
         for t in (k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)), -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))):
             d = 1 / (1 + t * d or tiny)
             c = 1 + t / c or tiny
             f *= c * d
         if abs(c * d - 1) < 1e-15:
-            break
-    return f
+            return f
+    raise ArithmeticError(f"the incomplete beta function of {a}, {b} at {x} did not settle")
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -83,3 +83,9 @@ def matched(expected: DataFrame, actual: DataFrame, by: str, params: Params = DE
         taken = best if taken is None else taken.unionByName(best)
         left = stored(left.join(best.select(by, "e_id"), [by, "e_id"], "left_anti").join(best.select(by, "a_id"), [by, "a_id"], "left_anti"), "pairs")
     return left if taken is None else taken
+
+
+def unmatched(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """side ("missing" or "extra") and key of what only one side has."""
+    missing = expected.join(actual, key, "left_anti").select(F.lit("missing").alias("side"), key)
+    return missing.unionByName(actual.join(expected, key, "left_anti").select(F.lit("extra").alias("side"), key))

@@ -11,6 +11,12 @@ class Params:
     keep_percentile: float = 0.40
     min_kept: int = 8
     segments: int = 5
+    k_min: int = 16
+    k_max: int = 32
+    kc_eps: float = 0.002
+    bank_ratio: float = 0.10
+    bank_min: int = 256
+    bank_max: int = 2400
     tau_factor: float = 1.4
     coverage_cut: float = 0.5
     sensitivity: float = 1.0
@@ -49,5 +55,5 @@ class Params:
 
 
 DEFAULT = Params()
-#: The profile with the fit gate.
-ACCURACY = Params(tau_factor=1.25)
+#: The profile with the fit gate; its keyframes are fewer.
+ACCURACY = Params(tau_factor=1.25, k_max=24)

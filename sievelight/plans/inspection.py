@@ -246,14 +246,6 @@ def legacy_loo(spark, sf_dir):
     return frame_loo(rows(spark, sf_dir)).withColumn("tau", F.max("loo").over(W.partitionBy("twin"))).select("twin", "frame", *r6("loo", "tau"))
 
 
-@query(f"""with {EMB}, {FRAME}, m as (select twin, median(loo) as med from frame_max group by twin), s as (select twin, med, median(abs(loo - med)) as mad from frame_max join m using (twin) group by all)
-select twin, frame, round(loo, 6) as loo from frame_max join s using (twin) where loo > med + 3 * 1.4826 * mad""")
-def outlier_frames(spark, sf_dir):
-    frames = stored(frame_loo(rows(spark, sf_dir)), "frames")
-    limits = stats.with_mad(frames, "loo", ["twin"])
-    return frames.join(limits, "twin").where(F.col("loo") > F.col("median") + DEFAULT.mad_k * DEFAULT.mad_scale * F.col("mad")).select("twin", "frame", *r6("loo"))
-
-
 SHOWN = "shown as (select twin, vec_id, d, 0 as bad from lso union all select twin, vec_id, d, 1 from wrong)"
 SWEEP = ", ".join(f"({round(0.7 + 0.05 * k, 2)})" for k in range(17))
 
@@ -292,11 +284,18 @@ def eval_rates(spark, sf_dir):
     return known.join(tau, "twin").rollup(F.col("twin").cast("string").alias("twin")).agg(*counts).withColumn("twin", F.coalesce("twin", F.lit("ALL")))
 
 
-@query()
+#: The bounds by halving intervals 50 times, the tails summed term by term.
+TAIL = "(select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(mid) + (n - i) * ln(1 - mid))) from (select unnest(range({a}, {b})) as i))"
+
+
+@query(f"""with recursive {EMB}, {LSO}, {WRONG}, {SHOWN}, {TAU}, e as (select coalesce(cast(twin as varchar), 'ALL') as twin, count(*) filter (bad = 1) as n, count(*) filter (bad = 1 and d > tau) as k from shown join tau using (twin) group by grouping sets ((twin), ())),
+lo as (select twin, n, k, 0.0::double as a, 1.0::double as b, 0 as step from e where k > 0 union all select twin, n, k, if(t < 0.025, mid, a), if(t < 0.025, b, mid), step + 1 from (select *, (a + b) / 2 as mid, {TAIL.format(a='k', b='n + 1').replace('mid', '((a + b) / 2)')} as t from lo where step < 50)),
+hi as (select twin, n, k, 0.0::double as a, 1.0::double as b, 0 as step from e where k < n union all select twin, n, k, if(t > 0.025, mid, a), if(t > 0.025, b, mid), step + 1 from (select *, (a + b) / 2 as mid, {TAIL.format(a='0', b='k + 1').replace('mid', '((a + b) / 2)')} as t from hi where step < 50))
+select e.twin, e.n as n_wrong, e.k as caught, coalesce(round((lo.a + lo.b) / 2, 9), 0) as low, coalesce(round((hi.a + hi.b) / 2, 9), 1) as high from e left join lo on lo.twin = e.twin and lo.step = 50 left join hi on hi.twin = e.twin and hi.step = 50""")
 def rate_bounds(spark, sf_dir):
     """The exact 95 % interval of each part's rate of wrong objects caught."""
     e = eval_rates(spark, sf_dir)
-    return e.select("twin", "n_wrong", "caught", stats.clopper_pearson(F.col("caught"), F.col("n_wrong"), DEFAULT.confidence).alias("ci")).select("twin", "n_wrong", "caught", "ci.low", "ci.high")
+    return e.select("twin", "n_wrong", "caught", stats.clopper_pearson(F.col("caught"), F.col("n_wrong"), DEFAULT.confidence).alias("ci")).select("twin", "n_wrong", "caught", F.round("ci.low", 9).alias("low"), F.round("ci.high", 9).alias("high"))
 
 
 @query(f"with {EMB}, {WRONG} select twin, round(min(d), 6) as nearest, count(*) as n from wrong group by twin")
@@ -314,11 +313,55 @@ def parity(spark, sf_dir):
     return s.select("twin", F.round(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")), 6).alias("cosine"), F.round(F.sqrt("dd") / F.sqrt("aa"), 6).alias("relative"))
 
 
-@query()
+def _half(x: str) -> str:
+    return f"case when {x} = 0 then {x} else round_even({x} / pow(2.0, greatest(floor(log2(abs({x}))), -14) - 10), 0) * pow(2.0, greatest(floor(log2(abs({x}))), -14) - 10) end"
+
+
+def _keyframes_sql(k: int) -> str:
+    gap = "1 - (x.g1*y.g1 + x.g2*y.g2 + x.g3*y.g3 + x.g4*y.g4)"
+    ctes = ["c0 as (select twin, arg_min(frame, (-sharp, frame)) as frame from desc_ group by twin)", f"m0 as (select x.twin, x.frame, {gap} as gap from desc_ x join c0 using (twin) join desc_ y on y.frame = c0.frame)"]
+    for i in range(1, k):
+        ctes.append(f"c{i} as (select twin, arg_min(frame, (-gap, frame)) as frame from m{i - 1} where {' and '.join(f'frame not in (select frame from c{j})' for j in range(i))} group by twin)")
+        ctes.append(f"m{i} as (select x.twin, x.frame, least(m.gap, {gap}) as gap from m{i - 1} m join desc_ x using (twin, frame) join c{i} c on c.twin = m.twin join desc_ y on y.frame = c.frame)")
+    return ", ".join(ctes) + ", kf as (" + " union all ".join(f"select twin, frame from c{i}" for i in range(k)) + ")"
+
+
+def _map_sql(name: str, source: str, tau: str | None) -> str:
+    """Smoothed distances of patches with d, and a frame's scores."""
+    over = ", count(*) filter (in_core and sm > tau) / count(*) filter (in_core) as anomalous" if tau else ""
+    return f"""{name}_sm as (select x.twin, x.frame, x.p, x.in_core, x.d, avg(y.d) as sm from {source} x join {source} y on x.frame = y.frame and abs(x.r - y.r) <= 1 and abs(x.c - y.c) <= 1 group by all),
+{name} as (select twin, frame, max(sm) as raw, avg(d) filter (in_core) as fit, cast(arg_min(p, (-sm, p)) filter (in_core) // 4 as int) as peak_r, cast(arg_min(p, (-sm, p)) filter (in_core) % 4 as int) as peak_c{over} from {name}_sm {tau or ''} group by twin, frame)"""
+
+
+NEAREST = "sqrt(min((a.f1-b.f1)*(a.f1-b.f1) + (a.f2-b.f2)*(a.f2-b.f2) + (a.f3-b.f3)*(a.f3-b.f3) + (a.f4-b.f4)*(a.f4-b.f4))) as d"
+TEACH = f"""with {EMB}, {PATCH}, sharp as (select twin, vec_id as frame, list_reduce(list_transform(f, lambda x : x * x), lambda acc, v : acc + v, 0.0::double) as sharp from emb),
+kept as (select s.twin, frame, sharp from sharp s join (select twin, quantile_cont(sharp, 0.4) as cut from sharp group by twin) using (twin) where sharp >= cut),
+seg as (select twin, frame, sharp, greatest(0, least(4, floor(5 * (frame - t0) * 100 / ((t1 - t0) * 100 + 1e-9)))) as seg from kept join (select twin, min(frame) as t0, max(frame) as t1 from kept group by twin) using (twin)),
+raw_ as (select twin, frame, sum(f1) as a, sum(f2) as b, sum(f3) as c, sum(f4) as d from patch where in_core group by twin, frame),
+norm as (select twin, frame, a / n as g1, b / n as g2, c / n as g3, d / n as g4 from (select *, sqrt(a*a + b*b + c*c + d*d) as n from raw_)),
+desc_ as (select n.*, seg, sharp from norm n join seg using (twin, frame)), {_keyframes_sql(8)},
+globs as (select twin, frame, seg, {", ".join(f"{_half(f'g{k}')} as g{k}" for k in (1, 2, 3, 4))} from desc_ join kf using (twin, frame)),
+bank as (select p.twin, p.frame, p.p, p.r, p.c, p.in_core, seg, {", ".join(f"{_half(f'f{k}')} as f{k}" for k in (1, 2, 3, 4))} from patch p join kf using (twin, frame) join seg using (twin, frame)),
+ld as (select a.twin, a.frame, a.p, a.r, a.c, a.in_core, {NEAREST} from bank a join bank b on a.twin = b.twin and a.seg <> b.seg group by all), {_map_sql("lso_", "ld", None)},
+pos as (select a.twin, a.frame, max(a.g1*b.g1 + a.g2*b.g2 + a.g3*b.g3 + a.g4*b.g4) as sim from globs a join globs b on a.twin = b.twin and a.seg <> b.seg group by all),
+pm as (select twin, median(sim) as med, quantile_cont(sim, 0.05) as lo from pos group by twin), idt as (select twin, lo - greatest(0.02, 3 * 1.4826 * median(abs(sim - med))) as tau_id from pos join pm using (twin) group by twin, lo),
+lim as (select twin, 1.4 * max(raw) as tau, 1.1 * max(fit) as tau_fit from lso_ group by twin),
+seen_ as (select twin, frame as src, frame * 2 as frame from norm union all select (twin + 1) % 10, frame, frame * 2 + 1 from norm),
+sp as (select s.twin, s.frame, p.p, p.r, p.c, p.in_core, f1, f2, f3, f4 from seen_ s join patch p on p.frame = s.src),
+sd as (select a.twin, a.frame, a.p, a.r, a.c, a.in_core, {NEAREST} from sp a join bank b on a.twin = b.twin group by all), {_map_sql("sc", "sd", "join lim using (twin)")},
+sim as (select s.twin, s.frame, max(a.g1*b.g1 + a.g2*b.g2 + a.g3*b.g3 + a.g4*b.g4) as sim from seen_ s join norm a on a.frame = s.src join globs b on b.twin = s.twin group by all),
+j as (select *, raw / tau as s from sc join sim using (twin, frame) join lim using (twin) join idt using (twin))
+select twin, frame, case when not sim >= tau_id then 'NOT_ENROLLED' when fit > tau_fit then 'NOT_ENROLLED' when s <= 1 then 'PASS' when anomalous > 0.5 then 'NOT_ENROLLED' else 'DEFECT' end as verdict,
+  case when not sim >= tau_id then 'identity' when fit > tau_fit then 'fit' when s <= 1 then null when anomalous > 0.5 then 'coverage' end as reason,
+  round(s, 5) as s, round(sim, 5) as sim, round(fit, 5) as fit, peak_r, peak_c, round(anomalous, 5) as anomalous from j"""
+
+
+@query(TEACH)
 def teach_and_judge(spark, sf_dir):
     """Each part taught from all its frames as maps, and all frames shown to their own part and to the next."""
     cov = F.array(*(F.lit(1.0 if r in (1, 2) and c in (1, 2) else 0.25) for r in range(4) for c in range(4)))
     frames = rows(spark, sf_dir).select("twin", F.col("id").alias("frame"), (F.col("id") * 100).alias("t_ms"), F.lit("OK").alias("sanity"), F.aggregate("f", F.lit(0.0), lambda a, x: a + x * x).alias("sharpness"), "f", cov.alias("cov"))
     taught = twin.teach(frames, twin.Grid(4, 4, 4), 8)
     own, wrong = frames.withColumn("frame", F.col("frame") * 2), frames.withColumn("frame", F.col("frame") * 2 + 1).withColumn("twin", (F.col("twin") + 1) % 10)
-    return twin.judge(taught, own.unionByName(wrong), twin.Grid(4, 4, 4))
+    out = twin.judge(taught, own.unionByName(wrong), twin.Grid(4, 4, 4))
+    return out.select("twin", "frame", "verdict", "reason", *(F.round(c, 5).alias(c) for c in ("s", "sim", "fit")), "peak_r", "peak_c", F.round("anomalous", 5).alias("anomalous"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inspection, telemetry, words
+from . import inspection, rules, telemetry, words
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (inspection, telemetry, words)
+PARTS = (inspection, telemetry, words, rules)
 
 
 def queries() -> dict[str, Query]:

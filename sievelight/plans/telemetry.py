@@ -29,6 +29,8 @@ def query(sql: str | None = None):
 
 
 EV = "ev as (select event_id, user_id, event_type, value, epoch_ms(ts) as t_ms from events)"
+#: The same with milliseconds cut off, not rounded.
+EVENTS = "ev as (select event_id, user_id, event_type, value, epoch_us(ts) // 1000 as t_ms from events)"
 CHANNELS = ("l_quantity", "l_discount", "l_extendedprice")
 
 
@@ -51,7 +53,7 @@ def stage_summary(spark, sf_dir):
 
 @query(f"with {EV}, m as (select event_type, median(value) as med from ev group by event_type) select event_type, round(med, 6) as median, round(1.4826 * median(abs(value - med)), 6) as sigma from ev join m using (event_type) group by event_type, med")
 def robust_sigma(spark, sf_dir):
-    return stats.with_mad(events(spark, sf_dir), "value", ["event_type"]).select("event_type", F.round("median", 6).alias("median"), F.round(DEFAULT.mad_scale * F.col("mad"), 6).alias("sigma"))
+    return stats.with_mad(events(spark, sf_dir), "value", ["event_type"], counted=True).select("event_type", F.round("median", 6).alias("median"), F.round(DEFAULT.mad_scale * F.col("mad"), 6).alias("sigma"))
 
 
 @query(f"with {EV} select event_id, count(*) over (partition by event_type order by t_ms range between 59999 preceding and current row)::double as rate from ev")
@@ -61,9 +63,8 @@ def parts_per_minute(spark, sf_dir):
 
 @query(f"with {EV} select user_id, count(*) filter (event_type = 'purchase') as passes, count(*) filter (event_type = 'error') as defects, count(*) filter (event_type = 'click') as clicks, count(*) as n from ev group by user_id")
 def line_counters(spark, sf_dir):
-    counts = events(spark, sf_dir).groupBy("user_id").pivot("event_type", ["purchase", "error", "click"]).agg(F.count("event_id"))
-    n = events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
-    return n.join(counts, "user_id", "left").select("user_id", *(F.coalesce(c, F.lit(0)).alias(a) for c, a in (("purchase", "passes"), ("error", "defects"), ("click", "clicks"))), "n")
+    count = lambda kind, name: F.count_if(F.col("event_type") == kind).alias(name)
+    return events(spark, sf_dir).groupBy("user_id").agg(count("purchase", "passes"), count("error", "defects"), count("click", "clicks"), F.count("*").alias("n"))
 
 
 @query(f"""with {EV}, g as (select *, count(*) filter (event_type = 'purchase') over (partition by user_id order by t_ms, event_id) as grp from ev)
@@ -99,7 +100,7 @@ def detrend_rows(spark, sf_dir):
 def sharpness_filter(spark, sf_dir):
     """What reaches its group's 40th percentile."""
     e = events(spark, sf_dir)
-    return e.join(e.groupBy("event_type").agg(F.percentile("value", F.lit(DEFAULT.keep_percentile)).alias("cut")), "event_type").where("value >= cut").select("event_id")
+    return e.join(stats.quantiles(e, "value", ["event_type"], [DEFAULT.keep_percentile], ["cut"]), "event_type").where("value >= cut").select("event_id")
 
 
 @query(f"with {EV} select event_id, row_number() over (partition by user_id order by t_ms, event_id) as number from ev where event_type = 'error'")
@@ -188,11 +189,16 @@ def best_candidate(spark, sf_dir):
     return c.groupBy("event_type").agg(F.min(F.struct("med", "user_id")).alias("b")).select("event_type", "b.user_id", F.round("b.med", 6).alias("med"))
 
 
-@query()
+@query(f"""with recursive {EVENTS}, p as (select e.t_ms // 3600000 as k, e.event_id as e_id, a.event_id as a_id, abs(e.t_ms - a.t_ms) as dt from ev e join ev a on e.t_ms // 3600000 = a.t_ms // 3600000 and abs(e.t_ms - a.t_ms) <= 600000 where e.event_type = 'error' and a.event_type = 'click'),
+o as (select *, row_number() over (partition by k order by dt, e_id, a_id) as i from p),
+w as (select k, i, e_id, a_id, dt, true as taken, [e_id] as es, [a_id] as xs from o where i = 1
+union all select o.k, o.i, o.e_id, o.a_id, o.dt, not list_contains(es, o.e_id) and not list_contains(xs, o.a_id),
+  if(list_contains(es, o.e_id) or list_contains(xs, o.a_id), es, list_append(es, o.e_id)), if(list_contains(es, o.e_id) or list_contains(xs, o.a_id), xs, list_append(xs, o.a_id)) from w join o on o.k = w.k and o.i = w.i + 1)
+select e_id, a_id, dt from w where taken""")
 def replay_matches(spark, sf_dir):
     """Errors as expected, clicks as actual: one-to-one within the tolerance, the nearest first, in minutes of all users together."""
     e = events(spark, sf_dir).withColumn("key", F.floor(F.col("t_ms") / 3_600_000)).withColumnRenamed("event_id", "id")
-    wide = t.matched(e.where("event_type = 'error'"), e.where("event_type = 'click'"), "key", DEFAULT.__class__(match_ms=60_000))
+    wide = t.matched(e.where("event_type = 'error'"), e.where("event_type = 'click'"), "key", DEFAULT.__class__(match_ms=600_000))
     return wide.select("e_id", "a_id", "dt")
 
 
@@ -206,7 +212,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("user_id").alias("stream"), "t_ms", (F.col("event_id") % 7 % 4).cast("int").alias("status"), (F.col("value") / 100).alias("headroom"))
 
 
-@query()
+@query(f"""with recursive {EVENTS}, s as (select event_id as id, user_id as stream, t_ms, case when event_id % 7 % 4 >= 3 or value / 100 > 0.85 then 2 when event_id % 7 % 4 >= 2 or value / 100 >= 0.7 then 1 else 0 end as target, row_number() over (partition by user_id order by t_ms, event_id) as i from ev),
+f as (select id, stream, t_ms, target, i, target as level, cast(null as bigint) as since from s where i = 1
+union all select s.id, s.stream, s.t_ms, s.target, s.i, case when s.target > level or s.target < level and s.t_ms - coalesce(since, s.t_ms) >= 30000 then s.target else level end,
+  case when s.target < level and s.t_ms - coalesce(since, s.t_ms) < 30000 then coalesce(since, s.t_ms) end from f join s on s.stream = f.stream and s.i = f.i + 1)
+select id, stream, t_ms, target, level from f""")
 def governor_levels(spark, sf_dir):
     """Levels of each user's stream of samples, by the streaming operator."""
     return run_available(samples(spark, sf_dir), governor.governed, "governor")
