@@ -1,36 +1,21 @@
-"""What the training-data operators share: the shared folder, tables that cut lineage, hashing helpers and connected components."""
+"""What the training-data operators share: numbering, hashing helpers and connected components, and the core's stored tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import dropped, new_path, shared_dir, stored, table  # noqa: F401
+
 #: ASCII upper case to lower case; bytes.lower() does the same and leaves bytes from 0x80 on alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievelight-"))
-        return sc._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: its lineage ends there, and lost executors cost only single tasks."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/sievelight-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Parts that the links of a node are dealt to, and tasks that pairs of bodies are dealt to at most.
+SALTS, MOST_TASKS = 32, 20_000
 
 
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
@@ -49,10 +34,6 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return kept.withColumn("_part", part).join(starts, "_part").withColumn("at", inside + F.col("_before")).drop("_at", "_part", "_before")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (xor-shift-multiply rounds), for hashes derived from a hash."""
     x = x.astype(np.uint64, copy=True)
@@ -86,14 +67,40 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[top[rest]], nodes[rest]
 
 
+def met(pairs: DataFrame, bodies: DataFrame, full: int, compare: Callable[[dict, dict], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Links (u, v) that compare finds for pairs (tile, other) of bodies (tile, ...); a body travels once a pair to the task of the pair.
+
+    Comparing is what takes time, so there are as many tasks as pairs of full bodies, of which there would be `full`: many partitions
+    leave many small bodies, whose pairs share tasks.
+    """
+    ends = pairs.select("tile", "other", F.explode(F.array_distinct(F.array("tile", "other"))).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict | None = None  # the first body of the pair at hand; one that meets itself comes alone
+        for batch in batches:
+            for i in range(batch.num_rows):  # one pair in memory at a time
+                r = batch.slice(i, 1).to_pylist()[0]
+                if r["own"] == r["tile"] != r["other"]:
+                    held = r
+                    continue
+                u, v = compare(r if r["tile"] == r["other"] else held, r)
+                held = None
+                if len(u):
+                    yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
+    tasks = max(1, min(MOST_TASKS, pairs.count(), full * (full + 1) // 2))
+    dealt = ends.join(bodies.withColumnRenamed("tile", "own"), "own").repartition(tasks, "tile", "other")
+    return dealt.sortWithinPartitions("tile", "other", F.col("own") != F.col("tile")).mapInArrow(run, "u long, v long")
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step over links (u > v). The only join is on u with one row a node at its other side, so a hub's rows can be split."""
-    if large:
-        around = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        around = links
-    low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = around.join(low, "u")
+    """One large-star or small-star step over links (u > v). A node's links are dealt to SALTS parts; its smallest neighbour is found by
+    parts and sent back to each, so that a hub's links never meet in one task."""
+    around = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
+    around = around.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = around.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    low = parts.groupBy("u").agg(F.least("u", F.min("m")).alias("m"), F.collect_list("salt").alias("salts"))
+    moved = around.join(low.select("u", "m", F.explode("salts").alias("salt")).hint("merge"), ["u", "salt"])
     if large:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -104,8 +111,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links (u, v of type long): component is the smallest node that it reaches.
 
-    Alternates large-star and small-star steps, each round stored, until the links no longer change. Links with a null end or from
-    a node to itself say nothing and are left out; no links give no rows.
+    Alternates large-star and small-star steps until the links no longer change. Each round is stored and the one before it deleted.
+    Links with a null end or from a node to itself say nothing and are left out; no links give no rows.
     """
     links = links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links, before = stored(links, "links"), None
@@ -113,5 +120,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before, links = now, stored(_star(_star(links, True), False), "links")
+        last, before = links, now
+        links = stored(_star(_star(links, True), False), "links")
+        dropped(last)
     raise RuntimeError("connected components did not settle")

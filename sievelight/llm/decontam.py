@@ -86,11 +86,27 @@ def joined(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _items(benchmark: DataFrame, most_bytes: int) -> tuple[DataFrame, int]:
-    """The items, and how many automata they are dealt to by their size."""
+def _items(benchmark: DataFrame, size: int, most_bytes: int) -> list[DataFrame]:
+    """The benchmark in parts that one automaton holds each: its items, or if they are over most_bytes, their different windows, dealt
+    by hash of the words, so that an item_id's share of the benchmark says nothing about a part's size."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
-    total = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + F.length("item_id"))).first()[0] or 0
-    return items, -(-total // (most_bytes // 2)) if total > most_bytes else 1
+    bytes_of = lambda df: df.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + F.length("item_id"))).first()[0] or 0
+    if bytes_of(items) <= most_bytes:
+        return [items]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(name, x) for name, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True) for x in _windows(words(t), size)]
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], ["item_id", "text"])
+
+    windows = stored(items.mapInArrow(cut, "item_id string, text binary").distinct(), "windows")
+    groups = -(-bytes_of(windows) // (most_bytes // 2))
+    return [windows.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g) for g in range(groups)]
+
+
+def _windows(w: list[bytes], size: int) -> list[bytes]:
+    return [b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1) if w else 0)]
 
 
 def _held(items: DataFrame) -> list[tuple[str, bytes | None]]:
@@ -124,14 +140,14 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_byt
 
     Null texts have no words, items without words no windows. Items that share an item_id count as one; a null item_id counts as "".
     Repeated rows come back as often as they came; empty tables give no rows (docs) or no hits (benchmark). A benchmark over most_bytes
-    is dealt to several automata by item; the hits of their passes are put together a row.
+    is dealt to several automata by window; the hits of their passes are put together a row. Texts are searched whole, however long.
     """
-    items, groups = _items(benchmark, most_bytes)
+    parts = _items(benchmark, size, most_bytes)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    if groups == 1:
-        return _searched(texts, items, size)
+    if len(parts) == 1:
+        return _searched(texts, parts[0], size)
     texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
-    passes = [_searched(texts, items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g), size) for g in range(groups)]
+    passes = [_searched(texts, part, size) for part in parts]
     found = stored(passes[0], "found")
     for x in passes[1:]:
         found = found.unionByName(stored(x.where("size(items) > 0"), "found"))
@@ -146,13 +162,14 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_byt
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_bytes: int = BENCHMARK_BYTES) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs, in the same columns: one pass an automaton, without a shuffle."""
-    items, groups = _items(benchmark, most_bytes)
+    """The rows of docs in which no window of the benchmark occurs, in the same columns: one pass an automaton, without a shuffle.
+
+    Null and empty texts have no words and stay; rows with a null doc_id and repeated rows are judged like any other; texts are searched
+    whole. An empty benchmark lets every row stay, an empty table gives no rows. Other columns, of whatever name, pass through.
+    """
     out = docs
-    for g in range(groups):
-        part = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)
-        shared = docs.sparkSession.sparkContext.broadcast(_held(part))
-        out = out.mapInArrow(_cleaner(shared, size), docs.schema)
+    for part in _items(benchmark, size, most_bytes):
+        out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(_held(part)), size), docs.schema)
     return out
 
 

@@ -6,12 +6,14 @@ what they emit. A fingerprint has SAMPLES bytes, each a hash of the three charac
 sampled from those that the walk of a text has (a text's own length of it), consistently: texts of lengths p < q share a sampled step
 with probability p/q. Equal bytes estimate likeness.
 
-Near duplicates are found by bands of sampled bytes and verified by all of them.
+Near duplicates are found by bands: each samples WIDTH of the bytes, and texts that agree in all of a band's are verified by all
+bytes. There are as many bands as find RECALL of the pairs that are just alike enough, and more of those that are more alike.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, mix64, stored
+from .common import components, forest, met, mix64, stored
 
 SAMPLES = 128
 #: Random bits repeat after PERIOD steps; characters share them in CLASSES classes.
 PERIOD, CLASSES, SEED = 4096, 64, 20260711
-BANDS, TILE = 32, 1024
+#: Bytes in a band, the share of pairs at the threshold that bands find, and members of a bucket that are compared at once.
+WIDTH, RECALL, TILE = 4, 0.985, 1024
 
 
 def _bits() -> np.ndarray:
@@ -150,7 +153,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary")
 
 
-def edits(docs: DataFrame) -> DataFrame:
+def _edits(docs: DataFrame) -> DataFrame:
     """Every row of docs with its fingerprint, and against its edited text and the next document (columns of OUT).
 
     The next document is the one with the next smaller doc_id (null last; equal ones by text), after the last the first. Rows are
@@ -159,7 +162,7 @@ def edits(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     order = (F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.desc_nulls_last("doc_id")).sortWithinPartitions(*order)
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(order[0], F.asc_nulls_first(F.substring("text", 1, 32))).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, none = TaskContext.get().partitionId(), None, (None,) * len(_ARROW)
@@ -190,44 +193,88 @@ def edits(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(rows, _ARROW)
 
-    both = first.where("part is null").drop("part", "head", "text").unionByName(pairs.mapInArrow(finish, OUT))
-    return both.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+    return first.where("part is null").drop("part", "head", "text").unionByName(pairs.mapInArrow(finish, OUT))
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.5, bands: int = BANDS, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id of every row: the smallest doc_id that links of likeness of least or more reach.
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+
+
+def edits(docs: DataFrame) -> DataFrame:
+    """What _edits gives, digests and fingerprints as lowercase hex."""
+    return _told(_edits(docs))
 
-    Equal fingerprints are taken together first. Different ones are candidates if a band of SAMPLES / bands sampled bytes is equal; all
-    candidates are verified by all bytes, as numpy compares pairs of tiles of up to tile members of a bucket, so that large buckets
-    spread over tasks. A null doc_id links nothing; an empty table gives no rows.
+
+def judged(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """edits() with component_id: of the documents whose fingerprints links of likeness of least or more connect, the smallest doc_id.
+
+    A null doc_id links nothing and has a null component_id; all else as in _edits.
+    """
+    rows = stored(_edits(docs), "edited")
+    of = grouped(rows.select("doc_id", F.col("fingerprint").alias("fp")), least).withColumnRenamed("fp", "fingerprint")
+    out = _told(rows.join(of, "fingerprint", "left").select(*rows.columns, "component_id"))
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
+def bands_of(least: float, width: int = WIDTH, recall: float = RECALL) -> list[list[int]]:
+    """The bytes that each band samples: as many bands as a pair of likeness least meets in one of them with the given probability."""
+    same = (least + (1 - least) / 256) ** width
+    n = 1 if same >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+    rng, order = np.random.default_rng(SEED + 2), []
+    while len(order) < n * width:  # every byte once before any comes again
+        order += rng.permutation(SAMPLES).tolist()
+    return [order[k * width : (k + 1) * width] for k in range(n)]
+
+
+def _like(a: np.ndarray, na: np.ndarray, c: np.ndarray, nc: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as connect what rows of a and c with a likeness of least or more do."""
+    us, vs = [], []
+    for i in range(len(a)):
+        same = (a[i] == c).mean(1)
+        near = nc[(same - 1 / 256) / (1 - 1 / 256) >= least]
+        near = near[near != na[i]]
+        us.append(np.full(len(near), na[i]))
+        vs.append(near)
+    return forest(np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def grouped(fps: DataFrame, least: float = 0.5, tile: int = TILE) -> DataFrame:
+    """fp and component_id of the different fingerprints of fps (doc_id, fp): the smallest doc_id that links reach.
+
+    Keys of bands that several share make buckets; a bucket over tile members is cut into tiles that meet in pairs, each pair in a
+    task of its own, so that no bucket, however large, lands in one task. Rows without a doc_id are left out.
     """
-    fps = stored(fingerprints(docs), "prints")
     nodes = stored(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    width = SAMPLES // bands
-    banded = nodes.select("fp", "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring(F.col("fp"), (i * width + 1).cast("int"), F.lit(width)))).alias("band", "key"))
-    sizes = banded.groupBy("band", "key").count().where("count > 1").select("band", "key", F.ceil(F.col("count") / tile).alias("tiles"))
-    tiled = banded.join(sizes, ["band", "key"]).groupBy("band", "key", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile")).agg(F.collect_list(F.struct("node", "fp")).alias("m"))
-    tiled = stored(tiled, "buckets")
-    other = tiled.select("band", "key", F.col("tile").alias("tile2"), F.col("m").alias("m2"))
-    pairs = tiled.join(other, ["band", "key"]).where("tile <= tile2").select("m", "m2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = [F.xxhash64(F.lit(k), F.concat(*(F.substring("fp", p + 1, 1) for p in at))) for k, at in enumerate(bands_of(least))]
+    banded = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / tile).alias("tiles"))
+    # the second exchange of the few keys lets Spark split a hot key's rows on the other side
+    members = banded.join(shared.repartition("key").hint("merge"), "key").select("key", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("part"), "node")
+    tiled = members.join(nodes.hint("merge"), "node").groupBy("key", "tiles", "part").agg(F.collect_list(F.struct("node", "fp")).alias("m"))
+    tiled = stored(tiled.withColumn("tile", F.monotonically_increasing_id()), "buckets")
+
+    def body(m: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(x["fp"] for x in m), np.uint8).reshape(-1, SAMPLES), np.array([x["node"] for x in m], np.int64)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            us, vs = [], []
-            for m, m2 in zip(b.column("m").to_pylist(), b.column("m2").to_pylist(), strict=True):
-                a, c = (np.frombuffer(b"".join(x["fp"] for x in y), np.uint8).reshape(-1, SAMPLES) for y in (m, m2))
-                na, nc = (np.array([x["node"] for x in y], np.int64) for y in (m, m2))
-                for i in range(len(a)):
-                    same = (a[i] == c).mean(1)
-                    near = np.flatnonzero((same - 1 / 256) / (1 - 1 / 256) >= least)
-                    near = near[nc[near] != na[i]]
-                    us.append(np.full(len(near), na[i]))
-                    vs.append(nc[near])
-            if us:
-                u, v = forest(np.concatenate(us), np.concatenate(vs))
-                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    found = components(pairs.mapInArrow(run, "u long, v long"))
-    of = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(of, "fp", "left")
+            found = [_like(*body(m), *body(m), least) for m in b.column("m").to_pylist()]
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
+
+    large = tiled.where("tiles > 1")
+    pairs = large.select("key", "tile").join(large.select("key", F.col("tile").alias("other")), "key").where("tile <= other").select("tile", "other")
+    links = tiled.where("tiles = 1").select("m").mapInArrow(alone, "u long, v long").union(met(stored(pairs, "pairs"), large.select("tile", "m"), large.count(), lambda x, y: _like(*body(x["m"]), *body(y["m"]), least)))
+    return nodes.join(components(links).hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.5, tile: int = TILE) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id of every row: the smallest doc_id that links of likeness of least or more reach.
+
+    Equal fingerprints are one; of different ones, what shares a band's bytes is verified by all bytes. Null and empty texts share a
+    fingerprint and are linked like any other, repeated rows come back as often as they came; texts are read whole. A null doc_id links
+    nothing; an empty table gives no rows.
+    """
+    fps = stored(fingerprints(docs), "prints")
+    out = fps.join(grouped(fps, least, tile), "fp", "left")
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

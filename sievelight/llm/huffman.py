@@ -184,7 +184,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, extra_
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) from the files at path."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) from the files at path.
+
+    A row for each that was written, null doc_ids and repeated rows included; files of an empty table give no rows. A block in memory
+    holds whole documents, so at least its longest.
+    """
     coded = np.array([tuple(r) for r in spark.read.parquet(f"{path}/codes").select("id", "bits").collect()], np.int64).reshape(-1, 2)
     shared = spark.sparkContext.broadcast((coded[:, 0], coded[:, 1]))  # bounded by the vocabulary
     blocks = spark.read.parquet(f"{path}/blocks")

@@ -103,6 +103,7 @@ def repack(group: pd.DataFrame, capacity: int, first: bool) -> pd.DataFrame:
     opens = np.flatnonzero(np.diff(b, prepend=-1))
     out["offset"] = ends - n - np.repeat((ends - n)[opens], np.diff(np.append(opens, len(b))))
     out["sequence_id"] = out["uid"].to_numpy()[opens][np.searchsorted(b[opens], b)]  # a bin is named after its first piece
+    out["certified"] = done
     out["final"] = done | (fill[b] == capacity)
     return out
 
@@ -112,10 +113,11 @@ def _repacker(capacity: int, first: bool) -> Callable[[pd.DataFrame], pd.DataFra
 
 
 def pack(parts: DataFrame, capacity: int, group: int = GROUP, most_rounds: int = 4) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset for all of parts (as pieces() gives them)."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset for all of parts (as pieces() gives them); certified tells that the
+    bins of a piece's last group are as few as its bound allows."""
     spark, kept = parts.sparkSession, []
-    schema = f"{PIECE}, uid long, sequence_id long, offset long, final boolean"
-    left = stored(parts, "pieces").withColumns({"sequence_id": F.col("uid"), "offset": F.lit(0).cast("long"), "final": F.lit(False)})
+    schema = f"{PIECE}, uid long, sequence_id long, offset long, certified boolean, final boolean"
+    left = stored(parts, "pieces").withColumns({"sequence_id": F.col("uid"), "offset": F.lit(0).cast("long"), "certified": F.lit(False), "final": F.lit(False)})
     before = None
     for k in range(most_rounds):
         n = left.count()
@@ -131,10 +133,11 @@ def pack(parts: DataFrame, capacity: int, group: int = GROUP, most_rounds: int =
     out = kept[0]
     for x in kept[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """Pack all documents. A null text counts as empty (its end id alone); repeated rows are packed as often as they come; equal
-    sizes go in the order of rows; an empty table gives no rows; columns besides doc_id and text are not read."""
+    sizes go in the order of rows; very long texts become as many pieces as they need; an empty table gives no rows; columns besides
+    doc_id and text are not read."""
     return pack(pieces(docs, tokenizer, end_id, capacity), capacity)

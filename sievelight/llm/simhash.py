@@ -8,7 +8,7 @@ fingerprints, so a large group of near copies costs one row a fingerprint, never
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, mix64, numbered, stored
+from .common import components, forest, met, mix64, numbered, stored
 
 #: Fingerprints in a tile: what pairs of tiles move is the square of all over this. They are compared in parts, which are skipped alike.
-TILE, PART, MOST_TASKS = 32768, 512, 20_000
+TILE, PART = 32768, 512
 #: Sets of LEAST to FEW shingles differ in one from what is 0.8 similar, if one holds the other, or not at all.
 LEAST, FEW = 5, 9
 #: Bytes of shingles, and sets, that are compared with as many at once, and the columns of such a row.
 BUNDLE_BYTES, MOST_SETS = 4 << 20, 4096
-BUNDLE = ["bundle", "lo", "hi", "component", "n", "node", "fps", "hashes"]
+BUNDLE = ["tile", "lo", "hi", "component", "n", "node", "fps", "hashes"]
 
 
 def shingles(text: bytes | None, shingle: int = 4, repeats: bool = True) -> np.ndarray:
@@ -125,42 +125,37 @@ def _tiles(distinct: DataFrame, lanes: int, tile: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, radius: int, lanes: int = 1, tile: int = TILE) -> DataFrame:
-    """Links (u, v) between nodes of distinct (fp, node) that connect what fingerprints at most radius bits apart connect."""
+    """Links (u, v) between nodes of distinct (fp, node) that connect what fingerprints at most radius bits apart connect.
+
+    Which tiles meet is settled by their boxes alone; the fingerprints of a pair then travel once each to the task that compares them.
+    """
     tiles = stored(_tiles(distinct, lanes, tile), "tiles")
     # a's range, widened by the radius, meets b's: an equality of population counts, taken once a pair at the first that both have
-    left = tiles.select("tile", "lo", F.explode(F.sequence(F.col("lo") - radius, F.col("hi") + radius)).alias("ones"))
-    right = tiles.select(F.col("tile").alias("other"), F.col("lo").alias("other_lo"), F.explode(F.sequence("lo", "hi")).alias("ones"))
-    pairs = left.join(right, "ones").where(f"tile <= other and ones = greatest(lo - {radius}, other_lo)").select("tile", "other")
-    body = tiles.select("tile", "box", "fps", "nodes")
-    both = pairs.join(body, "tile").join(body.select(*(F.col(c).alias({"tile": "other"}.get(c, f"{c}2")) for c in body.columns)), "other")
+    left = tiles.select("tile", "lo", "box", F.explode(F.sequence(F.col("lo") - radius, F.col("hi") + radius)).alias("ones"))
+    right = tiles.select(F.col("tile").alias("other"), F.col("lo").alias("other_lo"), F.col("box").alias("box2"), F.explode(F.sequence("lo", "hi")).alias("ones"))
+    close = left.join(right, "ones").where(f"tile <= other and ones = greatest(lo - {radius}, other_lo)").select("tile", "other", "box", "box2")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):  # one pair of tiles in memory at a time
-                u, v = _compare(batch.slice(i, 1).to_pylist()[0], radius, lanes)
-                if len(u):
-                    yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for b in batches if b.num_rows):
+            box, box2 = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int16).reshape(b.num_rows, 2, -1) for c in ("box", "box2"))
+            gap = np.maximum(0, np.maximum(box[:, 0] - box2[:, 1], box2[:, 0] - box[:, 1])).sum(1)
+            yield b.select(["tile", "other"]).filter(pa.array(gap <= radius))
 
-    n = -(-distinct.count() // tile)
-    # by how many pairs there are, not by their bytes: comparing is what takes time
-    return both.repartition(max(1, min(MOST_TASKS, n * (n + 1) // 2)), "tile", "other").mapInArrow(run, "u long, v long")
+    return met(stored(close.mapInArrow(apart, "tile long, other long"), "pairs"), tiles.select("tile", "fps", "nodes"), -(-distinct.count() // tile), lambda x, y: _compare(x, y, radius, lanes))
 
 
-def _compare(r: dict, radius: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    one = r["tile"] == r["other"]
-    box, box2 = (np.frombuffer(r[k], np.int16).reshape(2, -1) for k in ("box", "box2"))
+def _compare(x: dict, y: dict, radius: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    one = x is y
     none = np.empty(0, np.int64)
-    if _gap(*box, *box2) > radius:
-        return none, none
-    a, b = (np.frombuffer(r[k], np.uint64).reshape(-1, lanes) for k in ("fps", "fps2"))
-    na, nb = (np.frombuffer(r[k], np.int64) for k in ("nodes", "nodes2"))
+    a, b = (np.frombuffer(r["fps"], np.uint64).reshape(-1, lanes) for r in (x, y))
+    na, nb = (np.frombuffer(r["nodes"], np.int64) for r in (x, y))
     ca, cb = _counts(a), _counts(b)
     boxes = lambda c: [(c[i : i + PART].min(0), c[i : i + PART].max(0)) for i in range(0, len(c), PART)]
     ba, bb = boxes(ca), boxes(cb)
     us, vs, held = [], [], 0
-    for i, x in enumerate(ba):
-        for j, y in enumerate(bb):
-            if one and j < i or _gap(*x, *y) > radius:
+    for i, p_box in enumerate(ba):
+        for j, q_box in enumerate(bb):
+            if one and j < i or _gap(*p_box, *q_box) > radius:
                 continue
             p, q = near(a[i * PART : (i + 1) * PART], b[j * PART : (j + 1) * PART], radius)
             if one and i == j:
@@ -238,30 +233,22 @@ def _bundles(docs: DataFrame, members: DataFrame, shingle: int, most_bytes: int)
     # one row a node: a doc_id may come back with the same text
     kept = texts.join(of.hint("merge"), "doc_id").select("text", "set", "component", "n", "node", "fp").mapInArrow(hashed, "component long, n long, node long, fp binary, hashes binary").dropDuplicates(["node"])
     dealt = kept.repartitionByRange(cut, "component", "n", "node").sortWithinPartitions("component", "n", "node")
-    return dealt.mapInArrow(run, "bundle long, lo long, hi long, component binary, n binary, node binary, fps binary, hashes binary")
+    return dealt.mapInArrow(run, "tile long, lo long, hi long, component binary, n binary, node binary, fps binary, hashes binary")
 
 
 def similar_links(bundles: DataFrame, radius: int, lanes: int, ratio: tuple[int, int]) -> DataFrame:
     """Links (u, v) that connect what pairs of bundled sets connect: of one component, at most radius bits apart, with a Jaccard
     similarity of ratio (as numerator, denominator) at least. Each pair is compared exactly, or its ends are connected already."""
-    ends = bundles.select("bundle", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c"))
+    ends = bundles.select("tile", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c"))
     # two bundles share at most the component at which one ends and the other begins
-    pairs = ends.join(ends.withColumnRenamed("bundle", "other"), "c").where("bundle < other").select("bundle", "other").union(bundles.select("bundle", F.col("bundle").alias("other"))).distinct()
-    both = pairs.join(bundles, "bundle").join(bundles.select(*(F.col(c).alias({"bundle": "other"}.get(c, f"{c}2")) for c in bundles.columns)), "other")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                u, v = _similar(batch.slice(i, 1).to_pylist()[0], radius, lanes, ratio)
-                if len(u):
-                    yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
-
-    return both.repartition(max(1, min(MOST_TASKS, pairs.count())), "bundle", "other").mapInArrow(run, "u long, v long")
+    pairs = ends.join(ends.withColumnRenamed("tile", "other"), "c").where("tile < other").select("tile", "other").union(bundles.select("tile", F.col("tile").alias("other"))).distinct()
+    full = -(-(bundles.agg(F.sum(F.length("hashes"))).first()[0] or 0) // BUNDLE_BYTES)
+    return met(stored(pairs, "pairs"), bundles.drop("lo", "hi"), full, lambda x, y: _similar(x, y, radius, lanes, ratio))
 
 
-def _similar(r: dict, radius: int, lanes: int, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    one = r["bundle"] == r["other"]
-    (ca, na, ida, ha, fa), (cb, nb, idb, hb, fb) = ((*(np.frombuffer(r[k + x], np.int64) for k in ("component", "n", "node")), np.frombuffer(r["hashes" + x], np.uint64), np.frombuffer(r["fps" + x], np.uint64).reshape(-1, lanes)) for x in ("", "2"))
+def _similar(x: dict, y: dict, radius: int, lanes: int, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    one = x is y
+    (ca, na, ida, ha, fa), (cb, nb, idb, hb, fb) = ((*(np.frombuffer(r[k], np.int64) for k in ("component", "n", "node")), np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["fps"], np.uint64).reshape(-1, lanes)) for r in (x, y))
     words, at = np.unique(np.concatenate([ha, hb]), return_inverse=True)
     wa, wb = at[: len(ha)], at[len(ha) :]
     ea, eb = np.concatenate([[0], np.cumsum(na)]), np.concatenate([[0], np.cumsum(nb)])

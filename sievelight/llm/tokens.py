@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer, word by word with a memo.
 
 The tokenizer splits at white space, so a text's ids are those of its white-space separated chunks in turn. A worker keeps the ids of
-the chunks that it met first (the frequent ones), up to a bound. A new chunk of letters, then punctuation, goes straight to the
+the chunks of up to LONGEST bytes that it met first (the frequent ones), up to a number: so the memo's bytes are bounded, also where
+texts without white space are one chunk each. A new chunk of letters, then punctuation, goes straight to the
 tokenizer's model; whatever else there is goes through the whole tokenizer.
 """
 
@@ -17,6 +18,8 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
 #: Lower-case letters that no normalisation changes, then ASCII punctuation but the apostrophe and anything from U+0180 on.
 _SIMPLE = re.compile("([a-zß-öø-ÿ]+)?([!-&(-/:-@\\[-`{-~]+)?")
+#: Bytes of the longest chunk that is kept.
+LONGEST = 64
 _LOADED: dict[tuple[str, int], WordIds] = {}
 
 
@@ -58,17 +61,17 @@ class WordIds:
             if word:
                 key = word.encode()
                 ids = self.memo.get(key) or self._letters(word)
-                if mark and len(self.memo) < self.most:
+                if mark and len(self.memo) < self.most and len(key) <= LONGEST:
                     self.memo[key] = ids
             if mark:
                 if mark not in self.marks:
                     got = self._full(mark)
-                    if len(self.marks) < 10_000:
+                    if len(self.marks) < 10_000 and len(mark) <= LONGEST:
                         self.marks[mark] = got
                 else:
                     got = self.marks[mark]
                 ids += got
-        if len(self.memo) < self.most:
+        if len(self.memo) < self.most and len(chunk) <= LONGEST:
             self.memo[chunk] = ids
         return ids
 

@@ -91,3 +91,38 @@ def test_near_duplicates_match_all_pairs(spark):
     assert got.pop(None) is None
     assert got == top
     assert ep.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_bands_find_what_is_alike(spark):
+    """Links of the query against all pairs of every twentieth document with all, and buckets that are cut into tiles."""
+    rng = random.Random(12)
+    rows = [(i, _text(rng, 600)) for i in range(60)]
+    for i in range(60, 400):
+        t = list(rows[rng.randrange(60)][1])
+        for _ in range(rng.randint(0, 12)):
+            t[rng.randrange(len(t))] = rng.choice(["", "zz", "q"])
+        rows.append((i, "".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fps = {d: ep._Print(None, t).fp for d, t in rows}
+    for least in (0.8, 0.5):
+        for tile in (ep.TILE, 4):
+            of = {r.doc_id: r.component_id for r in ep.near_duplicates(df, least, tile).collect()}
+            alike = [(a, b) for a in fps if a % 20 == 0 for b in fps if a != b and fps[a] != fps[b] and ep.likeness(fps[a], fps[b]) >= least]
+            assert len(alike) > 20 and np.mean([of[a] == of[b] for a, b in alike]) >= 0.97
+            near = {a: {b for b in fps if ep.likeness(fps[a], fps[b]) >= least} for a in fps}
+            assert all(of[d] == d or of[d] < d for d in fps) and {d for d in fps if of[d] == of[0]} <= _reach(near, 0)
+    assert [len(ep.bands_of(x)) for x in (0.5, 0.8, 1.0)] == [65, 8, 1]
+    pairs = [(a, b) for a in fps for b in fps if a < b and 0.78 <= ep.likeness(fps[a], fps[b]) < 0.84]
+    met = lambda a, b: any(all(fps[a][p] == fps[b][p] for p in at) for at in ep.bands_of(0.8))
+    assert len(pairs) > 20 and np.mean([met(a, b) for a, b in pairs]) >= 0.9
+    q = {r.doc_id: r for r in ep.judged(df).collect()}
+    assert len(q) == 400 and q[0].component_id == 0 and q[0].fingerprint == fps[0].hex()
+
+
+def _reach(near, a):
+    out, todo = {a}, [a]
+    while todo:
+        new = near[todo.pop()] - out
+        out |= new
+        todo += new
+    return out

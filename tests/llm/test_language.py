@@ -1,7 +1,9 @@
 import random
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sievelight.llm import language
 
@@ -35,28 +37,64 @@ def test_nothing_to_learn_from(spark):
     assert language.judged(docs.limit(0)).count() == 0
 
 
-def test_presence_and_kernel_by_hand():
-    p = language.presence("Ab, 1b")
-    grams = set()
-    s = " ab b "
-    for n in range(1, 5):
-        for i in range(len(s) - n + 1):
-            h = np.zeros(1, np.uint64)
-            for k in range(n):
-                h = language.mix64(h * np.uint64(31) + np.uint64(ord(s[i + k])) + np.uint64(k + 1))
-            grams.add(int(h[0]) % language.DIMENSIONS)
-    assert set(np.flatnonzero(p).tolist()) == grams
-    q = language.presence("b")
-    assert np.isclose(language.kernel(p[None], q[None])[0, 0], (p & q).sum() / np.sqrt(p.sum() * q.sum()))
+def _grams(text):
+    """Different n-grams as strings, by hand."""
+    s = "".join(c if c.isalpha() else " " for c in text.lower())
+    s = f" {re.sub(' +', ' ', s)} "
+    return {s[i : i + n] for n in range(1, 5) for i in range(len(s) - n + 1)}
+
+
+def _id(gram):
+    h = np.zeros(1, np.uint64)
+    for k, c in enumerate(gram):
+        h = language.mix64(h * np.uint64(31) + np.uint64(ord(c)) + np.uint64(k + 1))
+    return int(h[0])
+
+
+def test_presence_and_kernel_by_hand(monkeypatch):
+    a, b = "Ab, 1b", "b"
+    assert _grams(a) == {x for n in range(1, 5) for i in range(6 - n + 1) for x in [" ab b "[i : i + n]]}
+    p, q = language.presence(a), language.presence(b)
+    assert set(p.tolist()) == {_id(g) for g in _grams(a)} and (np.diff(p.astype(object)) > 0).all()
+    assert np.isclose(language.Landmarks.of([q]).kernel([p])[0, 0], len(_grams(a) & _grams(b)) / np.sqrt(len(_grams(a)) * len(_grams(b))))
+    long = " ".join(t for _, t, _ in _rows(50))
+    whole = language.presence(long)
+    monkeypatch.setattr(language, "STRETCH", 37)
+    assert np.array_equal(language.presence(long), whole) and len(whole) == len(_grams(long))
 
 
 def test_fit_is_ridge_on_the_kernel_if_all_rows_are_landmarks():
-    x = np.array([language.presence(t) for _, t, _ in _rows(60)])
-    langs = [g for _, _, g in _rows(60)]
-    m = language.fit(x, langs, landmarks=60, ridge=1e-2)
-    k = language.kernel(x, x).astype(float)
+    texts, langs = [t for _, t, _ in _rows(60)], [g for _, _, g in _rows(60)]
+    present = [language.presence(t) for t in texts]
+    marks = language.Landmarks.of(present)
+    m = language.fit(marks.kernel(present), langs, marks, ridge=1e-2)
+    sets = [_grams(t) for t in texts]
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    assert np.allclose(marks.kernel(present), k)
     names = sorted(set(langs))
     y = np.where(np.array(langs)[:, None] == np.array(names), 1.0, -1.0)
     c = np.diag([60 / (3 * langs.count(g)) for g in langs])
     dual = k @ np.linalg.solve(c @ k + 0.6 * np.eye(60), c @ y)
-    assert np.allclose(m.scores(x), dual, atol=2e-2)
+    assert np.allclose(m.scores(present), dual, atol=1e-6)
+    assert np.allclose(m.scores(present), marks.kernel(present) @ m.weights)
+
+
+def test_query_matches_a_dense_kernel(spark):
+    """The whole query against the kernel from n-grams as strings, over the same landmarks and weights."""
+    rows = _rows(200)
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice(PARTS["bb"]) + chr(97 + rng.randrange(26)) for _ in range(rng.randint(1, 5))) for _ in range(200_000))
+    docs = spark.createDataFrame(rows + [(900, long, None), (901, "a", None), (902, "a", None)], "doc_id long, text string, lang string").repartition(3)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language.learn(docs, ~held)
+    train = [(d, t, g) for d, t, g in rows if zlib.crc32(str(d).encode()) % 4 != 2]
+    kinds = {np.array(sorted(_id(g) for g in _grams(t)), np.uint64).tobytes(): _grams(t) for _, t, _ in train}
+    dense = model.landmarks.dense().astype(bool)
+    marks = [kinds[model.landmarks.ids[dense[:, k]].tobytes()] for k in range(dense.shape[1])]
+    assert len(marks) == len(train)
+    got = {r.doc_id: r for r in language.judged(docs).collect()}
+    for d, t, _ in [*rows[:60], (900, long, None), (901, "a", None)]:
+        own = _grams(t)
+        values = np.array([len(own & m) / np.sqrt(len(own) * len(m)) for m in marks]) @ model.weights
+        assert np.isclose(got[d].score, min(1, max(0, (values.max() + 1) / 2))) and got[d].lang_pred == model.languages[int(values.argmax())]
+    assert got[900].lang_pred == "bb" and got[901].score == got[902].score

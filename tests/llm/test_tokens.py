@@ -115,3 +115,46 @@ def test_pack_documents(spark, group):
     least = packing.bound(np.array([r.length for r in got]), 64)
     assert len(bins) <= (least + 2 if group > 10 else 1.15 * least)  # groups of ten pieces can't be packed as well
     assert packing.pack_documents(_docs(spark, []), PATH).count() == 0
+
+
+def _fewest(sizes, capacity):
+    """Bins of an optimal packing, by trying every bin for every size, largest first."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def put(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(bins)
+            return
+        for room in sorted({b for b in bins if b >= sizes[k]}):
+            rest = list(bins)
+            rest.remove(room)
+            put(k + 1, [*rest, room - sizes[k]])
+        put(k + 1, [*bins, capacity - sizes[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_bounds_and_packings_against_the_fewest_bins():
+    rng = np.random.default_rng(9)
+    met = 0
+    for _ in range(150):
+        sizes = rng.integers(1, 13, rng.integers(1, 10))
+        fewest = _fewest(sizes.tolist(), 12)
+        frame = pd.DataFrame({"doc_id": 0, "length": sizes, "uid": range(len(sizes)), "sequence_id": range(len(sizes))})
+        out = packing.repack(frame, 12, True)
+        bins = out.sequence_id.nunique()
+        assert packing.bound(sizes, 12) <= fewest <= bins
+        assert not out.certified.any() or bins == fewest
+        met += bins == fewest
+    assert met >= 145
+
+
+def test_memo_keeps_short_chunks_only():
+    words = WordIds(PATH, most=100)
+    whole = Tokenizer.from_file(PATH)
+    for t in ("ab" * 5000, "日本" * 4000, "a" * 64, "!" * 300 + " " + "b" * 70 + "!"):
+        assert words.encode(t.encode()).tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert max(map(len, words.memo)) <= 64 and all(len(m) <= 64 for m in words.marks)
