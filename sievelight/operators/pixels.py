@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..params import DEFAULT, Params
+from .telemetry import folded
 
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 MIN_BLOB, RIM, MIN_FRACTION, MAX_FRACTION, SECOND, MARGIN = 30, 2, 0.01, 0.80, 0.25, 0.10  # fixed values
@@ -100,15 +101,19 @@ def crop_square(df: DataFrame, height: float, width: float) -> DataFrame:
     return df.withColumn("side", side).withColumn("x0", start("x", width)).withColumn("y0", start("y", height))
 
 
-def sanity(stats: DataFrame, images: DataFrame, height: int, width: int) -> DataFrame:
-    """img and sanity of every image for its main object: the first rule that speaks."""
-    main = crop_square(main_objects(stats), height, width)
+def sanity(stats: DataFrame, images: DataFrame, height: int, width: int, params: Params = DEFAULT, chosen: DataFrame | None = None) -> DataFrame:
+    """img and sanity of every image (img, and cov where its coverage is known) for its main object, or the component chosen otherwise
+    (rows of stats), which may touch the border: the first rule that speaks."""
+    main = crop_square(main_objects(stats) if chosen is None else chosen, height, width)
     others = stats.select("img", F.col("label").alias("l2"), F.col("area").alias("a2"), F.col("cx").alias("cx2"), F.col("cy").alias("cy2"))
     inside = (F.col("cx2") >= F.col("x0")) & (F.col("cx2") < F.col("x0") + F.col("side")) & (F.col("cy2") >= F.col("y0")) & (F.col("cy2") < F.col("y0") + F.col("side"))
     crowded = main.join(others, "img").where((F.col("l2") != F.col("label")) & (F.col("a2") >= SECOND * F.col("area")) & inside).select("img").distinct().withColumn("crowded", F.lit(True))
     share = F.col("area") / (height * width)
-    rule = F.when(F.col("area").isNull(), "NO_OBJECT").when(share < MIN_FRACTION, "TOO_SMALL").when(share > MAX_FRACTION, "TOO_LARGE").when(F.col("crowded"), "MULTIPLE").otherwise("OK")
-    return images.select("img").distinct().join(main, "img", "left").join(crowded, "img", "left").select("img", rule.alias("sanity"))
+    rule = F.when(F.col("area").isNull(), "NO_OBJECT").when(F.col("touches_border"), "TOUCHES_BORDER").when(share < MIN_FRACTION, "TOO_SMALL").when(share > MAX_FRACTION, "TOO_LARGE").when(F.col("crowded"), "MULTIPLE")
+    if "cov" in images.columns:
+        rule = rule.when(~F.exists("cov", lambda c: c >= params.core_threshold), "NO_CORE")
+    rule = rule.otherwise("OK")
+    return images.select("img", *(["cov"] if "cov" in images.columns else [])).dropDuplicates(["img"]).join(main, "img", "left").join(crowded, "img", "left").select("img", rule.alias("sanity"))
 
 
 def shapes(labelled: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ def shapes(labelled: DataFrame) -> DataFrame:
 
 
 def hull_area(points: np.ndarray) -> float:
-    """Area of the convex hull: the hull's ends along each of its points' angles, walked round; by the cross products of its edges."""
+    """Area of the convex hull: its lower and upper chains over the points from left to right, by the cross products of its edges."""
     pts = np.unique(points, axis=0)
     if len(pts) < 3:
         return 0.0
@@ -209,6 +214,10 @@ def shrunk(pixels: DataFrame, factor: int, channels: tuple[str, ...]) -> DataFra
 
 def adapted(medians: DataFrame, by: str, mu: str, params: Params = DEFAULT) -> DataFrame:
     """by, t, and mu after each empty frame's median m in order of t: a slow average that starts from column mu."""
-    ordered = medians.groupBy(by, mu).agg(F.array_sort(F.collect_list(F.struct("t", "m"))).alias("l"))
-    at = F.transform(F.sequence(F.lit(1), F.size("l")), lambda n: F.struct(F.element_at("l", n)["t"].alias("t"), F.aggregate(F.slice("l", F.lit(1), n), F.col(mu), lambda acc, x: (1 - params.beta) * acc + params.beta * x["m"]).alias("mu")))
-    return ordered.select(by, F.explode(at).alias("z")).select(by, "z.t", "z.mu")
+    rows = medians.select(by, "t", F.col("m").cast("double"), F.col(mu).cast("double").alias("start"))
+
+    def step(last: float | None, row) -> tuple[float, float]:
+        now = (1 - params.beta) * (row.start if last is None else last) + params.beta * row.m
+        return now, now
+
+    return folded(rows, by, ["t"], "mu double", None, step).select(by, "t", "mu")

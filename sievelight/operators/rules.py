@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import stats
 from ..params import DEFAULT, Params
+from .telemetry import folded
 
 
 def votable(verdict: Column, s: Column, params: Params = DEFAULT) -> Column:
@@ -39,27 +37,6 @@ def even_subsample(rows: DataFrame, by: str, order: Column, most: int = 40) -> D
     return at.join(n, by).where((F.col("_n") <= most) | F.array_contains(wanted, F.col("_at"))).drop("_n", "_at")
 
 
-def _folded(rows: DataFrame, by: str, order: list[str], added: str, start: object, step) -> DataFrame:
-    """rows in order with a column that step(state, row) gives together with the next state: a fold over each group's rows as they
-    stream through a task, in constant memory."""
-    names = rows.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, state = object(), start
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                key = getattr(row, by)
-                if key != group:
-                    group, state = key, start
-                state, value = step(state, row)
-                out.append(value)
-            yield b.assign(**{added.split()[0]: out})
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), added])
-    return rows.repartition(by).sortWithinPartitions(by, *order).select(*names).mapInPandas(run, schema)
-
-
 def downsampled(rows: DataFrame, by: str, params: Params = DEFAULT) -> DataFrame:
     """rows (by, t_ms, ...) that come downsample_ms or more after the last one kept."""
 
@@ -67,7 +44,7 @@ def downsampled(rows: DataFrame, by: str, params: Params = DEFAULT) -> DataFrame
         keep = last is None or row.t_ms - last >= params.downsample_ms
         return (row.t_ms if keep else last), keep
 
-    return _folded(rows, by, ["t_ms"], "_kept boolean", None, step).where("_kept").drop("_kept")
+    return folded(rows, by, ["t_ms"], "_kept boolean", None, step).where("_kept").drop("_kept")
 
 
 def novel_views(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
@@ -81,7 +58,7 @@ def novel_views(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
         new = not any(map(like, views))
         return ((*views, (row.theta, row.size, row.area)) if new else views), new
 
-    return _folded(rows, by, order, "_new boolean", (), step).where("_new").drop("_new")
+    return folded(rows, by, order, "_new boolean", (), step).where("_new").drop("_new")
 
 
 def outliers(scores: DataFrame, by: str, order: str, score: str, params: Params = DEFAULT, share: float = 0.2, least: int = 6) -> DataFrame:
@@ -137,7 +114,7 @@ def blocks_per_second(rows: DataFrame, by: str, block_ms: int = 1000) -> DataFra
             return (row.t_ms, 0), n * 1000 / (row.t_ms - began)
         return (began, n), None
 
-    return _folded(rows, by, ["t_ms"], "fps double", None, step).where("fps is not null and not isnan(fps)")
+    return folded(rows, by, ["t_ms"], "fps double", None, step).where("fps is not null and not isnan(fps)")
 
 
 def long_runs(rows: DataFrame, by: str, on: Column, least: int, *order: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -89,3 +92,24 @@ def unmatched(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """side ("missing" or "extra") and key of what only one side has."""
     missing = expected.join(actual, key, "left_anti").select(F.lit("missing").alias("side"), key)
     return missing.unionByName(actual.join(expected, key, "left_anti").select(F.lit("extra").alias("side"), key))
+
+
+def folded(rows: DataFrame, by: str, order: list[str], added: str, start: object, step: Callable) -> DataFrame:
+    """rows in order with a column that step(state, row) gives together with the next state: a fold over each group's rows as they
+    stream through a task, in constant memory."""
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state = object(), start
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                key = getattr(row, by)
+                if key != group:
+                    group, state = key, start
+                state, value = step(state, row)
+                out.append(value)
+            yield b.assign(**{added.split()[0]: out})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), added])
+    return rows.repartition(by).sortWithinPartitions(by, *order).select(*names).mapInPandas(run, schema)

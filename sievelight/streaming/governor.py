@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.telemetry import folded
 from ..params import DEFAULT
 
 # Status and headroom from which on a level is due, and frames a second of each level and when idle.
@@ -50,16 +51,11 @@ def governed(samples: DataFrame, cooldown_ms: int = DEFAULT.cooldown_ms) -> Data
 
 
 def levels(samples: DataFrame, cooldown_ms: int = DEFAULT.cooldown_ms) -> DataFrame:
-    """The same over stored samples, by folding each stream's samples in order of time."""
-    due = samples.select("id", "stream", "t_ms", target(F.col("status"), F.col("headroom")).alias("target"))
-    ordered = due.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("t_ms", "id", "target"))).alias("l"))
-    start = F.struct(F.lit(0).alias("level"), F.lit(None).cast("long").alias("since"), F.array().cast("array<int>").alias("out"))
-
-    def one(acc: Column, x: Column) -> Column:
-        since = F.when(x["target"] < acc["level"], F.coalesce(acc["since"], x["t_ms"]))
-        moves = (x["target"] > acc["level"]) | F.coalesce(x["t_ms"] - since >= cooldown_ms, F.lit(False))
-        level = F.when(moves, x["target"]).otherwise(acc["level"])
-        return F.struct(level.alias("level"), F.when(~moves, since).alias("since"), F.concat(acc["out"], F.array(level)).alias("out"))
-
-    folded = ordered.select("stream", F.arrays_zip("l", F.aggregate("l", start, one, lambda a: a["out"]).alias("level")).alias("z"))
-    return folded.select("stream", F.explode("z").alias("z")).select(F.col("z.l.id").alias("id"), "stream", F.col("z.l.t_ms").alias("t_ms"), F.col("z.l.target").alias("target"), F.col("z.level").alias("level"))
+    """The same over stored samples: each stream's samples in order of time, as they flow through a task."""
+    due = samples.select(F.col("id").cast("long"), F.col("stream").cast("long"), F.col("t_ms").cast("long"), target(F.col("status"), F.col("headroom")).alias("target"))
+
+    def step(state: tuple, row) -> tuple[tuple, int]:
+        (level,), at, since = fall([(row.t_ms, row.target)], *state, cooldown_ms)
+        return (at, since), level
+
+    return folded(due, "stream", ["t_ms", "id"], "level int", (0, None), step)

@@ -26,7 +26,14 @@ def counted(verdicts: DataFrame, window: str = "60 seconds", slide: str = "1 sec
     return verdicts.withWatermark("ts", late).groupBy(F.window("ts", window, slide), "verdict").agg(F.count("*").alias("n")).select(F.col("window.end").alias("until"), "verdict", "n")
 
 
-def logged(stream: DataFrame, path: str, progress: str):
-    """A stream as JSON lines, each with its type and time."""
-    lines = stream.withColumn("wallMs", F.unix_millis(F.current_timestamp()))
+def logged(stream: DataFrame, kind: str, path: str, progress: str, began_ms: int = 0):
+    """A stream as JSON lines, each with its type, the time of day and the time since the session began."""
+    now = F.unix_millis(F.current_timestamp())
+    lines = stream.select(F.lit(kind).alias("type"), now.alias("wallMs"), (now - began_ms).alias("elapsedMs"), "*")
     return lines.writeStream.format("json").option("path", path).option("checkpointLocation", progress).outputMode("append")
+
+
+def csv_log(rows: DataFrame, path: str) -> None:
+    """Rows as CSV with a header in each file; commas in texts become semicolons."""
+    texts = [f.name for f in rows.schema if f.dataType.simpleString() == "string"]
+    rows.withColumns({c: F.translate(c, ",", ";") for c in texts}).write.option("header", True).csv(path)

@@ -1,7 +1,6 @@
 """Tracking detections of a stream over time, with line and steady triggers: one state a stream, held by Structured Streaming.
 
-Rows of a micro-batch are put in order of time first. What is not later than the last frame seen is told apart as LATE and changes
-nothing. A batch of stored rows runs through the same query (see run_available).
+Rows of a micro-batch are put in order of time first. A batch of stored rows runs through the same query (see run_available).
 """
 
 from __future__ import annotations
@@ -168,21 +167,37 @@ def step(scene: Scene, t: int, found: list[dict], p: TrackParams) -> list[tuple]
 EVENTS = "stream long, t_ms long, track int, event string, crop_t_ms long"
 
 
-def tracked(detections: DataFrame, params: TrackParams = TrackParams()) -> DataFrame:
-    """Events of a streaming DataFrame of detections (stream, t_ms, x, y, area, sharp, border); a frame without any is a row with a null x."""
+def tracked(detections: DataFrame, params: TrackParams = TrackParams(), complete: bool = False, silent_ms: int | None = None) -> DataFrame:
+    """Events of a streaming DataFrame of detections (stream, t_ms, x, y, area, sharp, border); a frame without any is a row with a null x.
+
+    A frame earlier than the last one taken is told apart as LATE and changes nothing; one of the same time is matched, and leaves
+    velocities as they are. With complete, the newest frame of each stream waits until a later one is seen, so that a frame whose rows
+    come in several micro-batches is taken whole. With silent_ms, a stream that is silent for so long by the clock gives what waits, and
+    its state goes; such a query has batches without data and is for continuous running, not for a run over what is available.
+    """
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        scene = Scene.loads(state.get[0]) if state.exists else Scene()
-        rows = pd.concat(list(chunks)).sort_values(["t_ms", "x", "y"], kind="stable")
-        out = []
+        scene, waiting = (Scene.loads(state.get[0]), json.loads(state.get[1])) if state.exists else (Scene(), [])
+        out, ends = [], state.hasTimedOut
+        rows = pd.concat([pd.DataFrame(waiting, columns=["stream", "t_ms", "x", "y", "area", "sharp", "border"]), *chunks]) if waiting else pd.concat(list(chunks))
+        rows = rows.sort_values(["t_ms", "x", "y"], kind="stable")
+        newest, waiting = rows["t_ms"].max(), []
         for t, frame in rows.groupby("t_ms", sort=True):
-            if scene.last is not None and t <= scene.last:
+            if scene.last is not None and t < scene.last:
                 out.append((int(key[0]), int(t), 0, "LATE", None))
                 continue
+            if complete and t == newest and not ends:
+                waiting = json.loads(frame.to_json(orient="values"))
+                continue
             found = frame.dropna(subset=["x"])[["x", "y", "area", "sharp", "border"]].to_dict("records")
             out += [(int(key[0]), int(t), *e) for e in step(scene, int(t), found, params)]
-        state.update((scene.dumps(),))
+        if ends:
+            state.remove()
+        else:
+            state.update((scene.dumps(), json.dumps(waiting)))
+            if silent_ms is not None:
+                state.setTimeoutDuration(silent_ms)
         yield pd.DataFrame(out, columns=["stream", "t_ms", "track", "event", "crop_t_ms"]).astype({"crop_t_ms": "Int64"})
 
     shaped = detections.select(F.col("stream").cast("long"), F.col("t_ms").cast("long"), *(F.col(c).cast("double") for c in ("x", "y", "area", "sharp")), F.col("border").cast("boolean"))
-    return shaped.groupBy("stream").applyInPandasWithState(run, EVENTS, "scene string", "append", "NoTimeout")
+    return shaped.groupBy("stream").applyInPandasWithState(run, EVENTS, "scene string, waiting string", "append", "NoTimeout" if silent_ms is None else "ProcessingTimeTimeout")
