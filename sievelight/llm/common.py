@@ -14,8 +14,8 @@ from ..sources.shared import dropped, new_path, shared_dir, stored, table  # noq
 #: ASCII upper case to lower case; bytes.lower() does the same and leaves bytes from 0x80 on alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Parts that the links of a node are dealt to, and tasks that pairs of bodies are dealt to at most.
-SALTS, MOST_TASKS = 32, 20_000
+#: Parts that the links of a node are dealt to, tasks that pairs of bodies are dealt to at most, and blocks of bodies at least.
+SALTS, MOST_TASKS, BLOCKS = 32, 20_000, 16
 
 
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
@@ -68,15 +68,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def met(pairs: DataFrame, bodies: DataFrame, full: int, compare: Callable[[dict, dict], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Links (u, v) that compare finds for pairs (tile, other) of bodies (tile, ...); a body travels once a pair to the task of the pair.
+    """Links (u, v) that compare finds for pairs (tile, other; tile <= other) of bodies (tile, ...). A tile is numbered by its partition,
+    shifted by 33 bits, and its place there.
 
-    Comparing is what takes time, so there are as many tasks as pairs of full bodies, of which there would be `full`: many partitions
-    leave many small bodies, whose pairs share tasks.
+    Comparing is what takes time, so there are as many blocks of neighbouring partitions as full bodies (`full`), and a task a pair of
+    blocks: many small bodies share tasks. A body travels once a pair. What a task links is thinned to a forest over all its pairs, so
+    that a node that is near to a whole group is named a few times a block, not once a pair.
     """
-    ends = pairs.select("tile", "other", F.explode(F.array_distinct(F.array("tile", "other"))).alias("own"))
+    n, last = pairs.agg(F.count("*"), F.max(F.shiftright("other", 33))).first()
+    parts = (last or 0) + 1
+    blocks = min(parts, max(full, BLOCKS))
+    block = lambda c: F.floor(F.shiftright(c, 33) * blocks / parts)
+    ends = pairs.select("tile", "other", block("tile").alias("a"), block("other").alias("b"), F.explode(F.array_distinct(F.array("tile", "other"))).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None  # the first body of the pair at hand; one that meets itself comes alone
+        us, vs, size = [], [], 0
         for batch in batches:
             for i in range(batch.num_rows):  # one pair in memory at a time
                 r = batch.slice(i, 1).to_pylist()[0]
@@ -85,12 +92,19 @@ def met(pairs: DataFrame, bodies: DataFrame, full: int, compare: Callable[[dict,
                     continue
                 u, v = compare(r if r["tile"] == r["other"] else held, r)
                 held = None
-                if len(u):
-                    yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
-
-    tasks = max(1, min(MOST_TASKS, pairs.count(), full * (full + 1) // 2))
-    dealt = ends.join(bodies.withColumnRenamed("tile", "own"), "own").repartition(tasks, "tile", "other")
-    return dealt.sortWithinPartitions("tile", "other", F.col("own") != F.col("tile")).mapInArrow(run, "u long, v long")
+                us.append(u)
+                vs.append(v)
+                size += len(u)
+                if size > 500_000:
+                    u, v = forest(np.concatenate(us), np.concatenate(vs))
+                    us, vs, size = [u], [v], 0
+        if us:
+            u, v = forest(np.concatenate(us), np.concatenate(vs))
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    tasks = max(1, min(MOST_TASKS, n, blocks * (blocks + 1) // 2))
+    dealt = ends.join(bodies.withColumnRenamed("tile", "own"), "own").repartition(tasks, "a", "b")
+    return dealt.sortWithinPartitions("a", "b", "tile", "other", F.col("own") != F.col("tile")).mapInArrow(run, "u long, v long")
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

@@ -8,11 +8,13 @@ fingerprints, so a large group of near copies costs one row a fingerprint, never
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,7 @@ def _tiles(distinct: DataFrame, lanes: int, tile: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int]] = []
+        number = itertools.count(TaskContext.get().partitionId() << 33)
 
         def rows(part: list[tuple[bytes, int]]) -> pa.RecordBatch:
             fps = np.frombuffer(b"".join(x for x, _ in part), ">u8").astype(np.uint64).reshape(-1, lanes)
@@ -106,7 +109,7 @@ def _tiles(distinct: DataFrame, lanes: int, tile: int) -> DataFrame:
             order = np.lexsort([*c.T[::-1], c.sum(1)])
             fps, nodes, c = fps[order], nodes[order], c[order]
             total = c.sum(1)
-            return pa.record_batch([pa.array(x) for x in ([int(nodes[0])], [int(total.min())], [int(total.max())], [np.concatenate([c.min(0), c.max(0)]).astype(np.int16).tobytes()], [fps.tobytes()], [nodes.tobytes()])], ["tile", "lo", "hi", "box", "fps", "nodes"])
+            return pa.record_batch([pa.array(x) for x in ([next(number)], [int(total.min())], [int(total.max())], [np.concatenate([c.min(0), c.max(0)]).astype(np.int16).tobytes()], [fps.tobytes()], [nodes.tobytes()])], ["tile", "lo", "hi", "box", "fps", "nodes"])
 
         for b in batches:
             held += zip(b.column("fp").to_pylist(), b.column("node").to_pylist(), strict=True)
@@ -116,7 +119,7 @@ def _tiles(distinct: DataFrame, lanes: int, tile: int) -> DataFrame:
         if held:
             yield rows(held)
 
-    n = max(1, distinct.count() // tile)
+    n = max(1, -(-distinct.count() // tile))
     ones = sum((F.bit_count(F.conv(F.substring(F.hex("fp"), 8 * i + 1, 8), 16, 10).cast("long")) for i in range(1, 2 * lanes)), F.bit_count(F.conv(F.substring(F.hex("fp"), 1, 8), 16, 10).cast("long")))
     first = [F.bit_count(F.conv(F.substring(F.hex("fp"), 4 * i + 1, 4), 16, 10).cast("long")) for i in range(3)]
     keyed = distinct.withColumn("ones", ones).withColumns({f"c{i}": x for i, x in enumerate(first)})
@@ -213,10 +216,11 @@ def _bundles(docs: DataFrame, members: DataFrame, shingle: int, most_bytes: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        number = itertools.count(TaskContext.get().partitionId() << 33)
 
         def row() -> pa.RecordBatch:
             component, n, node, fp, hashes = zip(*held, strict=True)
-            return pa.record_batch([pa.array([x]) for x in (node[0], component[0], component[-1], *(np.array(x, np.int64).tobytes() for x in (component, n, node)), np.frombuffer(b"".join(fp), ">u8").astype(np.uint64).tobytes(), b"".join(hashes))], BUNDLE)
+            return pa.record_batch([pa.array([x]) for x in (next(number), component[0], component[-1], *(np.array(x, np.int64).tobytes() for x in (component, n, node)), np.frombuffer(b"".join(fp), ">u8").astype(np.uint64).tobytes(), b"".join(hashes))], BUNDLE)
 
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("component", "n", "node", "fp", "hashes")), strict=True):
