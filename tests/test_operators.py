@@ -204,3 +204,33 @@ def test_teaching_reports_what_it_cannot_teach(spark):
     assert got[1][0] == "PASS" and got[3] == ("REFRAME", "TOO_SMALL") and got[4] == ("NOT_ENROLLED", "identity") and got[2][0] in ("DEFECT", "NOT_ENROLLED")
     cal = twin.calibrated(taught.limits, spark.createDataFrame([(0, 99.0, True), (0, float("nan"), True), (0, 500.0, False)], "twin long, raw double, id_ok boolean"))
     assert {r.twin: (r.tau, r.n) for r in cal.where("twin = 0").collect()} == {0: (99.0, 1)}
+
+
+def test_a_hot_key_is_spread_over_partitions(spark):
+    """Pairs of tiles of one key lie in many partitions, none with far more than its share."""
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(i, 1, rng.random(3).tolist()) for i in range(640)], "id long, twin long, f array<double>")
+    tiles = knn._tiles(df, "twin", "id", None, "f", 32)
+    pairs = knn.paired(tiles, tiles, 16).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert sum(r["count"] for r in pairs) == 400 and len(pairs) >= 12 and max(r["count"] for r in pairs) <= 60
+
+
+def test_quantiles_of_counted_values(spark):
+    rng = random.Random(12)
+    rows = [(g, float(rng.choice([rng.randint(0, 9), rng.random() * 100]))) for g in range(3) for _ in range(rng.choice([1, 2, 500]))] + [(7, None)]
+    from sievelight.functions import stats
+
+    got = {r.g: (r.a, r.b, r.c) for r in stats.quantiles(spark.createDataFrame(rows, "g int, v double"), "v", ["g"], [0.05, 0.5, 0.99], ["a", "b", "c"]).collect()}
+    for g in range(3):
+        assert np.allclose(got[g], np.quantile([v for h, v in rows if h == g], [0.05, 0.5, 0.99]))
+
+
+def test_split_parts_and_novel_views(spark):
+    from sievelight.operators import crops, rules
+
+    stats_ = [(0, 1, 100, 0, 9, 0, 9, 5.0, 5.0, False), (0, 2, 40, 12, 15, 0, 9, 14.0, 5.0, True), (0, 3, 30, 18, 20, 0, 9, 19.0, 5.0, False), (0, 4, 2, 10, 10, 0, 0, 10.0, 0.0, False), (0, 5, 90, 0, 9, 40, 49, 5.0, 45.0, False)]
+    df = spark.createDataFrame(stats_, "img long, label long, area long, min_x int, max_x int, min_y int, max_y int, cx double, cy double, touches_border boolean")
+    got = {r.label: (r.area, r.max_x, r.touches_border) for r in crops.merged(df).collect()}
+    assert got == {1: (170, 20, True), 4: (2, 10, False), 5: (90, 9, False)}
+    views = spark.createDataFrame([(0, i, th, 10.0, 50.0) for i, th in enumerate((0.0, 0.1, 0.5, 3.1, 1.5))] + [(0, 9, 0.0, 12.0, 50.0)], "s long, i long, theta double, size double, area double")
+    assert [r.i for r in rules.novel_views(views, "s", ["i"]).orderBy("i").collect()] == [0, 2, 4, 9]
