@@ -15,6 +15,19 @@ from ..sources.shared import stored
 RANGES = 64
 
 
+def alike(df: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """df with the columns of few's row of equal values; nulls are equal, too."""
+    right = few.withColumnsRenamed({c: f"_{c}_" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in on]
+    return df.join(right, same).drop(*(f"_{c}_" for c in on))
+
+
+def ranged(df: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """df with _o, its order, and _part: rows are range-partitioned by group and order, so that a large group spreads over parts that
+    follow each other. What a window over (by, _part) finds is carried on from part to part over one row a group and part."""
+    return stored(df.withColumn("_o", order).repartitionByRange(*by, "_o").withColumn("_part", F.spark_partition_id()), "ranged")
+
+
 def positions(df: DataFrame, by: list[str], order: Column) -> DataFrame:
     """df with _at: each row's place (from 0) in its group's order. Rows are range-partitioned by group and order, so that a large group
     spreads; how many of a group lie in the partitions before is a sum over one row a group and partition."""
@@ -23,7 +36,7 @@ def positions(df: DataFrame, by: list[str], order: Column) -> DataFrame:
     parts = kept.groupBy(*by, "_part").agg(F.count("*").alias("_k"), F.min("_id").alias("_first"))
     before = F.sum("_k").over(W.partitionBy(*by).orderBy("_part")) - F.col("_k")
     starts = parts.select(*by, "_part", "_first", before.alias("_before"))
-    return kept.join(starts, [*by, "_part"]).withColumn("_at", F.col("_id") - F.col("_first") + F.col("_before")).drop("_o", "_id", "_part", "_first", "_before")
+    return alike(kept, starts, [*by, "_part"]).withColumn("_at", F.col("_id") - F.col("_first") + F.col("_before")).drop("_o", "_id", "_part", "_first", "_before")
 
 
 def quantiles(df: DataFrame, value: str, by: list[str], at: list[float], names: list[str]) -> DataFrame:

@@ -118,11 +118,14 @@ def blocks_per_second(rows: DataFrame, by: str, block_ms: int = 1000) -> DataFra
 
 
 def long_runs(rows: DataFrame, by: str, on: Column, least: int, *order: str) -> DataFrame:
-    """by, first, last and n of every stretch of `least` rows or more in a row where on holds; first and last are values of order[0]."""
-    w = W.partitionBy(by).orderBy(*order)
-    flagged = rows.withColumn("_on", F.coalesce(on, F.lit(False)))
-    islands = flagged.withColumn("_run", F.sum((~F.col("_on")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).where("_on")
-    return islands.groupBy(by, "_run").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("_run")
+    """by, first, last and n of every stretch of `least` rows or more in a row where on holds; first and last are values of order[0].
+    A row's stretch is numbered by the rows before it where on doesn't hold: those of its range, and those of the ranges before."""
+    rows = stats.ranged(rows.withColumn("_off", (~F.coalesce(on, F.lit(False))).cast("int")), [by], F.struct(*order))
+    before = rows.groupBy(by, "_part").agg(F.sum("_off").alias("_n")).select(by, "_part", (F.sum("_n").over(W.partitionBy(by).orderBy("_part")) - F.col("_n")).alias("_before"))
+    upto = W.partitionBy(by, "_part").orderBy("_o").rowsBetween(W.unboundedPreceding, 0)
+    islands = stats.alike(rows.withColumn("_in", F.sum("_off").over(upto)).where("_off = 0"), before, [by, "_part"])
+    run = islands.groupBy(by, (F.col("_before") + F.col("_in")).alias("_run"))
+    return run.agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("_run")
 
 
 def heat(v: Column, tau: Column) -> Column:

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import stats
 from ..params import DEFAULT, Params
 from ..sources.shared import stored
 
-SALTS = 32
+#: Parts that a group is dealt to, and rows of a group that a moving average takes at once.
+SALTS, STRETCH = 32, 4096
 
 
 def latest(df: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
@@ -42,18 +44,39 @@ def per_minute(df: DataFrame, by: str, params: Params = DEFAULT) -> DataFrame:
 
 
 def runs(df: DataFrame, by: str, event: Column, reset: Column, *order: Column) -> DataFrame:
-    """df with run: how many events there were since the last reset, this row included; rows that are neither leave it as it is."""
-    w = W.partitionBy(by).orderBy(*order)
-    grouped = df.withColumn("_group", F.sum(reset.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    within = W.partitionBy(by, "_group").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return grouped.withColumn("run", F.sum(F.when(reset, 0).otherwise(event.cast("int"))).over(within)).drop("_group")
+    """df with run: how many events there were since the last reset, this row included; rows that are neither (or null) leave it as it
+    is. Ranges of the order are counted apart; a range goes on from the events after the last reset before it."""
+    flagged = df.withColumn("_event", F.coalesce(event, F.lit(False)).cast("int")).withColumn("_reset", F.coalesce(reset, F.lit(False)).cast("int"))
+    rows = stats.ranged(flagged, [by], F.struct(*order))
+    upto = lambda *g: W.partitionBy(by, *g).orderBy("_o").rowsBetween(W.unboundedPreceding, 0)
+    inside = rows.withColumn("_group", F.sum("_reset").over(upto("_part")))
+    inside = inside.withColumn("run", F.sum(F.when(F.col("_reset") == 1, 0).otherwise(F.col("_event"))).over(upto("_part", "_group")))
+    ends = inside.groupBy(by, "_part").agg(F.max(F.struct("_group", "run")).alias("_end"))
+    parts = W.partitionBy(by).orderBy("_part")
+    since = ends.withColumn("_since", F.sum((F.col("_end._group") > 0).cast("int")).over(parts))
+    tail = since.withColumn("_tail", F.sum("_end.run").over(W.partitionBy(by, "_since").orderBy("_part")))
+    before = tail.select(by, "_part", F.coalesce(F.lag("_tail").over(parts), F.lit(0)).alias("_before"))
+    out = stats.alike(inside, before, [by, "_part"])
+    return out.withColumn("run", F.col("run") + F.when(F.col("_group") == 0, F.col("_before")).otherwise(0)).select(*df.columns, "run")
 
 
 def idle(df: DataFrame, by: str, seen: Column, *order: Column, params: Params = DEFAULT) -> DataFrame:
-    """df (by, t_ms, ...) with idle: nothing seen for idle_ms, counted from the group's first row until something is."""
-    upto = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    last = F.coalesce(F.max(F.when(seen, F.col("t_ms"))).over(upto), F.min("t_ms").over(upto))
-    return df.withColumn("idle", ~seen & (F.col("t_ms") - last >= params.idle_ms))
+    """df (by, t_ms, ...) with idle: nothing seen for idle_ms, counted from the group's first row until something is. Ranges of the order
+    are looked at apart; a range goes on from the last sight before it."""
+    rows = stats.ranged(df.withColumn("_seen", F.coalesce(seen, F.lit(False))), [by], F.struct(*order))
+    sight = F.when(F.col("_seen"), F.col("t_ms"))
+    ends = rows.groupBy(by, "_part").agg(F.max(sight).alias("_sight"), F.min("t_ms").alias("_t0"))
+    earlier = W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = ends.select(by, "_part", F.max("_sight").over(earlier).alias("_sight"), F.min("_t0").over(earlier).alias("_t0"))
+    upto = W.partitionBy(by, "_part").orderBy("_o").rowsBetween(W.unboundedPreceding, 0)
+    out = stats.alike(rows.withColumn("_last", F.max(sight).over(upto)).withColumn("_first", F.min("t_ms").over(upto)), before, [by, "_part"])
+    last = F.coalesce(F.greatest("_last", "_sight"), F.least("_first", "_t0"))
+    return out.withColumn("idle", ~F.col("_seen") & (F.col("t_ms") - last >= params.idle_ms)).select(*df.columns, "idle")
+
+
+def numbered(df: DataFrame, by: str, name: str, *order: Column) -> DataFrame:
+    """df with name: 1, 2, ... in the group's order, counted from ranges of it."""
+    return stats.positions(df, [by], F.struct(*order)).withColumn(name, F.col("_at") + 1).drop("_at")
 
 
 def segments(df: DataFrame, by: str, params: Params = DEFAULT) -> DataFrame:
@@ -64,8 +87,14 @@ def segments(df: DataFrame, by: str, params: Params = DEFAULT) -> DataFrame:
 
 
 def detrended(df: DataFrame, by: str, value: str, half: int, *order: Column) -> DataFrame:
-    """df with detrended: value less its centred moving average, cut off at the ends."""
-    return df.withColumn("detrended", F.col(value) - F.avg(value).over(W.partitionBy(by).orderBy(*order).rowsBetween(-half, half)))
+    """df with detrended: value less its centred moving average, cut off at the ends. A row goes to the stretch of places that it lies in
+    and, near an end, to the one beside, so that partitions are stretches, not groups."""
+    length = max(STRETCH, half)
+    stretch = lambda at: F.floor(at / length)
+    at = stats.positions(df, [by], F.struct(*order))
+    sent = at.withColumn("_s", F.explode(F.sequence(stretch(F.greatest(F.col("_at") - half, F.lit(0))), stretch(F.col("_at") + half))))
+    mean = F.avg(value).over(W.partitionBy(by, "_s").orderBy("_at").rowsBetween(-half, half))
+    return sent.withColumn("detrended", F.col(value) - mean).where(F.col("_s") == stretch(F.col("_at"))).drop("_at", "_s")
 
 
 def matched(expected: DataFrame, actual: DataFrame, by: str, params: Params = DEFAULT) -> DataFrame:

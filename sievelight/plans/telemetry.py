@@ -105,7 +105,7 @@ def sharpness_filter(spark, sf_dir):
 
 @query(f"with {EV} select event_id, row_number() over (partition by user_id order by t_ms, event_id) as number from ev where event_type = 'error'")
 def reject_numbers(spark, sf_dir):
-    return events(spark, sf_dir).where("event_type = 'error'").withColumn("number", F.row_number().over(W.partitionBy("user_id").orderBy("t_ms", "event_id")).cast("long")).select("event_id", "number")
+    return t.numbered(events(spark, sf_dir).where("event_type = 'error'"), "user_id", "number", F.col("t_ms"), F.col("event_id")).select("event_id", "number")
 
 
 @query(f"""with {EV} select user_id, event_id, value from (select *, row_number() over (partition by user_id order by value desc, t_ms, event_id) as k from ev) where k <= 3""")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.operators import coreset, gates, knn, maps, pixels, telemetry, twin
+from sievelight.operators import coreset, gates, knn, maps, pixels, rules, telemetry, twin
 
 
 @pytest.mark.parametrize(("how", "tile"), [("distance", 1024), ("distance", 7), ("dot", 7)])
@@ -189,6 +189,43 @@ def test_windows_by_hand(spark):
             assert run[i] == n
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small ranges stay apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_stream_is_taken_in_ranges(spark, monkeypatch, many_ranges):
+    """One hot stream, one of no name and one row alone: as a walk over each sorted stream has it, over several ranges."""
+    rng = random.Random(19)
+    rows = [(i, None if i % 7 == 0 else 1, rng.randint(0, 40_000), rng.choice(["e", "v", "v", "v", None] + ["p"] * (i % 50 == 1))) for i in range(600)] + [(600, 2, 5, "v")]
+    df = spark.createDataFrame(rows, "id long, g int, t_ms long, kind string")
+    order = (F.col("t_ms"), F.col("id"))
+    held = telemetry.stats.ranged(df, ["g"], F.struct(*order))
+    assert held.where("g = 1").select("_part").distinct().count() > 1
+    run = {r.id: r.run for r in telemetry.runs(df, "g", F.col("kind") == "e", F.col("kind") == "p", *order).collect()}
+    idle = {r.id: r.idle for r in telemetry.idle(df, "g", F.col("kind") == "e", *order).collect()}
+    place = {r.id: r.number for r in telemetry.numbered(df, "g", "number", *order).collect()}
+    monkeypatch.setattr(telemetry, "STRETCH", 16)
+    flat = {r.id: r.detrended for r in telemetry.detrended(df, "g", "t_ms", 5, *order).collect()}
+    found = sorted(((r.g, r.first, r.last, r.n) for r in rules.long_runs(df, "g", F.col("kind") == "v", 3, "t_ms", "id").collect()), key=str)
+    want = []
+    for g in (None, 1, 2):
+        own, n, last, island = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])), 0, None, []
+        for k, (i, _, t, kind) in enumerate(own):
+            n, last = 0 if kind == "p" else n + (kind == "e"), t if kind == "e" else last
+            near = [r[2] for r in own[max(0, k - 5) : k + 6]]
+            assert run[i] == n and place[i] == k + 1 and math.isclose(flat[i], t - sum(near) / len(near), abs_tol=1e-6)
+            assert idle[i] == (kind != "e" and t - (own[0][2] if last is None else last) >= 3000)
+            island = [*island, t] if kind == "v" else []
+            if len(island) >= 3 and (k + 1 == len(own) or own[k + 1][3] != "v"):
+                want.append((g, island[0], island[-1], len(island)))
+    assert len(run) == len(rows) and found == sorted(want, key=str)
+    assert telemetry.runs(df.limit(0), "g", F.col("kind") == "e", F.col("kind") == "p", *order).count() == 0
+
+
 def test_teaching_reports_what_it_cannot_teach(spark):
     rng = np.random.default_rng(10)
     cov = [1.0 if 1 <= r <= 2 and 1 <= c <= 2 else 0.0 for r in range(4) for c in range(4)]
