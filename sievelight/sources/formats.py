@@ -7,9 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+
+# What pictures' names end in, and what the names of negatives are made of.
+PICTURES = (".jpg", ".jpeg", ".png", ".webp", ".bmp")
+NEGATIVE_ID = r"^[A-Za-z0-9_-][A-Za-z0-9._-]*$"
 # Fixed value: how a matrix file begins; little-endian int32 rows and columns follow, then binary16 numbers.
 MAGIC = b"KZF16v1\n"
 
@@ -91,6 +97,38 @@ def load_parts(spark: SparkSession, path: str, fingerprint: str) -> DataFrame:
     return rows.withColumn("outcome", F.when(F.col("fingerprint") == fingerprint, "Loaded").otherwise("FingerprintMismatch")).orderBy(F.desc("created_at_ms"), "part_id")
 
 
+def add_negatives(rows: DataFrame, path: str) -> None:
+    """Append descriptors of other objects: rows of id, fingerprint, created_at_ms, g (kept as half floats) and, if wanted, maps and crops.
+    Refused as a whole, before anything is written, where an id is odd, comes again or is stored already, or a g is null or empty."""
+    odd = ~F.coalesce(F.col("id").rlike(NEGATIVE_ID) & ~F.endswith("id", F.lit(".tmp")) & (F.size("g") > 0), F.lit(False))
+    names = rows.select("id", odd.alias("bad"))
+    try:
+        names = names.unionByName(rows.sparkSession.read.parquet(path).select("id", F.lit(False).alias("bad")))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    bad = names.groupBy("id").agg(F.max("bad").alias("bad"), F.count("*").alias("n")).where("bad or n > 1").select("id").limit(5).collect()
+    if bad:
+        raise ValueError(f"bad or known negatives, such as {[r.id for r in bad]}")
+    rows.withColumn("g", F.transform("g", vectors.half)).write.mode("append").parquet(path)
+
+
+def load_negatives(spark: SparkSession, path: str, fingerprint: str) -> DataFrame:
+    """Stored negatives of one pipeline, oldest first; columns that only later ones have are null in those before."""
+    return spark.read.option("mergeSchema", "true").parquet(path).where(F.col("fingerprint") == fingerprint).orderBy("created_at_ms", "id")
+
+
+def photos(spark: SparkSession, folder: str, label: str | None = None) -> DataFrame:
+    """name, label and content of the pictures that lie in a folder itself. Names that begin with bad or good, in any case, say the label;
+    others have the one that is given."""
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    low = F.lower(name)
+    known = F.when(low.startswith("bad"), "bad").when(low.startswith("good"), "good").otherwise(F.lit(label))
+    ends = "{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in PICTURES) + "}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ends}").load(folder)
+    return files.select(name.alias("name"), known.alias("label"), "content").orderBy("name")
+
+
 def safe_name(name) -> object:
     """Letters, digits and hyphens, no hyphens at the ends, 32 at most."""
     return F.substring(F.trim(F.regexp_replace(name, "[^A-Za-z0-9-]", "-"), F.lit("-")), 1, 32)

@@ -108,3 +108,23 @@ def test_exports_stores_and_canonical_json(spark, tmp_path):
     df = spark.createDataFrame([('{"b": [1, {"z": "é", "a": 0.1}], "a": null}',), ("{bad",), (None,)], "s string")
     assert [r.c for r in df.select(formats.canonical_json("s").alias("c")).collect()] == ['{"a":null,"b":[1,{"a":0.1,"z":"\\u00e9"}]}', None, None]
     assert spark.createDataFrame([("--my part/№1--",)], "n string").select(formats.safe_name("n").alias("n")).first().n == "my-part--1"
+
+
+def test_negatives_and_photos(spark, tmp_path):
+    path = f"{tmp_path}/negatives"
+    rows = lambda *x, more="": spark.createDataFrame(list(x), f"id string, fingerprint string, created_at_ms long, g array<double>{more}")
+    formats.add_negatives(rows(("b", "12", 5, [0.1]), ("a", "12", 5, [1.0]), ("c", "34", 1, [1.0])), path)
+    formats.add_negatives(rows(("d", "12", 2, [2.0], [0.5]), more=", f array<double>"), path)
+    for bad in (("a", "12", 9, [1.0]), ("e.tmp", "12", 9, [1.0]), ("e/", "12", 9, [1.0]), ("", "12", 9, [1.0]), (None, "12", 9, [1.0]), ("e", "12", 9, []), ("e", "12", 9, None)):
+        with pytest.raises(ValueError):
+            formats.add_negatives(rows(("f", "12", 9, [1.0]), bad), path)
+    with pytest.raises(ValueError):
+        formats.add_negatives(rows(("f", "12", 9, [1.0]), ("f", "12", 9, [1.0])), path)
+    assert [(r.id, r.g[0], r.f) for r in formats.load_negatives(spark, path, "12").collect()] == [("d", 2.0, [0.5]), ("a", 1.0, None), ("b", float(np.float16(0.1)), None)]
+    assert not formats.load_negatives(spark, path, "56").count()
+    folder = tmp_path / "photos"
+    (folder / "in").mkdir(parents=True)
+    for name in ("Bad_2.JPG", "good1.png", "other.WebP", "notes.txt", "bad.bmp.txt", "in/bad.png"):
+        (folder / name).write_bytes(name.encode())
+    assert [(r.name, r.label, bytes(r.content)) for r in formats.photos(spark, str(folder)).collect()] == [("Bad_2.JPG", "bad", b"Bad_2.JPG"), ("good1.png", "good", b"good1.png"), ("other.WebP", None, b"other.WebP")]
+    assert formats.photos(spark, str(folder), "good").where("label = 'good'").count() == 2
