@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, new_path, shared_dir, stored, table  # noqa: F401
@@ -17,6 +18,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parts that the links of a node are dealt to, tasks that pairs of bodies are dealt to at most, and blocks of bodies at least.
 SALTS, MOST_TASKS, BLOCKS = 32, 20_000, 16
 
+#: Rows that a Python worker gets at once where each is a body of megabytes; Spark's own number would be all of a task.
+BODIES = 4
+
 
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """df with `at`: 0, 1, ... in the given order, over all rows; stored once.
@@ -34,6 +38,18 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return kept.withColumn("_part", part).join(starts, "_part").withColumn("at", inside + F.col("_before")).drop("_at", "_part", "_before")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside hands Python workers as many rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (xor-shift-multiply rounds), for hashes derived from a hash."""
     x = x.astype(np.uint64, copy=True)
@@ -73,7 +89,8 @@ def met(pairs: DataFrame, bodies: DataFrame, full: int, compare: Callable[[dict,
 
     Comparing is what takes time, so there are as many blocks of neighbouring partitions as full bodies (`full`), and a task a pair of
     blocks: many small bodies share tasks. A body travels once a pair. What a task links is thinned to a forest over all its pairs, so
-    that a node that is near to a whole group is named a few times a block, not once a pair.
+    that a node that is near to a whole group is named a few times a block, not once a pair. The links are stored, as bodies reach a
+    worker a few at a time only while they are.
     """
     n, last = pairs.agg(F.count("*"), F.max(F.shiftright("other", 33))).first()
     parts = (last or 0) + 1
@@ -104,7 +121,9 @@ def met(pairs: DataFrame, bodies: DataFrame, full: int, compare: Callable[[dict,
 
     tasks = max(1, min(MOST_TASKS, n, blocks * (blocks + 1) // 2))
     dealt = ends.join(bodies.withColumnRenamed("tile", "own"), "own").repartition(tasks, "a", "b")
-    return dealt.sortWithinPartitions("a", "b", "tile", "other", F.col("own") != F.col("tile")).mapInArrow(run, "u long, v long")
+    links = dealt.sortWithinPartitions("a", "b", "tile", "other", F.col("own") != F.col("tile")).mapInArrow(run, "u long, v long")
+    with batches_of(pairs.sparkSession, BODIES):
+        return stored(links, "met")
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

@@ -25,7 +25,7 @@ TILE, PART = 32768, 512
 #: Sets of LEAST to FEW shingles differ in one from what is 0.8 similar, if one holds the other, or not at all.
 LEAST, FEW = 5, 9
 #: Bytes of shingles, and sets, that are compared with as many at once, and the columns of such a row.
-BUNDLE_BYTES, MOST_SETS = 4 << 20, 4096
+BUNDLE_BYTES, MOST_SETS = 2 << 20, 4096
 BUNDLE = ["tile", "lo", "hi", "component", "n", "node", "fps", "hashes"]
 
 
