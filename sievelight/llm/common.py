@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -50,6 +51,16 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def pieces(text: bytes, stop: re.Pattern[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """text in pieces of about size bytes, each of which begins where stop matches, so that what lies between matches stays whole."""
+    at = 0
+    while at < len(text):
+        cut = stop.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (xor-shift-multiply rounds), for hashes derived from a hash."""
     x = x.astype(np.uint64, copy=True)

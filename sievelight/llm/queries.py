@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, editprint, huffman, language, packing, quality, secrets, simhash, urls
+from . import centroids, chat, decontam, divergence, editprint, huffman, language, ngram_join, packing, quality, secrets, simhash, urls
 from .common import shared_dir, stored, table
 
 #: Words and windows by position; a document word is hit if a window that occurs covers it.
@@ -114,6 +114,63 @@ from c group by conv_id
 """
 
 
+#: Every kept term of a language in every source, zeros included.
+OP11 = """
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from documents
+), kept as materialized (
+  select lang, term, count(*) as n from d group by lang, term having count(distinct r) >= 3
+), g as materialized (
+  select distinct coalesce(lang, '') as lang, coalesce(source, '') as source from documents
+), c as materialized (
+  select g.lang, g.source, k.term, coalesce(x.n, 0) as n, k.n as lang_n
+  from g join kept k using (lang) left join (select lang, source, term, count(*) as n from d group by all) x using (lang, source, term)
+), t as (
+  select lang, source, sum(n) as total, count(*) as v, sum(lang_n) as lang_total from c group by lang, source
+), s as materialized (
+  select lang, source, term, n, 1 + (1000000000::hugeint * (n + 1)) // (total + v)::hugeint as p, 1 + (1000000000::hugeint * (lang_n + 1)) // (lang_total + v)::hugeint as q
+  from c join t using (lang, source)
+), pair as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+  from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+), told as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join pair p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q)) // q from s where n > 0 and p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from told
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 200
+"""
+
+
+def _op13(k: int, rounds: int) -> str:
+    """Each round: all distances, the nearest, and the floor of each mean."""
+    steps = [f"""
+with v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as f from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+), x as materialized (
+  select r, unnest(range(64)) as i, unnest(f) as x from v
+), c0 as materialized (
+  select c, unnest(range(64)) as i, unnest(f) as x from (select row_number() over (order by sha256('1:' || vec_id), f) - 1 as c, f from v order by c limit {k})
+)"""]
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} as materialized (
+  select r, arg_min(c, d * {k} + c) as c, min(d) as d from (select r, c, sum((x.x - y.x) * (x.x - y.x)) as d from x join c{t} y using (i) group by r, c) group by r
+)""")
+        if t < rounds:
+            steps.append(f"""m{t} as (select c, i, cast(sum(x) as hugeint) as s, count(*) as n from x join a{t} using (r) group by c, i
+), c{t + 1} as materialized (
+  select c, i, cast(coalesce(s // n - case when s % n < 0 then 1 else 0 end, y.x) as bigint) as x from c{t} y left join m{t} using (c, i)
+)""")
+    return ",\n".join(steps) + f"""
+select vec_id, cast(a.c as int) as cluster, cast(a.d as bigint) as distance, cast(sum(a.d) over (partition by a.c) as bigint) as cluster_inertia, cast(sum(a.d) over () as bigint) as inertia, h.centroid_sha256
+from v join a{rounds} a using (r) join (select c, sha256(string_agg(x, ',' order by i)) as centroid_sha256 from c{rounds} group by c) h on h.c = a.c
+"""
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -168,9 +225,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.judged(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, scale=1_000_000_000, top=200)
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"), size=3, ratio=(9, 10))
+
+
+def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op4_secrets": OP4, "op8_url_filter": OP8, "op9_chat": OP9}
+    return {"op3_decontamination": OP3, "op4_secrets": OP4, "op8_url_filter": OP8, "op9_chat": OP9, "op11_divergence": OP11, "op13_yinyang": _op13(16, 3)}
