@@ -51,6 +51,14 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, lengthened until none of columns is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(text: bytes, stop: re.Pattern[bytes], size: int = 1 << 20) -> Iterator[bytes]:
     """text in pieces of about size bytes, each of which begins where stop matches, so that what lies between matches stays whole."""
     at = 0

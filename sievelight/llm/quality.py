@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-from .common import LOWER, UPPER, stored
+from .common import LOWER, UPPER, free_name, stored
 
 #: Character classes of ASCII; all else is one more class.
 GROUPS = (LOWER, UPPER, "0123456789", " \t", "\n\r", ".,;:?", "!", "|", "$%#&*@^~", "()[]{}<>/\\=_+-", "\"'`")
@@ -58,8 +58,9 @@ def features(text: str | None) -> list[float]:
 
 
 def featured(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id and x (array of features) of every row of docs; whole keeps all columns instead, with the features as __x."""
-    own, name = (docs, "__x") if whole else (docs.select(F.col("doc_id").cast("long"), "text"), "x")
+    """doc_id and x (array of features) of every row of docs; whole keeps all columns instead, and the features come last, by a name that
+    no other has."""
+    own, name = (docs, free_name(docs.columns, "x")) if whole else (docs.select(F.col("doc_id").cast("long"), "text"), "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,8 +184,9 @@ def kept(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataF
     """The rows of docs that are not rejected, in the same columns; no text is shuffled and each is read once.
 
     Null texts count as empty and are judged like any other, rows with a null doc_id too; repeated rows go or stay together. Without
-    labels of both sides every row stays; an empty table gives no rows. Texts are read whole, however long. A column named __x would clash.
+    labels of both sides every row stays; an empty table gives no rows. Texts are read whole, however long.
     """
     held = stored(featured(docs, whole=True), "quality")
-    ranking, edge = _judge(held.select(F.col("doc_id").cast("long"), F.col("__x").alias("x")), labels, None, most)
-    return (held if ranking is None else held.where(strength(F.col("__x"), ranking) >= F.lit(edge))).select(*docs.columns)
+    x = F.col(f"`{held.columns[-1]}`")
+    ranking, edge = _judge(held.select(F.col("doc_id").cast("long"), x.alias("x")), labels, None, most)
+    return (held if ranking is None else held.where(strength(x, ranking) >= F.lit(edge))).select(*docs.columns)

@@ -38,6 +38,8 @@ PARTS = ("secret", "access", "secret", "access", "secret", "secret", "endpoint")
 WEAK_FROM = 3
 #: How far, in code points, a scope reaches on either side of a candidate.
 SCOPE = 200
+#: Code points of a piece of a text that is rewritten.
+PIECE = 1000
 
 
 def _tokens(scan: int) -> Column:
@@ -113,25 +115,45 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each reported span of text replaced by [kind], and n_chars counted anew where such a column is.
 
-    All rows stay, as often as they came, in the same columns; a null text stays null. Spans that overlap are replaced together, by the
-    first one's kind. Patterns are looked for once in each text; only texts that have a token are joined, all others pass through untouched.
-    Empty and very long texts are read whole; an empty table gives no rows. Columns named __row, __hit and __spans would clash.
+    All rows stay, as often as they came, in the same columns, whatever these are called; a null text stays null. Spans that overlap are
+    replaced together, by the first one's kind. Patterns are looked for once in each text; only texts that have a token are joined, all
+    others pass through untouched. Such a text is cut into pieces of PIECE code points, each of which is rewritten by its own spans, so
+    that the work grows with the text and the spans, not with their product. Empty and very long texts are read whole; an empty table
+    gives no rows.
     """
-    flagged = stored(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hit": F.coalesce(F.col("text").rlike(WEAK), F.lit(False))}), "redact")
-    held = stored(flagged.where("__hit"), "redact")
-    spans = _spans(_tokens_of(held.select(F.col("__row").alias("row"), "text"), "row")).withColumnsRenamed({"row": "__row", "spans": "__spans"})
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    flagged = stored(docs.select(row, F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").rlike(WEAK), F.lit(False)).alias("hit")), "redact")
+    held = stored(flagged.where("hit").select("row", "whole"), "redact")
+    texts = held.select("row", F.col("whole.text").alias("text"))
+    changed = held.join(_rewritten(texts, _spans(_tokens_of(texts, "row"))), "row", "left").withColumn("text", F.coalesce("rewritten", "whole.text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    column = lambda c: (new[c] if c in new else F.col("whole").getField(c)).alias(c)
+    return flagged.where("not hit").select("whole.*").unionByName(changed.select(*map(column, docs.columns)))
+
+
+def _rewritten(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """row and rewritten (text with what spans cover replaced) of the rows (row, text) that have spans."""
+    one = spans.select("row", F.explode("spans").alias("x")).select("row", F.col("x.kind").alias("kind"), F.col("x.start").alias("a"), F.col("x.end").alias("b"))
+    by_start = W.partitionBy("row").orderBy("a", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
+    new = F.coalesce(F.col("a") >= F.max("b").over(by_start.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    joined = one.withColumn("new", new.cast("int")).withColumn("g", F.sum("new").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
+    merged = joined.groupBy("row", "g").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max(F.when(F.col("new") == 1, F.col("kind"))).alias("kind"))
+    # a piece is met by the spans that reach into it; the name of a span stands where it begins
+    cell = F.explode(F.sequence(F.floor(F.col("a") / PIECE), F.floor((F.col("b") - 1) / PIECE))).alias("cell")
+    marks = merged.select("row", "a", "b", "kind", cell).groupBy("row", "cell").agg(F.array_sort(F.collect_list(F.struct("a", "b", "kind"))).alias("marks"))
+    pieces = texts.join(spans.select("row"), "row", "left_semi").select("row", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("cell", "piece"))
+    first = F.col("cell") * PIECE
 
     def step(acc: Column, x: Column) -> Column:
-        piece = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        apart = F.struct(F.concat(acc["out"], F.array(piece, F.concat(F.lit("["), x["kind"], F.lit("]")))).alias("out"), x["end"].alias("at"))
-        return F.when(x["start"] >= acc["at"], apart).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at")))
-
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    changed = held.join(spans, "__row", "left").withColumn("text", F.coalesce(F.when(F.col("__spans").isNotNull(), done), F.col("text"))).select(*docs.columns)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return flagged.where("not __hit").select(*docs.columns).unionByName(changed)
+        gap = F.substring(F.col("piece"), (acc["at"] - first + 1).cast("int"), F.greatest(x["a"] - acc["at"], F.lit(0)).cast("int"))
+        name = F.when(x["a"] >= first, F.concat(F.lit("["), x["kind"], F.lit("]"))).otherwise("")
+        return F.struct(F.concat(acc["out"], gap, name).alias("out"), x["b"].alias("at"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("piece"), F.least(acc["at"] - first + 1, F.lit(PIECE + 1)).cast("int"), F.lit(PIECE)))
+    done = F.aggregate("marks", F.struct(F.lit("").alias("out"), first.cast("long").alias("at")), step, rest)
+    rewritten = pieces.join(marks, ["row", "cell"], "left").select("row", "cell", F.coalesce(F.when(F.col("marks").isNotNull(), done), F.col("piece")).alias("piece"))
+    listed = rewritten.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("cell", "piece"))).alias("l"))
+    return listed.select("row", F.array_join(F.transform("l", lambda x: x["piece"]), "").alias("rewritten"))
 
 
 def report(docs: DataFrame) -> DataFrame:

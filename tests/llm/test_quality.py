@@ -70,3 +70,13 @@ def test_pair_weights_are_a_maximum():
     assert all(loss(w) <= loss(w + e) for e in 1e-3 * rng.normal(size=(50, 3)))
     share, cut = quality.best_cut(np.array([1.0, 2, 3]), np.array([0.0, 0.5]))
     assert share == 0.4 and 0.5 < cut < 1
+
+
+def test_kept_takes_columns_of_any_name(spark):
+    rows = [(i, f"Plain words make a whole sentence here, number {i}." if i % 2 else "$$$ ### zz " * (i + 1), "x", "y", "z") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string, X_ string, __x string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    out, plain = quality.kept(docs, labels), quality.kept(docs.select("doc_id", "text"), labels)
+    assert out.columns == docs.columns
+    got = sorted(map(tuple, out.collect()))
+    assert [r[:2] for r in got] == sorted(map(tuple, plain.collect())) and {r[2:] for r in got} == {("x", "y", "z")}

@@ -84,3 +84,19 @@ def test_redaction(spark):
     assert [(d, t) for d, t, _ in got] == [(d, t) for d, t in sorted(((d, expect(t)) for d, t in rows), key=lambda x: str((x[0], x[1], len(x[1]) if x[1] and "[" in x[1] else None)))]
     assert all(n is None or n == len(t) for _, t, n in got)
     assert secrets.redact(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+HOSTILE = ["__spans", "__row", "__hit", "__x", "x", "row", "whole", "hit", "spans", "rewritten", "cell", "piece", "marks", "a", "b", "kind", "at", "g", "l", "n_words"]
+
+
+def test_redaction_of_very_many_spans_and_odd_names(spark):
+    many = "password=abcdefgh " * 100_000
+    across = "é" * 990 + "token=abcdefgh12345678 " + "x" * 1500 + " " + "f" * 2500 + " end"
+    rows = [(1, many, len(many)), (2, across, len(across)), (3, None, None), (4, "clean", 5)]
+    df = spark.createDataFrame([(*r, *HOSTILE) for r in rows], "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in HOSTILE))
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == "[assign] " * 100_000 and got[1].n_chars == 900_000
+    assert got[2].text == "é" * 990 + "[assign] " + "x" * 1500 + " [hex] end"
+    assert got[3].text is None and got[4].text == "clean" and all(tuple(r[c] for c in HOSTILE) == tuple(HOSTILE) for r in got.values())
