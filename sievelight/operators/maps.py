@@ -137,10 +137,10 @@ def _sound(x: Column) -> Column:
 
 def frame_scores(patches: DataFrame, params: Params = DEFAULT, by: str = "frame", tau: str | None = None) -> DataFrame:
     """by, raw (largest sm over S; NaN if any isn't finite), fit (mean d over the core; NaN likewise), peak_r, peak_c (first of the
-    largest over the core), n_core, and with a column tau the share of the core above it."""
+    largest over S), n_core, and with a column tau the share of the core above it."""
     bad_s, bad_core = F.max(F.when(F.col("in_s"), _sound(F.col("sm")))), F.max(F.when(F.col("in_core"), _sound(F.col("d"))))
     nan = F.lit(float("nan"))
-    peak = F.max(F.when(F.col("in_core"), F.struct("sm", (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))))
+    peak = F.max(F.when(F.col("in_s"), F.struct("sm", (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))))
     aggs = [
         F.when(F.coalesce(bad_s, F.lit(True)), nan).otherwise(F.max(F.when(F.col("in_s"), F.col("sm")))).alias("raw"),
         F.when(F.coalesce(bad_core, F.lit(True)), nan).otherwise(F.sum(F.when(F.col("in_core"), F.col("d"))) / F.count_if("in_core")).alias("fit"),
@@ -155,7 +155,7 @@ def frame_scores(patches: DataFrame, params: Params = DEFAULT, by: str = "frame"
 
 
 def top_mean(patches: DataFrame, params: Params = DEFAULT, by: str = "frame") -> DataFrame:
-    """by and raw: mean of the largest hundredth (one at least) of sm over S."""
-    inside = patches.where("in_s").withColumn("n", F.greatest(F.lit(1), F.ceil(F.count("*").over(W.partitionBy(by)) * params.top_fraction)))
-    ranked = inside.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.desc("sm"), "r", "c")))
-    return ranked.where("k <= n").groupBy(by).agg((F.sum("sm") / F.count("*")).alias("raw"))
+    """by and raw: mean of the largest hundredth (one at least) of d over S; NaN if any of them isn't finite."""
+    inside = patches.where("in_s").withColumns({"n": F.greatest(F.lit(1), F.ceil(F.count("*").over(W.partitionBy(by)) * params.top_fraction)), "bad": F.max(_sound(F.col("d"))).over(W.partitionBy(by))})
+    ranked = inside.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.desc("d"), "r", "c")))
+    return ranked.where("k <= n").groupBy(by).agg(F.when(F.max("bad"), F.lit(float("nan"))).otherwise(F.sum("d") / F.count("*")).alias("raw"))

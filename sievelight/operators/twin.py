@@ -30,8 +30,10 @@ class Grid:
 
 @dataclass(frozen=True)
 class Taught:
-    """bank (twin, id, frame, seg, f), globals (twin, frame, seg, g), views (the keyframes' patches), positives (twin, sim), limits (twin,
-    status, tau, tau_id, tau_fit, and how many frames, keyframes and rows there were) and, where shapes are known, geometry."""
+    """bank (twin, id, frame, src, seg, f), globals (twin, frame, src, seg, g), views (the keyframes' patches), lso (twin, frame and
+    scores of each view against what its segment left out), positives (twin, sim), negatives (twin, sim), limits (twin, status, tau,
+    tau_id, tau_fit, and how many frames, keyframes and rows there were) and, where shapes are known, geometry. src is the frame that a
+    view was taken from; it differs from frame only in turned views."""
 
     bank: DataFrame
     globals: DataFrame
@@ -39,6 +41,8 @@ class Taught:
     positives: DataFrame
     limits: DataFrame
     geometry: DataFrame | None
+    lso: DataFrame
+    negatives: DataFrame
 
 
 def patches_of(frames: DataFrame, grid: Grid, params: Params = DEFAULT) -> DataFrame:
@@ -64,9 +68,20 @@ def accepted(frames: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def scored(patches: DataFrame, bank: DataFrame, mask: str | None) -> DataFrame:
-    """frame, raw, fit and peaks of patches against their twin's bank: of those in S, which scores are made of."""
-    near = knn.nearest(patches.where("in_s"), bank, "twin", mask=mask).select("id", F.sqrt("best").alias("d"))
-    return maps.frame_scores(maps.with_smooth(patches.join(near, "id", "left")), tau=None)
+    """frame, raw, raw_top, fit and peaks of patches against their twin's bank: of those in S, which scores are made of."""
+    return both_scores(stored(smoothed(patches, bank, "twin", mask), "smoothed"))
+
+
+def smoothed(patches: DataFrame, bank: DataFrame, key: str, mask: str | None = None) -> DataFrame:
+    """patches with d, of those in S to the bank rows of their key, and sm."""
+    near = knn.nearest(patches.where("in_s"), bank, key, mask=mask).select("id", F.sqrt("best").alias("d"))
+    return maps.with_smooth(patches.join(near, "id", "left"))
+
+
+def both_scores(patches: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """frame_scores of patches (with d and sm), and raw_top, the score by the other rule."""
+    top = maps.top_mean(patches, params).withColumnRenamed("raw", "raw_top")
+    return maps.frame_scores(patches, params).join(top, "frame", "left")
 
 
 def banked(pooled: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -81,31 +96,40 @@ def banked(pooled: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return sized.where("_k >= _n").drop("_n", "_k").unionByName(thin.drop("_n", "_k").join(chosen, ["twin", "id"], "left_semi"))
 
 
-def teach(frames: DataFrame, grid: Grid, keyframes: int | None = None, params: Params = DEFAULT, negatives: DataFrame | None = None) -> Taught:
+def teach(frames: DataFrame, grid: Grid, keyframes: int | None = None, params: Params = DEFAULT, negatives: DataFrame | None = None, turned: DataFrame | None = None) -> Taught:
     """Teach every twin of frames; frame ids are unique over twins and in order of time. keyframes: at most so many (k_max otherwise).
-    negatives (twin, id, g): descriptors of other objects."""
+    negatives (twin, id, g): descriptors of other objects. turned (frame, turn from 1 to 3, f, cov): further views of frames, of which
+    those of keyframes join the bank (after the frame's own rows) and are held out with their frame; frames of a part that has none are
+    taught as they are."""
     kept = stored(accepted(frames, params), "accepted")
     patches = stored(patches_of(kept, grid, params).join(kept.select("frame", "seg"), "frame"), "patches")
     described = maps.descriptors(patches, ("twin", "frame", "seg")).join(kept.select("frame", "sharpness"), "frame")
     rows = described.select("twin", F.col("frame").alias("id"), F.col("g").alias("f"), "sharpness")
     order = coreset.k_centre(rows, keyframes or params.k_max, how="dot", first=F.col("sharpness"), least=params.k_min, eps=params.kc_eps)
     chosen = stored(order.select(F.col("id").alias("frame"), "step"), "keyframes")
-    globals_ = stored(described.join(chosen, "frame").select("twin", "frame", "seg", F.transform("g", vectors.half).alias("g")), "globals")
-    own = patches.join(chosen, "frame").withColumn("id", F.col("step") * (grid.gh * grid.gw) + F.col("p"))
-    pooled = stored(own.where("in_b").select("twin", "id", "frame", "seg", "f"), "pooled")
+    described = described.withColumn("src", F.col("frame")).join(chosen, "frame")
+    own = patches.withColumn("src", F.col("frame")).join(chosen, "frame").withColumn("turn", F.lit(0))
+    if turned is not None:
+        of = kept.select("twin", "frame", "seg").join(chosen, "frame").join(turned, "frame").withColumns({"src": F.col("frame"), "frame": F.col("frame") * 4 + F.col("turn")})
+        more = stored(patches_of(of.select("twin", "frame", "f", "cov"), grid, params).join(of.select("frame", "src", "seg", "step", "turn"), "frame"), "turned")
+        own = own.withColumn("frame", F.col("frame") * 4).unionByName(more, allowMissingColumns=True)
+        described = described.withColumn("frame", F.col("frame") * 4).unionByName(maps.descriptors(more, ("twin", "frame", "seg", "src")), allowMissingColumns=True)
+    globals_ = stored(described.select("twin", "frame", "src", "seg", F.transform("g", vectors.half).alias("g")), "globals")
+    own = stored(own.withColumn("id", (F.col("step") * 4 + F.col("turn")) * (grid.gh * grid.gw) + F.col("p")), "own")
+    pooled = stored(own.where("in_b").select("twin", "id", "frame", "src", "seg", "f"), "pooled")
     bank = stored(_rounded(banked(pooled, params)), "bank")
     # frames are told apart by id again: ids of rows only count within their twin
     views = stored(_rounded(own.withColumn("id", F.col("frame") * (grid.gh * grid.gw) + F.col("p"))), "views")
-    used = globals_.groupBy("twin").agg(F.countDistinct("seg").alias("segments_used"), F.count("*").alias("keyframes"))
+    used = globals_.groupBy("twin").agg(F.countDistinct("seg").alias("segments_used"), F.countDistinct("src").alias("keyframes"))
     held = used.select("twin", (F.col("segments_used") < 2).alias("_by_frame"))
     # where the keyframes lie in one segment only, each frame is held out instead
-    masked = lambda df: df.join(held, "twin").withColumn("held", F.when(F.col("_by_frame"), F.col("frame")).otherwise(F.col("seg")))
+    masked = lambda df: df.join(held, "twin").withColumn("held", F.when(F.col("_by_frame"), F.col("src")).otherwise(F.col("seg")))
     reached = masked(bank).groupBy("twin").agg(F.countDistinct("held").alias("_kinds"), F.min("held").alias("_only"))
     lso = masked(views).select("twin", "frame", "held").distinct().join(reached, "twin").where("_kinds > 1 or _only <> held").select("twin", "frame")
     lso = stored(scored(masked(views), masked(bank), "held").join(lso, "frame"), "lso")
     g = masked(globals_).select("twin", F.col("frame").alias("id"), "held", F.col("g").alias("f"))
     pos = stored(knn.nearest(g, g, "twin", mask="held", how="dot").select(F.col("key").alias("twin"), F.col("best").alias("sim")), "positives")
-    neg = pos.limit(0)
+    neg = pos.where("false")
     if negatives is not None:
         others = negatives.select("twin", F.col("id").cast("long"), F.transform("g", vectors.half).alias("f"))
         neg = knn.nearest(others, g.select("twin", "id", "f"), "twin", how="dot").select(F.col("key").alias("twin"), F.col("best").alias("sim"))
@@ -121,7 +145,7 @@ def teach(frames: DataFrame, grid: Grid, keyframes: int | None = None, params: P
     for more in (counts, used, sizes, tau, tau_id, tau_fit):
         limits = limits.join(more, "twin", "left")
     geometry = stored(gates.geometry_model(kept, "twin", params), "geometry") if set(SHAPE) <= set(frames.columns) else None
-    return Taught(bank, globals_, views, pos, stored(limits.withColumn("status", status), "limits"), geometry)
+    return Taught(bank, globals_, views, pos, stored(limits.withColumn("status", status), "limits"), geometry, lso, neg)
 
 
 def similarity(taught: Taught, patches: DataFrame) -> DataFrame:
@@ -138,20 +162,21 @@ def most_alike_views(taught: Taught, patches: DataFrame, params: Params = DEFAUL
     return knn.most_alike(g, known, params.top_k_views, "twin", mask=None).select(F.col("id").alias("frame"), "place", F.col("other").alias("view"))
 
 
+def compared(taught: Taught, patches: DataFrame, params: Params = DEFAULT, views_only: bool = False) -> DataFrame:
+    """patches of presentations with d and sm: against the bank, or only against the keyframes most like each presentation."""
+    if not views_only:
+        return smoothed(patches, taught.bank, "twin")
+    own = taught.views.where("in_b").select(F.col("frame").alias("view"), "id", "f")
+    bank = most_alike_views(taught, patches, params).join(own, "view").select(F.col("frame").alias("key"), "id", "f")
+    return smoothed(patches.withColumn("key", F.col("frame")), bank, "key").drop("key")
+
+
 def judge(taught: Taught, shown: DataFrame, grid: Grid, params: Params = DEFAULT, fit_gate: bool = True, views_only: bool = False) -> DataFrame:
     """frame, twin, verdict, reason, s, raw, sim, fit, peaks and share of anomalous patches of presentations (twin, frame, sanity, f, cov,
     and shapes where these were taught). views_only compares each with the patches of the keyframes most like it, not with the bank."""
     shown = shown.withColumn("sanity", F.when((F.col("sanity") == "OK") & ~_cored(params), "NO_CORE").otherwise(F.col("sanity")))
     patches = stored(patches_of(shown, grid, params), "shown")
-    if views_only:
-        near_by = most_alike_views(taught, patches, params)
-        own = taught.views.where("in_b").select(F.col("frame").alias("view"), "id", "f")
-        bank = near_by.join(own, "view").select(F.col("frame").alias("key"), "id", "f")
-        near = knn.nearest(patches.where("in_s").withColumn("key", F.col("frame")), bank, "key")
-    else:
-        near = knn.nearest(patches.where("in_s"), taught.bank, "twin")
-    with_d = patches.join(near.select("id", F.sqrt("best").alias("d")), "id", "left").join(taught.limits.select("twin", "tau"), "twin")
-    scores = maps.frame_scores(maps.with_smooth(with_d), params, tau="tau")
+    scores = maps.frame_scores(compared(taught, patches, params, views_only).join(taught.limits.select("twin", "tau"), "twin"), params, tau="tau")
     shapes = ["frame", *SHAPE] if taught.geometry is not None else ["frame"]
     rows = shown.select("twin", "sanity", *shapes).join(taught.limits.where("status = 'OK'"), "twin").join(scores, "frame", "left").join(similarity(taught, patches), "frame", "left")
     rows = rows.withColumn("s", F.col("raw") / (F.col("tau") * params.sensitivity)).withColumn("area_pct", 100 * F.col("anomalous"))
@@ -192,9 +217,9 @@ def with_negatives(limits: DataFrame, positives: DataFrame, negatives: DataFrame
     return limits.select(*kept).join(again, "twin", "left")
 
 
-def ranked_variants(results: DataFrame) -> DataFrame:
-    """The variant that wins: by AUROC against defects, then against wrong objects, fewest settings that aren't defaults, first by name."""
-    order = (F.desc("auroc_defect"), F.desc("auroc_identity"), F.asc("changes"), F.asc("variant"))
+def ranked_variants(results: DataFrame, last: str = "variant") -> DataFrame:
+    """The variant that wins: by AUROC against defects, then against wrong objects, fewest settings that aren't defaults, first by last."""
+    order = (F.desc("auroc_defect"), F.desc("auroc_identity"), F.asc("changes"), F.asc(last))
     return results.withColumn("place", F.row_number().over(W.partitionBy("study").orderBy(*order)))
 
 

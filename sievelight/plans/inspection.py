@@ -168,12 +168,12 @@ def smooth_edge(spark, sf_dir):
     return maps.edge_mean(patch_table(spark, sf_dir), 4, 4).select("frame", "r", "c", *r6("sm"))
 
 
-@query(f"""{MAPS} select frame, round(max(sm), 6) as raw, round(avg(d) filter (in_core), 6) as fit, cast(arg_max(p, sm) filter (in_core) // 4 as int) as peak_r, cast(arg_max(p, sm) filter (in_core) % 4 as int) as peak_c, count(*) filter (in_core) as n_core from sm group by frame""")
+@query(f"""{MAPS} select frame, round(max(sm), 6) as raw, round(avg(d) filter (in_core), 6) as fit, cast(arg_min(p, (-sm, p)) // 4 as int) as peak_r, cast(arg_min(p, (-sm, p)) % 4 as int) as peak_c, count(*) filter (in_core) as n_core from sm group by frame""")
 def frame_scores(spark, sf_dir):
     return maps.frame_scores(with_smooth(patch_table(spark, sf_dir))).select("frame", *r6("raw", "fit"), "peak_r", "peak_c", "n_core")
 
 
-@query(f"{MAPS} select frame, round(max(sm), 6) as raw from sm group by frame")
+@query(f"{MAPS} select frame, round(max(d), 6) as raw from dm group by frame")
 def frame_score_top1(spark, sf_dir):
     return maps.top_mean(with_smooth(patch_table(spark, sf_dir))).select("frame", *r6("raw"))
 
@@ -330,7 +330,7 @@ def _map_sql(name: str, source: str, tau: str | None) -> str:
     """Smoothed distances of patches with d, and a frame's scores."""
     over = ", count(*) filter (in_core and sm > tau) / count(*) filter (in_core) as anomalous" if tau else ""
     return f"""{name}_sm as (select x.twin, x.frame, x.p, x.in_core, x.d, avg(y.d) as sm from {source} x join {source} y on x.frame = y.frame and abs(x.r - y.r) <= 1 and abs(x.c - y.c) <= 1 group by all),
-{name} as (select twin, frame, max(sm) as raw, avg(d) filter (in_core) as fit, cast(arg_min(p, (-sm, p)) filter (in_core) // 4 as int) as peak_r, cast(arg_min(p, (-sm, p)) filter (in_core) % 4 as int) as peak_c{over} from {name}_sm {tau or ''} group by twin, frame)"""
+{name} as (select twin, frame, max(sm) as raw, avg(d) filter (in_core) as fit, cast(arg_min(p, (-sm, p)) // 4 as int) as peak_r, cast(arg_min(p, (-sm, p)) % 4 as int) as peak_c{over} from {name}_sm {tau or ''} group by twin, frame)"""
 
 
 NEAREST = "sqrt(min((a.f1-b.f1)*(a.f1-b.f1) + (a.f2-b.f2)*(a.f2-b.f2) + (a.f3-b.f3)*(a.f3-b.f3) + (a.f4-b.f4)*(a.f4-b.f4))) as d"

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inspection, rules, telemetry, words
+from . import inspection, rules, study, telemetry, words
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (inspection, telemetry, words, rules)
+PARTS = (inspection, telemetry, words, rules, study)
 
 
 def queries() -> dict[str, Query]:

@@ -222,12 +222,62 @@ def governor_levels(spark, sf_dir):
     return run_available(samples(spark, sf_dir), governor.governed, "governor")
 
 
-@query()
+#: One row a frame and stream: the recursion carries the live tracks as a list of structs, as the written rules have them.
+TRACKER = f"""
+with recursive {EVENTS}, n as (
+  select user_id % 8 as stream, row_number() over (partition by user_id % 8 order by t_ms, event_id) as k, event_id, abs(value) as v from ev
+), det as materialized (
+  select stream, k, k * 33 as t, k % 60 as c, k // 60 % 2 as odd, 5 + v - floor(v) as sharp, event_id % 97 = 0 as border,
+    cast(case when odd = 0 then case when c <= 32 then c * 10 end when c <= 12 then c * 10 when c <= 44 then 120 else 120 + (c - 44) * 10 end as double) as x, cast(20 + 20 * stream as double) as y from n
+), f as (
+  select distinct stream, cast(0 as bigint) as k, cast(1 as bigint) as next_id, cast([] as struct(id bigint, x double, y double, sharp double, border boolean, t bigint, vx double, vy double, hits bigint, missed bigint, judged boolean, upstream int, seen boolean, down bigint, still bigint, top double, crops struct(q double, t bigint)[], event varchar)[]) as tracks,
+    cast([] as struct(id bigint, event varchar, frames bigint[])[]) as told, cast(0 as bigint) as t from det
+  union all
+  select stream, k, next_id, list_transform(list_filter(fired, lambda a: a.missed <= 5), lambda a: struct_pack(id := a.id, x := a.x, y := a.y, sharp := a.sharp, border := a.border, t := a.t, vx := a.vx, vy := a.vy, hits := a.hits, missed := a.missed, judged := a.judged or a.event is not null, upstream := a.upstream, seen := a.seen, down := a.down, still := a.still, top := a.top, crops := a.crops, event := cast(null as varchar))),
+    list_concat(list_transform(list_filter(fired, lambda a: a.missed > 5), lambda a: struct_pack(id := a.id, event := case when a.judged then 'EXITED_JUDGED' when a.hits >= 2 then 'EXITED' else 'EXITED_UNCONFIRMED' end, frames := cast([] as bigint[]))),
+      list_transform(list_filter(fired, lambda a: a.event is not null), lambda a: struct_pack(id := a.id, event := a.event, frames := case when a.event = 'LINE' then list_transform(a.crops, lambda c: c.t) else list_slice(list_concat([a.t], list_filter(list_transform(a.crops, lambda c: c.t), lambda u: u <> a.t)), 1, 3) end))), t
+  from (
+    select *, list_transform(sided, lambda a: case when a.missed > 0 or a.hits < 2 or a.judged then a else struct_pack(id := a.id, x := a.x, y := a.y, sharp := a.sharp, border := a.border, t := a.t, vx := a.vx, vy := a.vy, hits := a.hits, missed := a.missed, judged := a.judged, upstream := a.upstream, seen := a.seen, down := a.down,
+      still := case when a.event = 'LINE' then a.still when a.border or sqrt(a.vx * a.vx + a.vy * a.vy) >= 0.02 or a.sharp < 0.7 * a.top then null else coalesce(a.still, a.t) end, top := a.top, crops := a.crops,
+      event := case when a.event = 'LINE' then 'LINE' when not a.border and sqrt(a.vx * a.vx + a.vy * a.vy) < 0.02 and a.sharp >= 0.7 * a.top and a.t - coalesce(a.still, a.t) >= 500 then 'STEADY' end) end) as fired
+    from (
+      select *, list_transform(moved, lambda a: case when a.missed > 0 or a.hits < 2 or a.judged then a else struct_pack(id := a.id, x := a.x, y := a.y, sharp := a.sharp, border := a.border, t := a.t, vx := a.vx, vy := a.vy, hits := a.hits, missed := a.missed, judged := a.judged,
+        upstream := case when a.hits = 2 then case when a.x > 160 then 1 else -1 end else a.upstream end, seen := a.seen or a.hits = 2 or case when a.x > 160 then 1 else -1 end = a.upstream,
+        down := case when a.hits = 2 or case when a.x > 160 then 1 else -1 end = a.upstream then 0 else a.down + cast(a.seen as int) end, still := a.still, top := a.top,
+        crops := case when a.border then a.crops else list_transform(list_slice(list_sort(list_append(list_transform(a.crops, lambda c: struct_pack(q := -c.q, t := c.t)), struct_pack(q := -a.sharp * (1 - least(1.0, sqrt((a.x - 160) * (a.x - 160) + (a.y - 120) * (a.y - 120)) / sqrt(160.0 * 160.0 + 120.0 * 120.0))), t := a.t))), 1, 3), lambda c: struct_pack(q := -c.q, t := c.t)) end,
+        event := case when a.hits > 2 and case when a.x > 160 then 1 else -1 end <> a.upstream and a.seen and a.down + 1 >= 2 then 'LINE' end) end) as sided
+      from (
+        select stream, k, t, case when x is not null and hit is null then next_id + 1 else next_id end as next_id,
+          list_concat(list_transform(tracks, lambda a, i: case when i = hit then struct_pack(id := a.id, x := d.x, y := d.y, sharp := d.sharp, border := d.border, t := d.t, vx := case when a.hits = 1 then (d.x - a.x) / (d.t - a.t) else 0.5 * (d.x - a.x) / (d.t - a.t) + 0.5 * a.vx end, vy := case when a.hits = 1 then (d.y - a.y) / (d.t - a.t) else 0.5 * (d.y - a.y) / (d.t - a.t) + 0.5 * a.vy end,
+              hits := a.hits + 1, missed := cast(0 as bigint), judged := a.judged, upstream := a.upstream, seen := a.seen, down := a.down, still := a.still, top := greatest(a.top, d.sharp), crops := a.crops, event := a.event)
+            else struct_pack(id := a.id, x := a.x, y := a.y, sharp := a.sharp, border := a.border, t := a.t, vx := a.vx, vy := a.vy, hits := a.hits, missed := a.missed + 1, judged := a.judged, upstream := a.upstream, seen := a.seen, down := a.down, still := a.still, top := a.top, crops := a.crops, event := a.event) end),
+            case when x is not null and hit is null then [struct_pack(id := next_id, x := x, y := y, sharp := sharp, border := border, t := t, vx := cast(0 as double), vy := cast(0 as double), hits := cast(1 as bigint), missed := cast(0 as bigint), judged := false, upstream := 0, seen := false, down := cast(0 as bigint), still := cast(null as bigint), top := sharp, crops := cast([] as struct(q double, t bigint)[]), event := cast(null as varchar))] else [] end) as moved
+        from (
+          select *, case when list_min(offs) is not null then list_position(offs, list_min(offs)) end as hit, struct_pack(x := x, y := y, sharp := sharp, border := border, t := t) as d
+          from (
+            select f.next_id, f.tracks, det.*, list_transform(f.tracks, lambda a: case when sqrt(pow(det.x - a.x - a.vx * (det.t - a.t), 2) + pow(det.y - a.y - a.vy * (det.t - a.t), 2)) <= 12 + 0.75 * sqrt(900.0) + 0.5 * sqrt(a.vx * a.vx + a.vy * a.vy) * (det.t - a.t)
+              then sqrt(pow(det.x - a.x - a.vx * (det.t - a.t), 2) + pow(det.y - a.y - a.vy * (det.t - a.t), 2)) end) as offs
+            from f join det on det.stream = f.stream and det.k = f.k + 1
+          )
+        )
+      )
+    )
+  )
+)
+select stream, t as t_ms, cast(e.id as int) as track, e.event, e.frames[1] as crop_t_ms, array_to_string(e.frames, ',') as frames from (select stream, t, unnest(told) as e from f)
+"""
+
+
+@query(TRACKER)
 def tracker_events(spark, sf_dir):
-    """Each user's events as detections that drift over the line: triggers and exits of the streaming tracker."""
-    e = events(spark, sf_dir)
-    first = e.groupBy("user_id").agg(F.min("t_ms").alias("t0"))
-    order = F.row_number().over(W.partitionBy("user_id").orderBy("t_ms", "event_id"))
-    det = e.join(first, "user_id").withColumn("k", order)
-    shaped = det.select(F.col("user_id").alias("stream"), (F.col("k") * 33).cast("long").alias("t_ms"), (F.col("k") * 10 % 330).cast("double").alias("x"), (F.col("user_id") % 200 + 20).cast("double").alias("y"), F.lit(900.0).alias("area"), F.abs("value").alias("sharp"), F.lit(False).alias("border"))
-    return run_available(shaped, tracker.tracked, "tracker")
+    """Eight streams of detections: parts that cross the line, parts that stop before it, gaps without any; triggers with the frames to
+    judge, and exits, of the streaming tracker. Streams are read in slices of time."""
+    order = F.struct("t_ms", "event_id")
+    e = stats.positions(events(spark, sf_dir).withColumn("stream", F.col("user_id") % 8), ["stream"], order).withColumn("k", F.col("_at") + 1)
+    c, odd = F.col("k") % 60, F.floor(F.col("k") / 60) % 2 == 1
+    stops = F.when(c <= 12, c * 10).when(c <= 44, F.lit(120)).otherwise(120 + (c - 44) * 10)
+    x = F.when(odd, stops).when(c <= 32, c * 10).cast("double")
+    sharp = 5 + F.abs("value") - F.floor(F.abs("value"))
+    shaped = e.select("stream", (F.col("k") * 33).cast("long").alias("t_ms"), x.alias("x"), (F.col("stream") * 20 + 20).cast("double").alias("y"), F.lit(900.0).alias("area"), sharp.alias("sharp"), (F.col("event_id") % 97 == 0).alias("border"))
+    found = run_available(shaped, tracker.tracked, "tracker", order="t_ms")
+    return found.withColumn("frames", F.coalesce(F.array_join(F.transform("frames", lambda t: t.cast("string")), ","), F.lit("")))

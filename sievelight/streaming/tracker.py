@@ -1,6 +1,6 @@
 """Tracking detections of a stream over time, with line and steady triggers: one state a stream, held by Structured Streaming.
 
-Rows of a micro-batch are put in order of time first. A batch of stored rows runs through the same query (see run_available).
+Rows of a micro-batch are put in order of time first. Stored rows run through the same query in slices of time (see run_available).
 """
 
 from __future__ import annotations
@@ -8,11 +8,12 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 @dataclass(frozen=True)
@@ -136,7 +137,12 @@ def offered(tr: Track, t: int, p: TrackParams) -> None:
 
 
 def step(scene: Scene, t: int, found: list[dict], p: TrackParams) -> list[tuple]:
-    """The events (track, event, time of its best crop) of one frame."""
+    """The events (track, event, time of the frame to judge) of one frame."""
+    return [e[:3] for e in advance(scene, t, found, p)]
+
+
+def advance(scene: Scene, t: int, found: list[dict], p: TrackParams) -> list[tuple]:
+    """The events (track, event, time of the frame to judge, times of it and the other best frames) of one frame."""
     pairs = assigned(scene.tracks, found, t, p)
     events, live = [], []
     for k, tr in enumerate(scene.tracks):
@@ -145,7 +151,7 @@ def step(scene: Scene, t: int, found: list[dict], p: TrackParams) -> list[tuple]
         else:
             tr.missed += 1
         if tr.missed > p.max_missed:
-            events.append((tr.id, "EXITED_JUDGED" if tr.judged else "EXITED" if tr.hits >= p.min_hits else "EXITED_UNCONFIRMED", None))
+            events.append((tr.id, "EXITED_JUDGED" if tr.judged else "EXITED" if tr.hits >= p.min_hits else "EXITED_UNCONFIRMED", None, []))
         else:
             live.append(tr)
     for d, f in enumerate(found):
@@ -159,45 +165,120 @@ def step(scene: Scene, t: int, found: list[dict], p: TrackParams) -> list[tuple]
         event = "LINE" if p.line_on and crossed(tr, p) else "STEADY" if p.steady_on and steady(tr, t, p) else None
         if event:
             tr.judged = True
-            events.append((tr.id, event, tr.crops[0][1] if tr.crops else None))
+            best = [c[1] for c in tr.crops]
+            if event == "STEADY":
+                best = [t, *(x for x in best if x != t)][: p.best]
+            events.append((tr.id, event, best[0] if best else None, best))
+            tr.crops = []  # handed to the judge
     scene.tracks, scene.last = live, t
     return events
 
 
-EVENTS = "stream long, t_ms long, track int, event string, crop_t_ms long"
+EVENTS = "stream long, t_ms long, track int, event string, crop_t_ms long, frames array<long>"
+DETECTION = "t_ms long, x double, y double, area double, sharp double, border boolean"
+COLUMNS = ["t_ms", "x", "y", "area", "sharp", "border"]
+#: A track as it is stored; its best crops are a map of their own.
+TRACK = "x double, y double, area double, sharp double, border boolean, t long, vx double, vy double, hits long, missed long, judged boolean, upstream long, seen boolean, blocked boolean, down long, still_since long, sharpest double"
+FIELDS = [f.name for f in fields(Track) if f.name not in ("id", "crops")]
 
 
-def tracked(detections: DataFrame, params: TrackParams = TrackParams(), complete: bool = False, silent_ms: int | None = None) -> DataFrame:
-    """Events of a streaming DataFrame of detections (stream, t_ms, x, y, area, sharp, border); a frame without any is a row with a null x.
+class Tracking(StatefulProcessor):
+    """One stream: where it stands, a map of live tracks, a map of their best crops and a list of rows that wait.
 
-    A frame earlier than the last one taken is told apart as LATE and changes nothing; one of the same time is matched, and leaves
-    velocities as they are. With complete, the newest frame of each stream waits until a later one is seen, so that a frame whose rows
-    come in several micro-batches is taken whole. With silent_ms, a stream that is silent for so long by the clock gives what waits, and
-    its state goes; such a query has batches without data and is for continuous running, not for a run over what is available.
+    A micro-batch reads the live tracks once and writes those that changed; crops go as soon as better ones or the track's end push them
+    out, so that a stream's state is as large as what is in view, however long it runs.
     """
 
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        scene, waiting = (Scene.loads(state.get[0]), json.loads(state.get[1])) if state.exists else (Scene(), [])
-        out, ends = [], state.hasTimedOut
-        rows = pd.concat([pd.DataFrame(waiting, columns=["stream", "t_ms", "x", "y", "area", "sharp", "border"]), *chunks]) if waiting else pd.concat(list(chunks))
-        rows = rows.sort_values(["t_ms", "x", "y"], kind="stable")
-        newest, waiting = rows["t_ms"].max(), []
-        for t, frame in rows.groupby("t_ms", sort=True):
+    def __init__(self, params: TrackParams, complete: bool, silent_ms: int | None):
+        self.params, self.complete, self.silent_ms = params, complete, silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.scene = handle.getValueState("scene", "next_id long, last long")
+        self.tracks = handle.getMapState("tracks", "id long", TRACK)
+        self.crops = handle.getMapState("crops", "track long, t_ms long", "quality double")
+        self.waiting = handle.getListState("waiting", DETECTION)
+
+    def _loaded(self) -> Scene:
+        next_id, last = self.scene.get() if self.scene.exists() else (1, None)
+        crops: dict[int, list] = {}
+        for (track, t), (quality,) in self.crops.iterator():
+            crops.setdefault(track, []).append([quality, t])
+        tracks = [Track(k, **dict(zip(FIELDS, v, strict=True)), crops=sorted(crops.get(k, []), key=lambda c: (-c[0], c[1]))) for (k,), v in self.tracks.iterator()]
+        return Scene(next_id, last, sorted(tracks, key=lambda tr: tr.id))
+
+    def _kept(self, before: dict[int, tuple], scene: Scene) -> None:
+        self.scene.update((scene.next_id, scene.last))
+        live = {tr.id: _row(tr) for tr in scene.tracks}
+        for k in before.keys() - live.keys():
+            self.tracks.removeKey((k,))
+        for k, (v, crops) in live.items():
+            old, old_crops = before.get(k, (None, ()))
+            if v != old:
+                self.tracks.updateValue((k,), v)
+            for t, quality in set(crops) - set(old_crops):
+                self.crops.updateValue((k, t), (quality,))
+        for k, (_, old_crops) in before.items():
+            for t in {t for t, _ in old_crops} - {t for t, _ in live.get(k, (None, ()))[1]}:
+                self.crops.removeKey((k, t))
+
+    def _run(self, stream: int, rows: pd.DataFrame, all_of_it: bool) -> pd.DataFrame:
+        scene, out = self._loaded(), []
+        before, rest = {tr.id: _row(tr) for tr in scene.tracks}, []
+        newest = rows["t_ms"].max() if len(rows) else None
+        for t, frame in rows.sort_values(["t_ms", "x", "y"], kind="stable").groupby("t_ms", sort=True):
             if scene.last is not None and t < scene.last:
-                out.append((int(key[0]), int(t), 0, "LATE", None))
-                continue
-            if complete and t == newest and not ends:
-                waiting = json.loads(frame.to_json(orient="values"))
-                continue
-            found = frame.dropna(subset=["x"])[["x", "y", "area", "sharp", "border"]].to_dict("records")
-            out += [(int(key[0]), int(t), *e) for e in step(scene, int(t), found, params)]
-        if ends:
-            state.remove()
+                out.append((stream, int(t), 0, "LATE", None, None))
+            elif t == newest and not all_of_it:
+                rest = [(int(t), *(None if pd.isna(v) else v for v in r)) for r in frame[COLUMNS[1:]].itertuples(index=False, name=None)]
+            else:
+                found = frame.dropna(subset=["x"])[COLUMNS[1:]].to_dict("records")
+                out += [(stream, int(t), *e[:3], e[3] or None) for e in advance(scene, int(t), found, self.params)]
+        self._kept(before, scene)
+        if rest:
+            self.waiting.put(rest)
         else:
-            state.update((scene.dumps(), json.dumps(waiting)))
-            if silent_ms is not None:
-                state.setTimeoutDuration(silent_ms)
-        yield pd.DataFrame(out, columns=["stream", "t_ms", "track", "event", "crop_t_ms"]).astype({"crop_t_ms": "Int64"})
+            self.waiting.clear()
+        return pd.DataFrame(out, columns=["stream", "t_ms", "track", "event", "crop_t_ms", "frames"]).astype({"crop_t_ms": "Int64"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = [pd.DataFrame(self.waiting.get(), columns=COLUMNS)] if self.complete and self.waiting.exists() else []
+        yield self._run(int(key[0]), pd.concat([*held, *(r[COLUMNS] for r in rows)]), not self.complete)
+        if self.silent_ms is not None:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._run(int(key[0]), pd.DataFrame(self.waiting.get() if self.waiting.exists() else [], columns=COLUMNS), True)
+        for state in (self.scene, self.tracks, self.crops, self.waiting):
+            state.clear()
+
+    def close(self) -> None:
+        pass
 
+
+def _row(tr: Track) -> tuple[tuple, tuple]:
+    return tuple(getattr(tr, f) for f in FIELDS), tuple((t, q) for q, t in tr.crops)
+
+
+def tracked(detections: DataFrame, params: TrackParams = TrackParams(), complete: bool = False, silent_ms: int | None = None) -> DataFrame:
+    """Events of a streaming DataFrame of detections (stream, t_ms, x, y, area, sharp, border); a frame without any is a row with a null x.
+
+    crop_t_ms is the frame to judge (of STEADY the one that fired, of LINE the best crop, null if there is none), frames that one and the
+    other best ones. A frame earlier than the last one taken is told apart as LATE and changes nothing; one of the same time is matched,
+    and leaves velocities as they are. With complete, the newest frame of each stream waits until a later one is seen, so that a frame
+    whose rows come in several micro-batches is taken whole. With silent_ms, a stream that is silent for so long by the clock gives what
+    waits, and its state goes; such a query has batches without data and is for continuous running, not for a run over what is available.
+
+    A task holds a stream's rows of one micro-batch, so the source should bound that (maxFilesPerTrigger; run_available has slices).
+    State lies in RocksDB: see keyed_state.
+    """
     shaped = detections.select(F.col("stream").cast("long"), F.col("t_ms").cast("long"), *(F.col(c).cast("double") for c in ("x", "y", "area", "sharp")), F.col("border").cast("boolean"))
-    return shaped.groupBy("stream").applyInPandasWithState(run, EVENTS, "scene string, waiting string", "append", "NoTimeout" if silent_ms is None else "ProcessingTimeTimeout")
+    keyed_state(detections.sparkSession)
+    return shaped.groupBy("stream").transformWithStateInPandas(Tracking(params, complete, silent_ms), EVENTS, "Append", "None" if silent_ms is None else "ProcessingTime")
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Processors with maps, lists and timers need the RocksDB store; the setting holds for streams that start from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -128,3 +128,44 @@ def test_negatives_and_photos(spark, tmp_path):
         (folder / name).write_bytes(name.encode())
     assert [(r.name, r.label, bytes(r.content)) for r in formats.photos(spark, str(folder)).collect()] == [("Bad_2.JPG", "bad", b"Bad_2.JPG"), ("good1.png", "good", b"good1.png"), ("other.WebP", None, b"other.WebP")]
     assert formats.photos(spark, str(folder), "good").where("label = 'good'").count() == 2
+
+
+def test_slices_keep_state_from_batch_to_batch(spark):
+    """Ten slices of one stream, rows of a frame in several files of no order: as many events as in one go, and a small state at the end."""
+    rng = random.Random(4)
+    rows = []
+    for t in range(1500):
+        there = [(7, t * 33, float(t * 10 - start), 60.0 + 80 * lane, 2500.0, 4 + rng.random(), False) for lane in (0, 1) for start in range(0, 15000, 400) if 0 <= t * 10 - start - 150 * lane <= 320]
+        rows += there or [(7, t * 33, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SHAPE).repartition(7)
+    cut = [tuple(r) for r in run_available(df, tracker.tracked, "cut", order="t_ms", slice_rows=300).orderBy("t_ms", "track", "event").collect()]
+    one = [tuple(r) for r in run_available(df, tracker.tracked, "one").orderBy("t_ms", "track", "event").collect()]
+    assert cut == one and len([r for r in cut if r[3] == "LINE"]) > 60
+    assert all(1 <= len(r[5]) <= 3 and r[4] == r[5][0] for r in cut if r[3] == "LINE")
+
+
+def test_judged_frames_of_a_steady_part_begin_with_the_one_that_fired():
+    p = tracker.TrackParams(line_on=False)
+    scene, fired = tracker.Scene(), []
+    for k in range(12):
+        fired += [(100 * k, *e) for e in tracker.advance(scene, 100 * k, [{"x": 160.0, "y": 120.0, "area": 900.0, "sharp": 9.0 if k == 3 else 8.0, "border": False}], p)]
+    assert fired == [(600, 1, "STEADY", 600, [600, 300, 100])] and scene.tracks[0].crops == []
+
+
+def test_grid_counts_every_rule_of_every_part(spark):
+    from sievelight.operators import variants
+
+    rng = random.Random(8)
+    labels = ["good"] * 4 + ["defect"] * 4 + ["wrong"] * 3 + ["rotated"]
+    rows = [(s, f"p{i}", lab, a, b, c, d, rng.choice(["PASS", "DEFECT", "NOT_ENROLLED"]), rng.choice([0.5, 1.0, 1.5, None]), rng.random()) for s in (0, 1) for a in variants.SCORES for b in variants.BANKS for c in variants.VIEWS for d in variants.TAUS for i, lab in enumerate(labels)]
+    df = spark.createDataFrame(rows, "twin long, part string, label string, score string, bank string, way string, tau_rule string, verdict string, s double, sim double")
+    got = variants.compared(df).collect()
+    assert len(got) == 48 and sorted(r.place for r in got if r.study == 0) == list(range(1, 25))
+    for r in got:
+        own = [x for x in rows if x[0] == r.study and "/".join(x[3:7]) == r.variant]
+        pairs = [(d[8], g[8]) for d in own for g in own if d[2] == "defect" and g[2] == "good" and d[8] is not None and g[8] is not None]
+        want = sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs) if pairs else -1.0
+        assert abs(r.auroc_defect - want) < 1e-9
+        assert r.pass_good_k == sum(x[7] == "PASS" for x in own if x[2] == "good") and r.changes == sum(a != b for a, b in zip(r.variant.split("/"), ("SMOOTHED_MAX", "CORESET", "NONE", "LSO"), strict=True))
+    best = min((r for r in got if r.study == 1), key=lambda r: r.place)
+    assert all((best.auroc_defect, best.auroc_identity) >= (r.auroc_defect, r.auroc_identity) for r in got if r.study == 1)
