@@ -17,6 +17,8 @@ from .pixels import MARGIN
 SAMPLES = 4  # fixed value: sample points along each side of a patch
 # Reach between pieces as a share of the object's longer side, and the areas, as shares of the largest piece's, of pieces.
 GAP, LEAST_PIECE, MOST_PIECE = 0.35, 0.03, 0.5
+#: Fixed value: from this aspect on an object has no axis.
+ROUND = 0.85
 
 
 def taps(crops: DataFrame, axis: str, size: int, full: int) -> DataFrame:
@@ -70,9 +72,9 @@ def coverage(labelled: DataFrame, crops: DataFrame, gh: int, gw: int, factor: in
     return grid.join(sums, ["img", "label", "r", "c"], "left").withColumn("cov", F.coalesce("cov", F.lit(0.0)))
 
 
-def canonical_square(labelled: DataFrame, angles: DataFrame, factor: int) -> DataFrame:
+def canonical_square(labelled: DataFrame, angles: DataFrame, factor: int, height: int | None = None, width: int | None = None) -> DataFrame:
     """img, label, theta, cx, cy and side of the square along each object's axis (angles: img, label, theta): the extent of its pixels'
-    corners along and across, a margin wider, about its middle."""
+    corners along and across, a margin wider, about its middle; no wider than the image (height x width analysis pixels) where given."""
     corners = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1))))
     pts = labelled.join(angles, ["img", "label"]).withColumn("d", corners)
     px, py = factor * (F.col("x") + F.col("d.dx")), factor * (F.col("y") + F.col("d.dy"))
@@ -80,9 +82,67 @@ def canonical_square(labelled: DataFrame, angles: DataFrame, factor: int) -> Dat
     ends = pts.groupBy("img", "label", "theta").agg(F.min(a).alias("a0"), F.max(a).alias("a1"), F.min(b).alias("b0"), F.max(b).alias("b1"))
     am, bm = (F.col("a0") + F.col("a1")) / 2, (F.col("b0") + F.col("b1")) / 2
     side = F.greatest(F.greatest(F.col("a1") - F.col("a0"), F.col("b1") - F.col("b0")) * (1 + 2 * MARGIN), F.lit(2.0 * factor))
+    if height is not None and width is not None:
+        side = F.least(side, F.lit(float(factor * min(height, width))))
     return ends.select("img", "label", "theta", (am * F.cos("theta") - bm * F.sin("theta")).alias("cx"), (am * F.sin("theta") + bm * F.cos("theta")).alias("cy"), side.alias("side"))
 
 
+def axis_angle(theta: Column, aspect: Column) -> Column:
+    """The angle to crop at: an object nearly as wide as long has no axis to go by."""
+    return F.when(aspect < ROUND, folded_angle(theta)).otherwise(F.lit(0.0))
+
+
+def _square_points(squares: DataFrame, by: list[str], rows: int, columns: int, turned: float) -> DataFrame:
+    """by, i, j, u and v: the middles of rows x columns cells of squares (by, cx, cy, side, theta), in the image."""
+    spread = squares.select(*by, "cx", "cy", "side", (F.col("theta") + turned).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"))
+    spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
+    a, b = (F.col("j") + 0.5) * F.col("side") / columns - F.col("side") / 2, (F.col("i") + 0.5) * F.col("side") / rows - F.col("side") / 2
+    return spread.select(*by, "i", "j", (F.col("cx") + a * F.cos("t") - b * F.sin("t")).alias("u"), (F.col("cy") + a * F.sin("t") + b * F.cos("t")).alias("v"))
+
+
+def rotated(pixels: DataFrame, squares: DataFrame, size: int, height: int, width: int, channels: tuple[str, ...], turned: float = 0.0) -> DataFrame:
+    """img, label, y, x and channels of the content of squares (img, label, cx, cy, side, theta), size x size, by bilinear samples at the
+    centres of the new pixels; turned by half a circle they show it the other way round.
+
+    A sample takes from four pixels, the rim repeated: squares become a table of (pixel, weight), pixels meet it by equality and sums
+    combine partially, so that no image lies in one task."""
+    at = _square_points(squares, ["img", "label"], size, size, turned)
+    fx, fy = F.floor(F.col("u") - 0.5), F.floor(F.col("v") - 0.5)
+    held = lambda k, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), k)).cast("int")
+    wx, wy = F.col("u") - 0.5 - fx, F.col("v") - 0.5 - fy
+    taps_ = F.array(*(F.struct(held(fy + dy, height).alias("y"), held(fx + dx, width).alias("x"), ((wx if dx else 1 - wx) * (wy if dy else 1 - wy)).alias("w")) for dy in (0, 1) for dx in (0, 1)))
+    asked = at.select("img", "label", "i", "j", F.explode(taps_).alias("t")).select("img", "label", "i", "j", "t.*").where("w > 0")
+    met = pixels.select("img", "y", "x", *channels).join(asked, ["img", "y", "x"])
+    return met.groupBy("img", "label", F.col("i").alias("y"), F.col("j").alias("x")).agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in channels))
+
+
+def rotated_coverage(labelled: DataFrame, squares: DataFrame, gh: int, gw: int, factor: int = 1, turned: float = 0.0) -> DataFrame:
+    """img, label, r, c and cov of every patch of squares (img, label, cx, cy, side, theta): the share of its 4 x 4 sample points that
+    lie on the object's pixels."""
+    at = _square_points(squares, ["img", "label"], gh * SAMPLES, gw * SAMPLES, turned)
+    cell = lambda c: F.floor(F.col(c) / SAMPLES).cast("int")
+    asked = at.select("img", "label", cell("i").alias("r"), cell("j").alias("c"), F.floor(F.col("v") / factor).cast("int").alias("y"), F.floor(F.col("u") / factor).cast("int").alias("x"))
+    counts = asked.groupBy("img", "label", "r", "c", "y", "x").agg(F.count("*").alias("n"))
+    hits = counts.join(labelled.select("img", "label", "y", "x", F.lit(1).alias("on")), ["img", "label", "y", "x"], "left")
+    return hits.groupBy("img", "label", "r", "c").agg((F.sum(F.when(F.col("on") == 1, F.col("n")).otherwise(0)) / SAMPLES**2).alias("cov"))
+
+
+def inside_square(x: Column, y: Column) -> Column:
+    """Whether a point lies in the square (columns cx, cy, side, theta) that its row has; the far sides are outside."""
+    dx, dy, half = x - F.col("cx"), y - F.col("cy"), F.col("side") / 2
+    a, b = dx * F.cos("theta") + dy * F.sin("theta"), -dx * F.sin("theta") + dy * F.cos("theta")
+    return (a >= -half) & (a < half) & (b >= -half) & (b < half)
+
+
+def cell_corners(gh: int, gw: int, r: Column, c: Column) -> Column:
+    """The corners (x and y each, from the first one around) of a patch of the square (cx, cy, side, theta), in the image."""
+    def corner(rr: Column, cc: Column) -> Column:
+        a, b = cc * F.col("side") / gw - F.col("side") / 2, rr * F.col("side") / gh - F.col("side") / 2
+        return F.struct((F.col("cx") + a * F.cos("theta") - b * F.sin("theta")).alias("x"), (F.col("cy") + a * F.sin("theta") + b * F.cos("theta")).alias("y"))
+
+    return F.array(corner(r, c), corner(r, c + 1), corner(r + 1, c + 1), corner(r + 1, c))
+
+
 def folded_angle(theta: Column) -> Column:
     """An axis's angle in (-pi/2, pi/2]."""
     t = F.pmod(theta, F.lit(math.pi))

@@ -1,7 +1,7 @@
 """Images as pixel tables (img, y, x, ...): morphology, components, shapes, sharpness, flicker, sanity.
 
-Neighbourhoods are exploded offsets and grouped aggregates, so that images spread over tasks; only labelling and hulls see one image or
-one component at a time.
+Neighbourhoods are exploded offsets and grouped aggregates, so that images spread over tasks; labelling sees a tile at a time, and hulls
+the ends of a component's rows.
 """
 
 from __future__ import annotations
@@ -14,9 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.stats import positions
 from ..params import DEFAULT, Params
+from ..sources.shared import stored
+from . import links
 from .telemetry import folded
 
+#: Pixels along a side of a tile that is labelled as one.
+TILE = 1024
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 MIN_BLOB, RIM, MIN_FRACTION, MAX_FRACTION, SECOND, MARGIN = 30, 2, 0.01, 0.80, 0.25, 0.10  # fixed values
 
@@ -77,9 +82,32 @@ def label(image: pd.DataFrame, min_area: int = MIN_BLOB) -> pd.DataFrame:
     return image[image["label"] > 0]
 
 
-def components(on: DataFrame, min_area: int = MIN_BLOB) -> DataFrame:
-    """img, y, x and label of the pixels that belong to components of min_area pixels or more. An image is one group."""
-    return on.select("img", F.col("y").cast("int"), F.col("x").cast("int")).groupBy("img").applyInPandas(lambda g: label(g, min_area)[["img", "y", "x", "label"]], "img long, y int, x int, label int")
+def _tiled(image: pd.DataFrame) -> pd.DataFrame:
+    """One tile's set pixels with node: the place of the first pixel of their component within the tile."""
+    out = label(image, 1)
+    first = out.groupby("label", sort=False)["place"].transform("min")
+    return out.assign(node=first)
+
+
+def components(on: DataFrame, min_area: int = MIN_BLOB, tile: int = TILE) -> DataFrame:
+    """img, y, x and label of the pixels that belong to components of min_area pixels or more, numbered from 1 by first pixel.
+
+    Tiles are labelled each for itself. Pixels at the edge of a tile that touch one of another link the two components, and what such
+    links connect is one component; so an image of any size spreads over tasks, and what is joined is seams.
+    """
+    pixels = on.select(F.col("img").cast("long").alias("img"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
+    placed = pixels.withColumns({"place": F.shiftleft(F.col("y").cast("long"), 32) + F.col("x"), "ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
+    shape = "img long, y int, x int, place long, ty long, tx long, label int, node long"
+    parts = stored(placed.groupBy("img", "ty", "tx").applyInPandas(_tiled, shape).drop("label"), "tiles")
+    edge = parts.where(F.expr(f"pmod(y, {tile}) in (0, {tile - 1}) or pmod(x, {tile}) in (0, {tile - 1})")).select("img", "y", "x", "ty", "tx", "node")
+    next_to = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1)))))
+    asked = edge.select("img", F.col("node").alias("u"), "ty", "tx", "y", "x", next_to.alias("d")).select("img", "u", F.col("ty").alias("uy"), F.col("tx").alias("ux"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
+    seams = asked.join(edge, ["img", "y", "x"]).where("uy <> ty or ux <> tx").select(F.col("img").alias("space"), "u", F.col("node").alias("v")).distinct()
+    joined = links.connected(seams).withColumnRenamed("space", "img")
+    rooted = stored(parts.join(joined, ["img", "node"], "left").select("img", "y", "x", F.coalesce("root", "node").alias("root")), "rooted")
+    sizes = rooted.groupBy("img", "root").count().where(F.col("count") >= min_area)
+    numbers = positions(sizes.select("img", "root"), ["img"], F.col("root")).select("img", "root", (F.col("_at") + 1).cast("int").alias("label"))
+    return rooted.join(numbers, ["img", "root"]).select("img", "y", "x", "label")
 
 
 def component_stats(labelled: DataFrame, height: int, width: int) -> DataFrame:
@@ -117,11 +145,14 @@ def sanity(stats: DataFrame, images: DataFrame, height: int, width: int, params:
 
 
 def shapes(labelled: DataFrame) -> DataFrame:
-    """img, label, area, hu1, aspect, theta and fill: moments in one pass, the extents along the axes in a second."""
+    """img, label, area, hu1, aspect, theta and fill: moments in one pass (of whole numbers, exact),
+    the extents along the axes in a second."""
     by = ["img", "label"]
-    m = labelled.groupBy(*by).agg(F.count("*").alias("area"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    s = labelled.join(m, by).groupBy(*by, "area").agg(F.sum(dx * dx).alias("m20"), F.sum(dy * dy).alias("m02"), F.sum(dx * dy).alias("m11"))
+    x, y = (F.col(c).cast("long") for c in ("x", "y"))
+    sums = labelled.groupBy(*by).agg(F.count("*").alias("area"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    central = lambda p, q, r: ((whole("area") * whole(p) - whole(q) * whole(r)).cast("double") / F.col("area"))
+    s = sums.select(*by, "area", central("sxx", "sx", "sx").alias("m20"), central("syy", "sy", "sy").alias("m02"), central("sxy", "sx", "sy").alias("m11"))
     root = F.sqrt(F.pow(F.col("m20") - F.col("m02"), F.lit(2.0)) + 4 * F.col("m11") * F.col("m11"))
     high, low = (F.col("m20") + F.col("m02") + root) / 2, F.greatest(F.lit(0.0), (F.col("m20") + F.col("m02") - root) / 2)
     s = s.select(*by, "area", ((F.col("m20") + F.col("m02")) / (F.col("area") * F.col("area"))).alias("hu1"), F.when(high == 0, 1.0).otherwise(F.sqrt(low / high)).alias("aspect"), (0.5 * F.atan2(2 * F.col("m11"), F.col("m20") - F.col("m02"))).alias("theta"))

@@ -1,4 +1,4 @@
-"""Queries over rules of records, crops and texts, each with DuckDB SQL. Images are drawn from suppliers: 12 x 10 pixels each."""
+"""Queries over rules of records, crops and texts, each with DuckDB SQL. Images are rows of lineitem in order: 12 x 10 pixels each."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import stats, text
 from ..operators import coreset, crops, knn, pixels, rules, telemetry
 from ..params import DEFAULT
 from ..sources.shared import table
@@ -62,13 +62,13 @@ def fps_blocks(spark, sf_dir):
     return rules.blocks_per_second(events(spark, sf_dir).select("user_id", "t_ms").distinct(), "user_id", 3_600_000).select("user_id", "t_ms", F.round("fps", 9).alias("fps"))
 
 
-@query(f"""with {EV}, x as (select event_type as g, event_id, pow(value / 10, 4) as s from ev where event_id % 10 = 3), m as (select g, median(s) as med, count(*) as n from x group by g),
+@query(f"""with {EV}, x as (select event_type as g, event_id, pow(value / 10, 4) as s from ev), m as (select g, median(s) as med, count(*) as n from x group by g),
 d as (select g, med, n, 1.4826 * median(abs(s - med)) as sd from x join m using (g) group by g, med, n),
 o as (select g, event_id, s, n, row_number() over (partition by g order by s desc, event_id) as place from x join d using (g) where n >= 6 and s > med + 3 * if(sd = 0, 1e-9, sd))
 select g, event_id, round(s, 4) as s, place from o where place <= floor(0.2 * n)""")
 def outlier_frames(spark, sf_dir):
     """A share of each group at most, the worst first."""
-    x = events(spark, sf_dir).where("event_id % 10 = 3").select(F.col("event_type").alias("g"), "event_id", F.pow(F.col("value") / 10, F.lit(4.0)).alias("s"))
+    x = events(spark, sf_dir).select(F.col("event_type").alias("g"), "event_id", F.pow(F.col("value") / 10, F.lit(4.0)).alias("s"))
     return rules.outliers(x, "g", "event_id", "s").select("g", "event_id", F.round("s", 4).alias("s"), F.col("place").cast("long").alias("place"))
 
 
@@ -269,21 +269,37 @@ def variants(spark, sf_dir):
 
 
 H, WD = 10, 12
-IMG = "img as (select s_suppkey as img, y, x, (s_suppkey * 31 + y * 7 + x * x * 5) % 256 as v from supplier, (select unnest(range(10)) as y), (select unnest(range(12)) as x))"
+ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+PX = f"px as (select row_number() over (order by {', '.join(ORDER)}) - 1 as nth, floor(l_extendedprice)::bigint % 256 as v, l_quantity, l_discount, l_tax from lineitem)"
+IMG = f"{PX}, img as (select nth // {H * WD} as img, nth % {H * WD} // {WD} as y, nth % {WD} as x, v from px)"
+
+
+def pixel_rows(spark: SparkSession, sf_dir: str, height: int = H, width: int = WD) -> DataFrame:
+    """Images of height x width: the rows of lineitem in order, a pixel each."""
+    rows = table(spark, sf_dir, "lineitem").select(*ORDER, "l_quantity", "l_discount", "l_tax", F.lit(0).alias("all"))
+    at = stats.positions(rows, ["all"], F.struct(*ORDER))
+    k, size = F.col("_at"), height * width
+    return at.select(F.floor(k / size).alias("img"), F.floor(k % size / width).cast("int").alias("y"), (k % width).cast("int").alias("x"), (F.floor("l_extendedprice") % 256).cast("double").alias("v"), "l_quantity", "l_discount", "l_tax")
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("img"), F.explode(F.sequence(F.lit(0), F.lit(H * WD - 1))).alias("p"))
-    y, x = F.floor(F.col("p") / WD).cast("int"), (F.col("p") % WD).cast("int")
-    return at.select("img", y.alias("y"), x.alias("x"), ((F.col("img") * 31 + y * 7 + x * x * 5) % 256).cast("double").alias("v"))
+    return pixel_rows(spark, sf_dir).select("img", "y", "x", "v")
 
 
-CROP = "crop as (select s_suppkey as img, 1 + (s_suppkey % 3)::double / 2 as x0, (s_suppkey % 4)::double / 3 as y0, 5 + (s_suppkey % 5)::double as side from supplier)"
+CROP = "crop as (select img, 1 + (k % 3)::double / 2 as x0, (k % 4)::double / 3 as y0, 5 + (k % 5)::double as side from (select img, count(*) filter (v > 200) as k from img group by img))"
 
 
 def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(k.alias("img"), (1 + (k % 3) / 2).alias("x0"), ((k % 4) / 3).alias("y0"), (5 + (k % 5)).cast("double").alias("side"))
+    """A square of each image, by how many of its pixels are bright."""
+    k = F.col("k")
+    bright = images(spark, sf_dir).groupBy("img").agg(F.count_if(F.col("v") > 200).alias("k"))
+    return bright.select("img", (1 + (k % 3) / 2).alias("x0"), ((k % 4) / 3).alias("y0"), (5 + (k % 5)).cast("double").alias("side"))
+
+
+#: Every pixel that is set reaches all of its component; the first one names it.
+def reached(on: str, more: str = "") -> str:
+    return f"""reach as (select img, y * 100000 + x as root, y, x from img where {on} union select r.img, r.root, i.y, i.x from reach r join img i on i.img = r.img and abs(i.y - r.y) <= 1 and abs(i.x - r.x) <= 1 where i.{on}),
+rooted as (select img, y, x, min(root) as root from reach group by img, y, x), lab as (select img, y, x, dense_rank() over (partition by img order by root) as label from rooted{more})"""
 
 
 def _tap(axis: str, n: int) -> str:
@@ -318,10 +334,10 @@ def box_downscale(spark, sf_dir):
     return pixels.shrunk(images(spark, sf_dir), 2, ("v",)).select("img", "y", "x", "v")
 
 
-@query(f"with {IMG} select img, count(*) filter (v > 150) as area, coalesce(min(x) filter (v > 150), -1)::int as min_x, coalesce(max(y) filter (v > 150), -1)::int as max_y, coalesce(round(avg(x) filter (v > 150) + 0.5, 6), -1) as cx, coalesce(bool_or(x < 2 or y < 2 or x >= 10 or y >= 8) filter (v > 150), false) as border from img group by img having count(*) filter (v > 150) > 0")
+@query(f"""with recursive {IMG}, {reached('v > 150')} select img, label::int as label, count(*) as area, min(x)::int as min_x, max(y)::int as max_y, round(avg(x) + 0.5, 6) as cx, bool_or(x < 2 or y < 2 or x >= 10 or y >= 8) as border from lab group by img, label""")
 def component_stats(spark, sf_dir):
-    on = images(spark, sf_dir).where("v > 150").withColumn("label", F.lit(1))
-    return pixels.component_stats(on, H, WD).select("img", "area", "min_x", "max_y", *i.r6("cx"), F.col("touches_border").alias("border"))
+    on = images(spark, sf_dir).where("v > 150")
+    return pixels.component_stats(pixels.components(on, 1), H, WD).select("img", "label", "area", "min_x", "max_y", *i.r6("cx"), F.col("touches_border").alias("border"))
 
 
 @query(f"""with {IMG}, l as (select a.img, sum(b.v) - 4 * a.v as l from img a join img b on a.img = b.img and abs(a.x - b.x) + abs(a.y - b.y) = 1 where a.x between 1 and 10 and a.y between 1 and 8 group by a.img, a.x, a.y, a.v)
@@ -339,8 +355,14 @@ def opened_masks(spark, sf_dir):
     return pixels.dilated(pixels.eroded(on, H, WD), H, WD).select("img", F.col("y").cast("int"), F.col("x").cast("int"))
 
 
-@query(f"""with {IMG}, m as (select img, count(*) as n, avg(x) as mx, avg(y) as my from img where v > 150 group by img), s as (select i.img, n, sum((x - mx) * (x - mx)) as a, sum((y - my) * (y - my)) as b, sum((x - mx) * (y - my)) as c from img i join m using (img) where v > 150 group by i.img, n)
-select img, round((a + b) / (n * n), 6) as hu1, round(if((a + b + sqrt((a - b) * (a - b) + 4 * c * c)) / 2 = 0, 1, sqrt(greatest(0, (a + b - sqrt((a - b) * (a - b) + 4 * c * c)) / 2) / ((a + b + sqrt((a - b) * (a - b) + 4 * c * c)) / 2))), 6) as aspect from s""")
+MOMENTS = """mom as (select img, label, n, sx, sy, (n * sxx - sx * sx) / n::double as a, (n * syy - sy * sy) / n::double as b, (n * sxy - sx * sy) / n::double as c from (select img, label, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(y * y) as syy, sum(x * y) as sxy from lab group by img, label)),
+shp as (select img, label, n, (a + b) / (n * n) as hu1, if((a + b + sqrt((a - b) * (a - b) + 4 * c * c)) / 2 = 0, 1, sqrt(greatest(0, (a + b - sqrt((a - b) * (a - b) + 4 * c * c)) / 2) / ((a + b + sqrt((a - b) * (a - b) + 4 * c * c)) / 2))) as aspect, 0.5 * atan2(2 * c, a - b) as theta from mom),
+wide as (select s.img, s.label, (max(cos(theta) * x + sin(theta) * y) - min(cos(theta) * x + sin(theta) * y) + 1) * (max(cos(theta) * y - sin(theta) * x) - min(cos(theta) * y - sin(theta) * x) + 1) as box from shp s join lab l on l.img = s.img and l.label = s.label group by s.img, s.label)"""
+
+
+@query(f"""with recursive {IMG}, {reached('v > 150')}, {MOMENTS}
+select s.img, s.label::int as label, round(hu1, 6) as hu1, round(aspect, 6) as aspect, round(sin(2 * theta), 6) as axis, round(n / box, 6) as fill from shp s join wide w on w.img = s.img and w.label = s.label""")
 def shape_moments(spark, sf_dir):
-    on = images(spark, sf_dir).where("v > 150").withColumn("label", F.lit(1))
-    return pixels.shapes(on).select("img", *i.r6("hu1", "aspect"))
+    """Every component's shape; its axis as an angle that a half turn doesn't change."""
+    on = images(spark, sf_dir).where("v > 150")
+    return pixels.shapes(pixels.components(on, 1)).select("img", "label", *i.r6("hu1", "aspect"), F.round(F.sin(2 * F.col("theta")), 6).alias("axis"), *i.r6("fill"))
