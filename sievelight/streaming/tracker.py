@@ -254,6 +254,10 @@ class Tracking(StatefulProcessor):
         for state in (self.scene, self.tracks, self.crops, self.waiting):
             state.clear()
 
+    @staticmethod
+    def _of(tr: Track) -> tuple[tuple, tuple]:
+        return _row(tr)
+
     def close(self) -> None:
         pass
 

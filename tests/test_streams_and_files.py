@@ -169,3 +169,32 @@ def test_grid_counts_every_rule_of_every_part(spark):
         assert r.pass_good_k == sum(x[7] == "PASS" for x in own if x[2] == "good") and r.changes == sum(a != b for a, b in zip(r.variant.split("/"), ("SMOOTHED_MAX", "CORESET", "NONE", "LSO"), strict=True))
     best = min((r for r in got if r.study == 1), key=lambda r: r.place)
     assert all((best.auroc_defect, best.auroc_identity) >= (r.auroc_defect, r.auroc_identity) for r in got if r.study == 1)
+
+
+def _session(spark, rows, name, slice_rows=1000, **how):
+    from sievelight.streaming import session
+
+    shape = SHAPE + ", sanity string, crop binary, stroke long, radius double"
+    out = run_available(spark.createDataFrame(rows, shape), lambda df: session.operated(df, **how), name, order="t_ms", slice_rows=slice_rows)
+    return sorted(((r.t_ms, r.track, r.event, r.stroke, r.frames, [bytes(c).decode() for c in r.crops] if r.crops else None) for r in out.collect()), key=str)
+
+
+def test_circled_objects_are_judged_or_given_up(spark):
+    see = lambda t, x, area=900.0, sharp=5.0: (1, t, x, 100.0, area, sharp, False, "OK", f"{x:g}@{t}".encode(), None, None)
+    ask = lambda t, stroke, x, radius: (1, t, x, 100.0, None, None, None, None, None, stroke, radius)
+    rows = [see(100 * k, x + 8 * (k % 2)) for k in range(40) for x in (50.0, 250.0)]  # neither is still, none crosses the line
+    rows += [ask(300, 1, 52.0, 30.0), ask(1000, 2, 160.0, 20.0), ask(3000, 3, 160.0, 300.0)]
+    rows += [see(100 * k, 100.0, 5000.0) for k in range(30, 40)]
+    for size in (1000, 25):
+        got = _session(spark, rows, "circle", size)
+        told = [e for e in got if e[2] != "EXITED" and "EXITED" not in e[2]]
+        assert [(t, e, s) for t, _, e, s, _, _ in told if e.startswith("CIRCLE")] == [(2600, "CIRCLE_FAILED", 2), (300, "CIRCLE_OK", 1), (3000, "CIRCLE_OK", 3)]
+        judged = [(t, f, c) for t, _, e, _, f, c in told if e == "OPERATOR"]
+        assert judged == [(300, [300], ["58@300"]), (3000, [3000], ["100@3000"])]  # the largest in the circle
+
+
+def test_wrong_objects_are_captured_one_at_a_time(spark):
+    see = lambda t, x, sanity="OK": (1, t, x, 100.0, 900.0, 5.0, False, sanity, f"{x:g}@{t}".encode(), None, None)
+    rows = [see(100 * k, 50.0) for k in range(12)] + [see(100 * k, 250.0) for k in range(2, 14)] + [see(100 * k, 150.0, "MULTIPLE") for k in range(30, 42)] + [see(100 * k, 20.0) for k in range(50, 62)]
+    got = _session(spark, rows, "negatives", 15, capture_ms=1000)
+    assert [(t, e, c) for t, _, e, _, _, c in got if "EXITED" not in e] == [(3600, "REFUSED:MULTIPLE", None), (5600, "CAPTURED", ["20@5600"]), (600, "CAPTURED", ["50@600"]), (800, "BUSY", None)]
