@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import crops, pixels
+from ..operators import crops, features, pixels
 from ..sources.shared import stored
 from . import inspection as i
 from .rules import IMG, MOMENTS, PX, WD, H, images, pixel_rows, reached
@@ -174,3 +174,22 @@ def grey_means(spark, sf_dir):
     """The mean grey of each image, of three channels."""
     grey = pixels.grey(F.col("l_quantity"), F.col("l_discount") * 1000, F.col("l_tax") * 1000)
     return pixel_rows(spark, sf_dir).groupBy("img").agg(F.round(F.avg(grey), 6).alias("grey"))
+
+
+DIM = 6
+WEIGHTS = ", ".join(f"({d}, {k}, {w!r})" for d, row in enumerate(features.projection(DIM)) for k, w in enumerate(row))
+
+
+@query(f"""with {PX}, im as (select nth // 100 as img, nth % 100 // 10 as y, nth % 10 as x, l_quantity * 5 / 255 as c0, v / 255.0::double as c1, floor(l_tax * 1000) / 255 as c2, 0.299 * (l_quantity * 5) + 0.587 * v + 0.114 * floor(l_tax * 1000) as g from px),
+gr as (select o.img, o.y, o.x, r.g - l.g as gx, b.g - a.g as gy, (l.g + r.g + a.g + b.g - 4 * o.g) / 255 as lap from im o join im l on l.img = o.img and l.y = o.y and l.x = o.x - 1 join im r on r.img = o.img and r.y = o.y and r.x = o.x + 1 join im a on a.img = o.img and a.y = o.y - 1 and a.x = o.x join im b on b.img = o.img and b.y = o.y + 1 and b.x = o.x),
+ed as (select img, y, x, greatest(0, least(7, floor((atan2(gy, gx) + pi()) / (2 * pi()) * 8))) as bin, sqrt(gx * gx + gy * gy) / 255 as mag, lap * lap as e from gr),
+cell as (select i.img, i.y // 2 as r, i.x // 2 as c, count(*) as n, {", ".join(f"sum(c{k}) as s{k}, sum(c{k} * c{k}) as q{k}" for k in range(3))}, {", ".join(f"coalesce(sum(mag) filter (bin = {b}), 0) as b{b}" for b in range(8))}, coalesce(sum(e), 0) as e from im i left join ed on ed.img = i.img and ed.y = i.y and ed.x = i.x group by i.img, i.y // 2, i.x // 2),
+near as (select a.img, a.r, a.c, sum(b.n) as n, {", ".join(f"sum(b.{c}{k}) as {c}{k}" for c, n in (("s", 3), ("q", 3), ("b", 8)) for k in range(n))}, sum(b.e) as e from cell a join cell b on a.img = b.img and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1 group by a.img, a.r, a.c),
+raw as (select img, r, c, unnest([{", ".join(f"s{k} / n" for k in range(3))}, {", ".join(f"sqrt(greatest(0, q{k} / n - s{k} / n * (s{k} / n)))" for k in range(3))}, {", ".join(f"b{k} / n * 4" for k in range(8))}, sqrt(e / n)]) as x, unnest(range(15)) as k from near),
+w(d, k, w) as (values {WEIGHTS})
+select img, r::int as r, c::int as c, d::int as d, round(sum(x * w::double), 6) as f from raw join w using (k) group by img, r, c, d""")
+def patch_features(spark, sf_dir):
+    """Features of 5 x 5 patches of images of 10 x 10, three channels, without a model."""
+    px = pixel_rows(spark, sf_dir, 10, 10).select("img", "y", "x", (F.col("l_quantity") * 5).alias("red"), F.col("v").alias("green"), F.floor(F.col("l_tax") * 1000).cast("double").alias("blue"))
+    f = features.patch_features(px, 10, 5, DIM)
+    return f.select("img", "r", "c", F.posexplode("f").alias("d", "f")).select("img", "r", "c", "d", *i.r6("f"))
