@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import crops, features, pixels
-from ..sources.shared import stored
+from ..functions import masks
+from ..sources import exports
+from ..sources.shared import new_path, stored
 from . import inspection as i
 from .rules import IMG, MOMENTS, PX, WD, H, images, pixel_rows, reached
 
@@ -193,3 +195,34 @@ def patch_features(spark, sf_dir):
     px = pixel_rows(spark, sf_dir, 10, 10).select("img", "y", "x", (F.col("l_quantity") * 5).alias("red"), F.col("v").alias("green"), F.floor(F.col("l_tax") * 1000).cast("double").alias("blue"))
     f = features.patch_features(px, 10, 5, DIM)
     return f.select("img", "r", "c", F.posexplode("f").alias("d", "f")).select("img", "r", "c", "d", *i.r6("f"))
+
+
+def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object as a part of an export: its mask, crop square, coverage and shape."""
+    labelled = objects(spark, sf_dir, 6)
+    box = labelled.groupBy("img", "label").agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.min, "min"), (F.max, "max"))))
+    square = crops.full_square(box, 4, 4.0 * H, 4.0 * WD)
+    window = box.select("img", "label", F.explode(F.sequence("min_y", "max_y")).alias("y"), "min_x", "max_x").select("img", "label", "y", F.explode(F.sequence("min_x", "max_x")).alias("x"))
+    bits = window.join(labelled.withColumn("on", F.lit(1)), ["img", "label", "y", "x"], "left").groupBy("img", "label").agg(F.array_sort(F.collect_list(F.struct("y", "x", F.coalesce("on", F.lit(0)).alias("bit")))).alias("l"))
+    cov = crops.coverage(labelled, square, 3, 3, 4).groupBy("img", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "cov"))), lambda x: x["cov"]).alias("cov"))
+    shape = pixels.shapes(labelled).join(pixels.solidity(labelled).select("img", "label", "solidity"), ["img", "label"])
+    whole = square.join(bits, ["img", "label"]).join(cov, ["img", "label"]).join(shape, ["img", "label"])
+    mask = F.struct(F.col("min_x").alias("x"), F.col("min_y").alias("y"), (F.col("max_x") - F.col("min_x") + 1).alias("w"), (F.col("max_y") - F.col("min_y") + 1).alias("h"), masks.encoded(F.transform("l", lambda x: x["bit"])).alias("rle"))
+    name = F.format_string("img%d_%04d", F.col("img"), F.col("label"))
+    return whole.select(F.lit("parts").alias("kind"), name.alias("name"), F.lit(None).cast("binary").alias("picture"), (F.col("img") * 33).alias("tMs"), F.lit("OK").alias("sanity"), F.struct("x0", "y0", "side").alias("crop"), mask.alias("mask"), "cov", F.struct("area", "fill", "aspect", "hu1", "solidity").alias("geometry"), "theta", F.concat(F.lit("img"), F.col("img")).alias("clip"), F.col("label").alias("trackId"), F.lit("good").alias("label"))
+
+
+@query(f"""with recursive {IMG}, {large(6)}, b as (select img, label, count(*) as area, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from lab group by img, label),
+s as (select *, least(greatest(4 * (x1 + 1 - x0), 4 * (y1 + 1 - y0)) * 1.2e0, 48e0, 40e0) as side from b), q as (select *, greatest(0e0, least(2e0 * (x0 + x1 + 1) - side / 2, 48 - side)) as sx, greatest(0e0, least(2e0 * (y0 + y1 + 1) - side / 2, 40 - side)) as sy from s),
+pt as (select img, label, floor((sx + (j + 5e-1) / 4 * side / 3) / 4) as x, floor((sy + (i + 5e-1) / 4 * side / 3) / 4) as y from q, (select unnest(range(12)) as i), (select unnest(range(12)) as j)),
+c as (select p.img, p.label, count(l.label) / 16.0 as covered from pt p left join lab l on l.img = p.img and l.label = p.label and l.x = p.x and l.y = p.y group by p.img, p.label)
+select printf('img%d_%04d', q.img, q.label) as name, area::int as area, (x1 - x0 + 1)::int as w, (y1 - y0 + 1)::int as h, area::bigint as ones, round(covered, 6) as covered, 0::bigint as cov_off, true as sound from q join c using (img, label)""")
+def export_round_trip(spark, sf_dir):
+    """An export of all objects, written, read back, and checked against what its masks and crops give."""
+    path = new_path(spark, "export")
+    exports.write(export_records(spark, sf_dir), path, {"twinName": "objects", "analysisFactor": 4})
+    back = stored(exports.scan(spark, path, "parts"), "scanned")
+    ones = exports.mask_pixels(back).groupBy("name").agg(F.count("*").alias("ones"))
+    check = exports.consistency(back, 3, 3, 4).select("name", "cov_off", ((F.col("geometry_max") < 1e-9) & (F.col("theta_max") < 1e-9)).alias("sound"))
+    covered = F.round(F.aggregate("cov", F.lit(0.0), lambda a, x: a + x), 6)
+    return back.select("name", F.col("geometry.area").alias("area"), F.col("mask.w").alias("w"), F.col("mask.h").alias("h"), covered.alias("covered")).join(ones, "name").join(check, "name").select("name", "area", "w", "h", "ones", "covered", "cov_off", "sound")
