@@ -45,9 +45,17 @@ def quantiles(df: DataFrame, value: str, by: list[str], at: list[float], names:
     Equal values are counted first, so that what is ranked are different values; ranks are sums of counts over ranges between approximate
     quantiles, then within a range, so that no task sees a whole group.
     """
-    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    same = known.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-    cuts = known.groupBy(*by).agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 1000).alias("_cuts"), F.count("*").alias("_all"))
+    return counted_quantiles(counted_values(df, value, by), by, at, names)
+
+
+def counted_values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, _v and _n: how often each value that isn't null comes."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+
+
+def counted_quantiles(same: DataFrame, by: list[str], at: list[float], names: list[str]) -> DataFrame:
+    """quantiles of values that are counted already (by, _v, _n); only these are read, ranges hold about as many different values each."""
+    cuts = same.groupBy(*by).agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 1000).alias("_cuts"), F.sum("_n").alias("_all"))
     ranged = same.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     under = F.sum("_n").over(W.partitionBy(*by).orderBy("_range")) - F.col("_n")
     below = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_n")).select(*by, "_range", under.alias("_below"))
@@ -61,11 +69,15 @@ def quantiles(df: DataFrame, value: str, by: list[str], at: list[float], names:
 
 
 def with_mad(df: DataFrame, value: str, by: list[str], counted: bool = False) -> DataFrame:
-    """by, median and mad (unscaled) of value: two passes, the second against the first's medians. counted is for groups too large for
-    one task: their quantiles are ranks among counted values."""
-    mid = (lambda d, v, g, name: quantiles(d, v, g, [0.5], [name])) if counted else (lambda d, v, g, name: d.groupBy(*g).agg(F.median(v).alias(name)))
-    off = df.join(mid(df, value, by, "median"), by).select(*by, "median", F.abs(F.col(value) - F.col("median")).alias("_off"))
-    return mid(off, "_off", [*by, "median"], "mad")
+    """by, median and mad (unscaled) of value. counted is for groups too large for one task: values are counted once, and both are read
+    from the counts, the deviations by adding up those of the values on either side."""
+    if counted:
+        same = stored(counted_values(df, value, by), "counted")
+        mid = counted_quantiles(same, by, [0.5], ["median"])
+        away = same.join(mid, by).groupBy(*by, "median", F.abs(F.col("_v") - F.col("median")).alias("_v")).agg(F.sum("_n").alias("_n"))
+        return counted_quantiles(away, [*by, "median"], [0.5], ["mad"])
+    off = df.join(df.groupBy(*by).agg(F.median(value).alias("median")), by).select(*by, "median", F.abs(F.col(value) - F.col("median")).alias("_off"))
+    return off.groupBy(*by, "median").agg(F.median("_off").alias("mad"))
 
 
 def order_alpha(confidence: float, m: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import with_mad
+from ..functions.stats import quantiles, with_mad
 from ..params import DEFAULT, Params
 
 
@@ -45,6 +45,21 @@ def voted(crops: DataFrame, by: str, params: Params = DEFAULT) -> DataFrame:
     return there.select(by, F.size("l").alias("votes"), mid.alias("s"), first.alias("chosen"))
 
 
+def revoted(crops: DataFrame, by: str, params: Params = DEFAULT) -> DataFrame:
+    """by, votes, chosen, s, verdict and reason of tracks' crops (by, order from 0, verdict and reason of the first, s, fit, tau_fit,
+    anomalous). Only a first crop that is a defect just over the limit is voted on: the median of up to three scores counts, with the fit
+    gate and the score rules of the crop that it came from; the first crop's identity and shape stay. Others keep what they have."""
+    first = crops.where("order = 0").select(by, F.col("verdict").alias("first_verdict"), F.col("reason").alias("first_reason"), F.col("s").alias("first_s"), F.col("tau_fit").alias("first_fit"))
+    asked = first.withColumn("asked", F.coalesce((F.col("first_verdict") == "DEFECT") & (F.col("first_s") > params.vote_from) & (F.col("first_s") <= params.vote_to) & ~F.isnan("first_s"), F.lit(False)))
+    vote = voted(crops.join(asked.where("asked").select(by), by, "left_semi"), by, params)
+    own = crops.select(by, F.col("order").alias("chosen"), "fit", "anomalous")
+    told = asked.join(vote.join(own, [by, "chosen"]), by, "left")
+    badly = F.col("asked") & (F.col("chosen") > 0) & ~fit_passes(F.col("fit"), F.col("first_fit"), params)
+    said = F.split(F.when(badly, "NOT_ENROLLED:fit").otherwise(score_verdict(F.col("s"), F.col("anomalous"), params)), ":")
+    pick = lambda new, old: F.when(F.col("asked"), new).otherwise(old)
+    return told.select(by, F.coalesce("votes", F.lit(0)).alias("votes"), F.coalesce("chosen", F.lit(0)).alias("chosen"), pick(F.col("s"), F.col("first_s")).alias("s"), pick(said[0], F.col("first_verdict")).alias("verdict"), pick(F.nullif(said[1], F.lit("")), F.col("first_reason")).alias("reason"))
+
+
 def geometry_model(samples: DataFrame, by: str, params: Params = DEFAULT) -> DataFrame:
     """by, mean_area, and mean and sigma (population, no smaller than its floor) of fill, aspect, hu1 and solidity."""
     floors = {"fill": F.lit(params.floor_fill), "aspect": F.lit(params.floor_aspect), "hu1": params.floor_hu1 * F.avg("hu1"), "solidity": F.lit(params.floor_solidity)}
@@ -61,9 +76,9 @@ def geometry_failures(rows: DataFrame, model: DataFrame, by: str, params: Params
 def identity_threshold(positives: DataFrame, negatives: DataFrame, by: str, params: Params = DEFAULT) -> DataFrame:
     """by, tau_id, rule, margin from positives (by, sim) and negatives (by, sim): midway between the low positives and the high
     negatives; without negatives a gap below the positives."""
-    low = positives.groupBy(by).agg(F.percentile("sim", F.lit(params.id_low)).alias("lo"))
-    gap = with_mad(positives, "sim", [by]).select(by, F.greatest(F.lit(params.id_min_gap), params.mad_k * params.mad_scale * F.col("mad")).alias("gap"))
-    high = negatives.groupBy(by).agg(F.percentile("sim", F.lit(params.id_high)).alias("hi"))
+    low = quantiles(positives, "sim", [by], [params.id_low], ["lo"])
+    gap = with_mad(positives, "sim", [by], counted=True).select(by, F.greatest(F.lit(params.id_min_gap), params.mad_k * params.mad_scale * F.col("mad")).alias("gap"))
+    high = quantiles(negatives, "sim", [by], [params.id_high], ["hi"])
     both = low.join(gap, by).join(high, by, "left")
     tau = F.when(F.col("hi").isNull(), F.col("lo") - F.col("gap")).otherwise((F.col("lo") + F.col("hi")) / 2)
     return both.select(by, tau.alias("tau_id"), F.when(F.col("hi").isNull(), "no-negatives").otherwise("midpoint").alias("rule"), (F.col("lo") - F.col("hi")).alias("margin"))

@@ -62,7 +62,7 @@ def _cored(params: Params) -> object:
 def accepted(frames: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Sane frames that are sharp enough, with the segment of time that each lies in."""
     sane = frames.where("sanity = 'OK'").where(_cored(params))
-    cut = sane.groupBy("twin").agg(F.percentile("sharpness", F.lit(params.keep_percentile)).alias("_cut"))
+    cut = stats.quantiles(sane, "sharpness", ["twin"], [params.keep_percentile], ["_cut"])
     sharp = sane.join(cut, "twin").where("sharpness >= _cut").drop("_cut")
     return telemetry.segments(sharp, "twin", params)
 

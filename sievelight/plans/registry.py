@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import images, inspection, rules, study, telemetry, words
+from . import images, inspection, rules, study, telemetry, thresholds, words
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (inspection, telemetry, words, rules, study, images)
+PARTS = (inspection, telemetry, words, rules, study, images, thresholds)
 
 
 def queries() -> dict[str, Query]:
