@@ -5,11 +5,13 @@ Rows of a micro-batch are put in order of time first. Stored rows run through th
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, fields
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,6 +184,16 @@ TRACK = "x double, y double, area double, sharp double, border boolean, t long,
 FIELDS = [f.name for f in fields(Track) if f.name not in ("id", "crops")]
 
 
+def frames(rows: pd.DataFrame) -> Iterator[tuple[int, list[dict]]]:
+    """Each time of rows, in order, with its detections from left to right; columns are turned to lists once for all frames."""
+    rows = rows.sort_values(["t_ms", "x", "y"], kind="stable")
+    t = rows["t_ms"].to_numpy(np.int64)
+    there, columns = rows["x"].notna().to_numpy(), [rows[c].tolist() for c in COLUMNS[1:]]
+    cuts = [*np.flatnonzero(np.diff(t, prepend=t[0] - 1 if len(t) else 0)).tolist(), len(t)]
+    for lo, hi in itertools.pairwise(cuts):
+        yield int(t[lo]), [dict(zip(COLUMNS[1:], (c[k] for c in columns), strict=True)) for k in range(lo, hi) if there[k]]
+
+
 class Tracking(StatefulProcessor):
     """One stream: where it stands, a map of live tracks, a map of their best crops and a list of rows that wait.
 
@@ -226,14 +238,13 @@ class Tracking(StatefulProcessor):
         scene, out = self._loaded(), []
         before, rest = {tr.id: _row(tr) for tr in scene.tracks}, []
         newest = rows["t_ms"].max() if len(rows) else None
-        for t, frame in rows.sort_values(["t_ms", "x", "y"], kind="stable").groupby("t_ms", sort=True):
+        for t, found in frames(rows):
             if scene.last is not None and t < scene.last:
-                out.append((stream, int(t), 0, "LATE", None, None))
+                out.append((stream, t, 0, "LATE", None, None))
             elif t == newest and not all_of_it:
-                rest = [(int(t), *(None if pd.isna(v) else v for v in r)) for r in frame[COLUMNS[1:]].itertuples(index=False, name=None)]
+                rest = [(t, *(f[c] for c in COLUMNS[1:])) for f in found] or [(t, *[None] * 5)]
             else:
-                found = frame.dropna(subset=["x"])[COLUMNS[1:]].to_dict("records")
-                out += [(stream, int(t), *e[:3], e[3] or None) for e in advance(scene, int(t), found, self.params)]
+                out += [(stream, t, *e[:3], e[3] or None) for e in advance(scene, t, found, self.params)]
         self._kept(before, scene)
         if rest:
             self.waiting.put(rest)
