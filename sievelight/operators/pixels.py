@@ -251,4 +251,4 @@ def adapted(medians: DataFrame, by: str, mu: str, params: Params = DEFAULT) -> D
         now = (1 - params.beta) * (row.start if last is None else last) + params.beta * row.m
         return now, now
 
-    return folded(rows, by, ["t"], "mu double", None, step).select(by, "t", "mu")
+    return folded(rows, by, ["t"], "mu double", None, step, spread=True).select(by, "t", "mu")

@@ -44,7 +44,7 @@ def downsampled(rows: DataFrame, by: str, params: Params = DEFAULT) -> DataFrame
         keep = last is None or row.t_ms - last >= params.downsample_ms
         return (row.t_ms if keep else last), keep
 
-    return folded(rows, by, ["t_ms"], "_kept boolean", None, step).where("_kept").drop("_kept")
+    return folded(rows, by, ["t_ms"], "_kept boolean", None, step, spread=True).where("_kept").drop("_kept")
 
 
 def novel_views(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
@@ -114,7 +114,7 @@ def blocks_per_second(rows: DataFrame, by: str, block_ms: int = 1000) -> DataFra
             return (row.t_ms, 0), n * 1000 / (row.t_ms - began)
         return (began, n), None
 
-    return folded(rows, by, ["t_ms"], "fps double", None, step).where("fps is not null and not isnan(fps)")
+    return folded(rows, by, ["t_ms"], "fps double", None, step, spread=True).where("fps is not null and not isnan(fps)")
 
 
 def long_runs(rows: DataFrame, by: str, on: Column, least: int, *order: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -123,22 +124,73 @@ def unmatched(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     return missing.unionByName(actual.join(expected, key, "left_anti").select(F.lit("extra").alias("side"), key))
 
 
-def folded(rows: DataFrame, by: str, order: list[str], added: str, start: object, step: Callable) -> DataFrame:
+def folded(rows: DataFrame, by: str, order: list[str], added: str, start: object, step: Callable, spread: bool = False) -> DataFrame:
     """rows in order with a column that step(state, row) gives together with the next state: a fold over each group's rows as they
-    stream through a task, in constant memory."""
-    names = rows.columns
+    stream through a task, in constant memory.
+
+    With spread a group's order is cut into ranges that are folded side by side, each from a guess of the state before it, then again
+    from what the range before ended with, until no range begins otherwise than it was folded. States that forget (the last row kept, a
+    slow average, a level) meet after few rows, so that few rounds do; where they don't within ROUNDS, the group is one fold.
+    """
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), added])
+    if spread:
+        at = stats.ranged(rows, [by], F.struct(*order))
+        entries = _entries(at, by, order, start, step)
+        if entries is not None:
+            dealt = stats.alike(at, entries, [by, "_part"]).repartition(by, "_part").sortWithinPartitions(by, "_part", *order)
+            return dealt.mapInPandas(_fold(by, start, step, rows.columns, added.split()[0]), shape)
+    dealt = rows.repartition(by).sortWithinPartitions(by, *order).select(*rows.columns)
+    return dealt.mapInPandas(_fold(by, start, step, rows.columns, added.split()[0]), shape)
+
+
+#: Rounds in which the states of ranges have to meet.
+ROUNDS = 6
+
+
+def _fold(by: str, start: object, step: Callable, names: list[str], added: str | None) -> Callable:
+    """A fold over batches of sorted rows, by group, and by range (_part) from its entry (_entry, pickled) where these are there. Without
+    added it gives each range's last state alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, state = object(), start
+        group, state, ends = object(), start, []
         for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                key = getattr(row, by)
+            keys = list(zip(b[by], b["_part"], strict=True)) if "_part" in b else list(b[by])
+            entries, out = b["_entry"].tolist() if "_entry" in b else None, []
+            for k, (key, row) in enumerate(zip(keys, b[names].itertuples(index=False), strict=True)):
                 if key != group:
-                    group, state = key, start
+                    if added is None and isinstance(group, tuple):
+                        ends.append((*group, pickle.dumps(state)))
+                    group = key
+                    state = start if entries is None or entries[k] is None else pickle.loads(entries[k])
                 state, value = step(state, row)
                 out.append(value)
-            yield b.assign(**{added.split()[0]: out})
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), added])
-    return rows.repartition(by).sortWithinPartitions(by, *order).select(*names).mapInPandas(run, schema)
+            if added is not None:
+                yield b[names].assign(**{added: out})
+        if added is None and isinstance(group, tuple):
+            ends.append((*group, pickle.dumps(state)))
+        if added is None:
+            yield pd.DataFrame(ends, columns=[by, "_part", "_exit"])
+
+    return run
+
+
+def _entries(at: DataFrame, by: str, order: list[str], start: object, step: Callable) -> DataFrame | None:
+    """by, _part and _entry of every range: the state that the one before ends with; None if they don't settle."""
+    names = [c for c in at.columns if c not in ("_o", "_part")]
+    kind = at.schema[by].dataType.simpleString()
+    entries = stored(at.select(by, "_part").distinct().withColumn("_entry", F.lit(None).cast("binary")), "entries")
+    asked, exits = entries, None
+    for _ in range(ROUNDS):
+        dealt = stats.alike(at, asked, [by, "_part"]).repartition(by, "_part").sortWithinPartitions(by, "_part", *order)
+        now = dealt.mapInPandas(_fold(by, start, step, names, None), f"`{by}` {kind}, _part int, _exit binary")
+        if exits is not None:
+            now = now.unionByName(exits.join(asked.select(F.col(by).alias("_b"), F.col("_part").alias("_p")), F.col(by).eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p")), "left_anti"))
+        exits = stored(now, "exits")
+        before = F.lag("_exit").over(W.partitionBy(by).orderBy("_part"))
+        new = stored(exits.select(by, "_part", before.alias("_entry")), "entries")
+        old = entries.select(F.col(by).alias("_b"), F.col("_part").alias("_p"), F.col("_entry").alias("_was"))
+        asked = new.join(old, F.col(by).eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p"))).where(~F.col("_entry").eqNullSafe(F.col("_was"))).select(by, "_part", "_entry")
+        entries = new
+        if not asked.limit(1).count():
+            return entries
+    return None

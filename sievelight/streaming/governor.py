@@ -58,4 +58,4 @@ def levels(samples: DataFrame, cooldown_ms: int = DEFAULT.cooldown_ms) -> DataFr
         (level,), at, since = fall([(row.t_ms, row.target)], *state, cooldown_ms)
         return (at, since), level
 
-    return folded(due, "stream", ["t_ms", "id"], "level int", (0, None), step)
+    return folded(due, "stream", ["t_ms", "id"], "level int", (0, None), step, spread=True)

@@ -271,3 +271,28 @@ def test_split_parts_and_novel_views(spark):
     assert got == {1: (170, 20, True), 4: (2, 10, False), 5: (90, 9, False)}
     views = spark.createDataFrame([(0, i, th, 10.0, 50.0) for i, th in enumerate((0.0, 0.1, 0.5, 3.1, 1.5))] + [(0, 9, 0.0, 12.0, 50.0)], "s long, i long, theta double, size double, area double")
     assert [r.i for r in rules.novel_views(views, "s", ["i"]).orderBy("i").collect()] == [0, 2, 4, 9]
+
+
+def test_folds_over_ranges_equal_one_fold(spark):
+    from sievelight.operators import telemetry
+
+    rng = random.Random(12)
+    rows, t = [], 0
+    for i in range(6000):
+        t += rng.choice([1, 20, 60, 200])
+        rows.append((0 if i % 6 else i % 3, i, t, float(rng.randrange(100))))
+    df = spark.createDataFrame(rows, "g long, id long, t long, v double").repartition(5)
+    keep = lambda last, r: (r.t if last is None or r.t - last >= 125 else last, last is None or r.t - last >= 125)
+    slow = lambda last, r: (x := 0.9 * (5.0 if last is None else last) + 0.1 * r.v, x)
+    count = lambda n, r: (n + 1, n)  # noqa: E731  # never meets: one fold in the end
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        ranges = telemetry.stats.ranged(df, ["g"], telemetry.F.struct("t", "id"))
+        found = telemetry._entries(ranges, "g", ["t", "id"], None, keep)
+        assert found.count() > 3 and telemetry._entries(ranges, "g", ["t", "id"], 0, count) is None or found.count() <= telemetry.ROUNDS
+        for step, start, added in ((keep, None, "x boolean"), (slow, None, "x double"), (count, 0, "x long")):
+            one, many = ({r.id: r.x for r in telemetry.folded(df, "g", ["t", "id"], added, start, step, spread).collect()} for spread in (False, True))
+            assert one == many and len(one) == 6000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert telemetry.folded(df.limit(0), "g", ["t"], "x boolean", None, keep, True).count() == 0
