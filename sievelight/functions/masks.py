@@ -17,7 +17,7 @@ def encoded(bits: Column) -> Column:
     """Alternating runs of an array of bits, zeros first (a run of none if it begins with a one): lengths between changes."""
     n = F.size(bits)
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.element_at(bits, F.least(i + 1, n)) != F.element_at(bits, i)))
-    runs = F.transform(ends, lambda e, k: e - F.when(k == 0, 0).otherwise(F.get(ends, k - 1)))
+    runs = F.filter(F.zip_with(ends, F.concat(F.array(F.lit(0)), ends), lambda e, before: e - before), lambda r: r.isNotNull())
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.concat(F.when(F.element_at(bits, F.greatest(F.lit(1), F.least(n, F.lit(1)))) == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), runs))
 
 
