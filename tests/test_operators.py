@@ -296,3 +296,17 @@ def test_folds_over_ranges_equal_one_fold(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert telemetry.folded(df.limit(0), "g", ["t"], "x boolean", None, keep, True).count() == 0
+
+
+def test_nearest_is_summed_in_index_order_and_found_by_boxes(spark):
+    rng = np.random.default_rng(5)
+    for dim in (64, 4):
+        f = np.round(rng.normal(size=(700, dim)), 1 if dim == 4 else 9)
+        df = spark.createDataFrame([(i, 0, i % 3, [float(x) for x in v]) for i, v in enumerate(f)], "id long, twin long, seg long, f array<double>")
+        got = {r.id: (r.best, r.other) for r in knn.nearest(df, df, "twin", mask="seg", tile=300 if dim == 4 else None).collect()}
+        all_ = np.zeros((700, 700))
+        for k in range(dim):  # one number after the other, as SQL sums them
+            all_ += (f[:, None, k] - f[None, :, k]) ** 2
+        all_[np.arange(700)[:, None] % 3 == np.arange(700)[None] % 3] = np.inf
+        assert got == {i: (all_[i].min(), int(all_[i].argmin())) for i in range(700)}
+    assert [r.tiles for r in knn._tiles(df.crossJoin(spark.range(5).toDF("copy")), "twin", "id", None, "f", None)[1].collect()] == [1]
