@@ -34,15 +34,16 @@ EVENTS = "ev as (select event_id, user_id, event_type, value, epoch_us(ts) // 10
 CHANNELS = ("l_quantity", "l_discount", "l_extendedprice")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+def events(spark: SparkSession, sf_dir: str, rounded: bool = False) -> DataFrame:
+    """Milliseconds are cut off, as in EVENTS, or rounded, as in EV."""
+    ms = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) + (500 if rounded else 0)) / 1000)
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", ms.alias("t_ms"))
 
 
 @query(f"""with {EV}, last as (select * from (select *, row_number() over (partition by event_type order by t_ms desc, event_id desc) as k from ev where value is not null and isfinite(value)) where k <= 512)
 select event_type, count(*) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(max(value), 6) as max from last group by event_type""")
 def latency_last512(spark, sf_dir):
-    out = t.latency_summary(events(spark, sf_dir), "event_type", "value", F.desc("t_ms"), F.desc("event_id"))
+    out = t.latency_summary(events(spark, sf_dir, True), "event_type", "value", F.desc("t_ms"), F.desc("event_id"))
     return out.select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "max")))
 
 
@@ -58,7 +59,7 @@ def robust_sigma(spark, sf_dir):
 
 @query(f"with {EV} select event_id, count(*) over (partition by event_type order by t_ms range between 59999 preceding and current row)::double as rate from ev")
 def parts_per_minute(spark, sf_dir):
-    return t.per_minute(events(spark, sf_dir), "event_type").select("event_id", "rate")
+    return t.per_minute(events(spark, sf_dir, True), "event_type").select("event_id", "rate")
 
 
 @query(f"with {EV} select user_id, count(*) filter (event_type = 'purchase') as passes, count(*) filter (event_type = 'error') as defects, count(*) filter (event_type = 'click') as clicks, count(*) as n from ev group by user_id")
@@ -70,30 +71,30 @@ def line_counters(spark, sf_dir):
 @query(f"""with {EV}, g as (select *, count(*) filter (event_type = 'purchase') over (partition by user_id order by t_ms, event_id) as grp from ev)
 select event_id, cast(coalesce(count(*) filter (event_type = 'error') over (partition by user_id, grp order by t_ms, event_id), 0) as bigint) as run from g""")
 def consecutive_rejects(spark, sf_dir):
-    return t.runs(events(spark, sf_dir), "user_id", F.col("event_type") == "error", F.col("event_type") == "purchase", F.col("t_ms"), F.col("event_id")).select("event_id", "run")
+    return t.runs(events(spark, sf_dir, True), "user_id", F.col("event_type") == "error", F.col("event_type") == "purchase", F.col("t_ms"), F.col("event_id")).select("event_id", "run")
 
 
 @query(f"""with {EV}, l as (select *, coalesce(max(case when event_type <> 'view' then t_ms end) over w, min(t_ms) over w) as last from ev window w as (partition by user_id order by t_ms, event_id))
 select event_id, event_type = 'view' and t_ms - last >= 3000 as idle from l""")
 def idle_detector(spark, sf_dir):
-    return t.idle(events(spark, sf_dir), "user_id", F.col("event_type") != "view", F.col("t_ms"), F.col("event_id")).select("event_id", "idle")
+    return t.idle(events(spark, sf_dir, True), "user_id", F.col("event_type") != "view", F.col("t_ms"), F.col("event_id")).select("event_id", "idle")
 
 
 @query(f"""with {EV}, s as (select user_id, min(t_ms) as t0, max(t_ms) as t1 from ev group by user_id)
 select event_id, cast(greatest(0, least(4, floor(5 * (t_ms - t0) / (t1 - t0 + 1e-9)))) as int) as seg from ev join s using (user_id)""")
 def segments(spark, sf_dir):
-    return t.segments(events(spark, sf_dir), "user_id").select("event_id", "seg")
+    return t.segments(events(spark, sf_dir, True), "user_id").select("event_id", "seg")
 
 
 @query(f"""with {EV}, s as (select user_id, min(t_ms) as t0, max(t_ms) as t1 from ev group by user_id)
 select user_id, count(distinct cast(greatest(0, least(4, floor(5 * (t_ms - t0) / (t1 - t0 + 1e-9)))) as int)) as used from ev join s using (user_id) group by user_id""")
 def segments_used(spark, sf_dir):
-    return t.segments(events(spark, sf_dir), "user_id").groupBy("user_id").agg(F.countDistinct("seg").alias("used"))
+    return t.segments(events(spark, sf_dir, True), "user_id").groupBy("user_id").agg(F.countDistinct("seg").alias("used"))
 
 
 @query(f"with {EV} select event_id, round(value - avg(value) over (partition by user_id order by t_ms, event_id rows between 5 preceding and 5 following), 6) as detrended from ev")
 def detrend_rows(spark, sf_dir):
-    return t.detrended(events(spark, sf_dir), "user_id", "value", 5, F.col("t_ms"), F.col("event_id")).select("event_id", F.round("detrended", 6).alias("detrended"))
+    return t.detrended(events(spark, sf_dir, True), "user_id", "value", 5, F.col("t_ms"), F.col("event_id")).select("event_id", F.round("detrended", 6).alias("detrended"))
 
 
 @query(f"with {EV}, k as (select event_type, quantile_cont(value, 0.4) as cut from ev group by event_type) select event_id from ev join k using (event_type) where value >= cut")
@@ -105,12 +106,12 @@ def sharpness_filter(spark, sf_dir):
 
 @query(f"with {EV} select event_id, row_number() over (partition by user_id order by t_ms, event_id) as number from ev where event_type = 'error'")
 def reject_numbers(spark, sf_dir):
-    return t.numbered(events(spark, sf_dir).where("event_type = 'error'"), "user_id", "number", F.col("t_ms"), F.col("event_id")).select("event_id", "number")
+    return t.numbered(events(spark, sf_dir, True).where("event_type = 'error'"), "user_id", "number", F.col("t_ms"), F.col("event_id")).select("event_id", "number")
 
 
 @query(f"""with {EV} select user_id, event_id, value from (select *, row_number() over (partition by user_id order by value desc, t_ms, event_id) as k from ev) where k <= 3""")
 def best_three(spark, sf_dir):
-    return t.latest(events(spark, sf_dir), ["user_id"], 3, F.desc("value"), F.asc("t_ms"), F.asc("event_id")).select("user_id", "event_id", "value")
+    return t.latest(events(spark, sf_dir, True), ["user_id"], 3, F.desc("value"), F.asc("t_ms"), F.asc("event_id")).select("user_id", "event_id", "value")
 
 
 @query(f"with {EV} select user_id, round(1 - pow(0.05, 1.0 / count(*)), 9) as alpha from ev group by user_id")
