@@ -81,3 +81,13 @@ def test_sheet_and_foreground(spark):
     assert np.allclose([got["r"], got["g"]], list(zip(med, sigma)))
     fg = {r.i for r in masks.foreground(df, sheet, "img", ("r", "g")).where("foreground").collect()}
     assert fg == set(np.flatnonzero((((px - med) / sigma) ** 2).sum(1) > 16).tolist())
+
+
+def test_quantiles_are_weighted_means_of_their_ends(spark):
+    from sievelight.functions import stats
+
+    at = 0.4  # low + at * (high - low) is rounded otherwise
+    some = [(low, high, n) for n in range(2, 200) for low, high in [(0.1 * n, 0.7 * n * n)]]
+    df = spark.createDataFrame([(n, x) for low, high, n in some for x in (low, high)], "g long, v double")
+    got = {r.g: r.q for r in stats.quantiles(df, "v", ["g"], [at], ["q"]).collect()}
+    assert got == {n: low * (1 - at) + high * at for low, high, n in some}
