@@ -124,9 +124,10 @@ def main_objects(stats: DataFrame) -> DataFrame:
 
 def crop_square(df: DataFrame, height: float, width: float) -> DataFrame:
     """df (min_x ... max_y) with x0, y0 and side of the square around the box, a margin wider, within the image."""
-    side = F.least(F.greatest(F.col("max_x") + 1 - F.col("min_x"), F.col("max_y") + 1 - F.col("min_y")) * (1 + 2 * MARGIN), F.lit(float(width)), F.lit(float(height)))
-    start = lambda c, n: F.greatest(F.lit(0.0), F.least((F.col(f"min_{c}") + F.col(f"max_{c}") + 1) / 2 - F.col("side") / 2, F.lit(float(n)) - F.col("side")))
-    return df.withColumn("side", side).withColumn("x0", start("x", width)).withColumn("y0", start("y", height))
+    longer = F.greatest(F.col("max_x") + 1 - F.col("min_x"), F.col("max_y") + 1 - F.col("min_y"))
+    tenths = F.least(longer * round(10 + 20 * MARGIN), F.lit(10.0 * width), F.lit(10.0 * height))  # whole numbers, rounded once
+    start = lambda c, n: F.greatest(F.lit(0.0), F.least((F.col(f"min_{c}") + F.col(f"max_{c}") + 1) / 2 - F.col("side") / 2, (10.0 * n - tenths) / 10))
+    return df.withColumn("side", tenths / 10).withColumn("x0", start("x", width)).withColumn("y0", start("y", height))
 
 
 def sanity(stats: DataFrame, images: DataFrame, height: int, width: int, params: Params = DEFAULT, chosen: DataFrame | None = None) -> DataFrame:
