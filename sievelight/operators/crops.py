@@ -1,7 +1,8 @@
 """Crops of images as pixel tables (img, y, x, ...): resizing, turning, coverage of patches, split parts.
 
 Resampling is separable: a crop says which source rows and columns its own ones take from, and with which weights, in a few rows a
-crop; pixels meet these by equality and sums combine partially, so no image has to lie in one task.
+crop; pixels meet these by equality and sums combine partially, so no image has to lie in one task. What squares and crops spread into is joined by sorting: it is many times what
+Spark takes it for, and must not be broadcast.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import cosine, sine
 from .pixels import MARGIN
 
 SAMPLES = 4  # fixed value: sample points along each side of a patch
@@ -35,7 +37,7 @@ def resized(pixels: DataFrame, crops: DataFrame, size: int, height: int, width:
     """img, y, x and channels of each image's square crop, size x size, by bilinear samples at the centres of the new pixels."""
     xs = taps(crops, "x", size, width).select("img", F.col("to").alias("_x"), F.col("source").alias("x"), F.col("weight").alias("_wx"))
     ys = taps(crops, "y", size, height).select("img", F.col("to").alias("_y"), F.col("source").alias("y"), F.col("weight").alias("_wy"))
-    met = pixels.select("img", "y", "x", *channels).join(xs, ["img", "x"]).join(ys, ["img", "y"])
+    met = pixels.select("img", "y", "x", *channels).join(xs.hint("merge"), ["img", "x"]).join(ys.hint("merge"), ["img", "y"])
     return met.groupBy("img", F.col("_y").alias("y"), F.col("_x").alias("x")).agg(*(F.sum(F.col(c) * F.col("_wx") * F.col("_wy")).alias(c) for c in channels))
 
 
@@ -65,26 +67,27 @@ def coverage(labelled: DataFrame, crops: DataFrame, gh: int, gw: int, factor: in
         spread = crops.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n * SAMPLES - 1))))
         return spread.groupBy("img", "label", F.floor(k / SAMPLES).cast("int").alias(cell), at.alias(source)).agg(F.count("*").alias(count))
 
-    hits = labelled.select("img", "label", "y", "x").join(points("x", gw, "c", "x", "nx"), ["img", "label", "x"]).join(points("y", gh, "r", "y", "ny"), ["img", "label", "y"])
+    hits = labelled.select("img", "label", "y", "x").join(points("x", gw, "c", "x", "nx").hint("merge"), ["img", "label", "x"]).join(points("y", gh, "r", "y", "ny").hint("merge"), ["img", "label", "y"])
     cells = crops.select("img", "label", F.explode(F.sequence(F.lit(0), F.lit(gh * gw - 1))).alias("p"))
     sums = hits.groupBy("img", "label", "r", "c").agg((F.sum(F.col("nx") * F.col("ny")) / SAMPLES**2).alias("cov"))
     grid = cells.select("img", "label", F.floor(F.col("p") / gw).cast("int").alias("r"), (F.col("p") % gw).alias("c"))
-    return grid.join(sums, ["img", "label", "r", "c"], "left").withColumn("cov", F.coalesce("cov", F.lit(0.0)))
+    return grid.hint("merge").join(sums, ["img", "label", "r", "c"], "left").withColumn("cov", F.coalesce("cov", F.lit(0.0)))
 
 
 def canonical_square(labelled: DataFrame, angles: DataFrame, factor: int, height: int | None = None, width: int | None = None) -> DataFrame:
     """img, label, theta, cx, cy and side of the square along each object's axis (angles: img, label, theta): the extent of its pixels'
     corners along and across, a margin wider, about its middle; no wider than the image (height x width analysis pixels) where given."""
     corners = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1))))
-    pts = labelled.join(angles, ["img", "label"]).withColumn("d", corners)
+    pts = labelled.join(angles.withColumns({"_cos": cosine(F.col("theta")), "_sin": sine(F.col("theta"))}), ["img", "label"]).withColumn("d", corners)
     px, py = factor * (F.col("x") + F.col("d.dx")), factor * (F.col("y") + F.col("d.dy"))
-    a, b = px * F.cos("theta") + py * F.sin("theta"), -px * F.sin("theta") + py * F.cos("theta")
-    ends = pts.groupBy("img", "label", "theta").agg(F.min(a).alias("a0"), F.max(a).alias("a1"), F.min(b).alias("b0"), F.max(b).alias("b1"))
+    c, s = F.col("_cos"), F.col("_sin")
+    a, b = px * c + py * s, -px * s + py * c
+    ends = pts.groupBy("img", "label", "theta", "_cos", "_sin").agg(F.min(a).alias("a0"), F.max(a).alias("a1"), F.min(b).alias("b0"), F.max(b).alias("b1"))
     am, bm = (F.col("a0") + F.col("a1")) / 2, (F.col("b0") + F.col("b1")) / 2
     side = F.greatest(F.greatest(F.col("a1") - F.col("a0"), F.col("b1") - F.col("b0")) * (1 + 2 * MARGIN), F.lit(2.0 * factor))
     if height is not None and width is not None:
         side = F.least(side, F.lit(float(factor * min(height, width))))
-    return ends.select("img", "label", "theta", (am * F.cos("theta") - bm * F.sin("theta")).alias("cx"), (am * F.sin("theta") + bm * F.cos("theta")).alias("cy"), side.alias("side"))
+    return ends.select("img", "label", "theta", (am * c - bm * s).alias("cx"), (am * s + bm * c).alias("cy"), side.alias("side"))
 
 
 def axis_angle(theta: Column, aspect: Column) -> Column:
@@ -94,10 +97,11 @@ def axis_angle(theta: Column, aspect: Column) -> Column:
 
 def _square_points(squares: DataFrame, by: list[str], rows: int, columns: int, turned: float) -> DataFrame:
     """by, i, j, u and v: the middles of rows x columns cells of squares (by, cx, cy, side, theta), in the image."""
-    spread = squares.select(*by, "cx", "cy", "side", (F.col("theta") + turned).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"))
+    at = squares.select(*by, "cx", "cy", "side", (F.col("theta") + turned).alias("t")).select("*", cosine(F.col("t")).alias("_cos"), sine(F.col("t")).alias("_sin"))
+    spread = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"))
     spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
     a, b = (F.col("j") + 0.5) * F.col("side") / columns - F.col("side") / 2, (F.col("i") + 0.5) * F.col("side") / rows - F.col("side") / 2
-    return spread.select(*by, "i", "j", (F.col("cx") + a * F.cos("t") - b * F.sin("t")).alias("u"), (F.col("cy") + a * F.sin("t") + b * F.cos("t")).alias("v"))
+    return spread.select(*by, "i", "j", (F.col("cx") + a * F.col("_cos") - b * F.col("_sin")).alias("u"), (F.col("cy") + a * F.col("_sin") + b * F.col("_cos")).alias("v"))
 
 
 def rotated(pixels: DataFrame, squares: DataFrame, size: int, height: int, width: int, channels: tuple[str, ...], turned: float = 0.0) -> DataFrame:
@@ -112,7 +116,7 @@ def rotated(pixels: DataFrame, squares: DataFrame, size: int, height: int, width
     wx, wy = F.col("u") - 0.5 - fx, F.col("v") - 0.5 - fy
     taps_ = F.array(*(F.struct(held(fy + dy, height).alias("y"), held(fx + dx, width).alias("x"), ((wx if dx else 1 - wx) * (wy if dy else 1 - wy)).alias("w")) for dy in (0, 1) for dx in (0, 1)))
     asked = at.select("img", "label", "i", "j", F.explode(taps_).alias("t")).select("img", "label", "i", "j", "t.*").where("w > 0")
-    met = pixels.select("img", "y", "x", *channels).join(asked, ["img", "y", "x"])
+    met = pixels.select("img", "y", "x", *channels).hint("merge").join(asked, ["img", "y", "x"])
     return met.groupBy("img", "label", F.col("i").alias("y"), F.col("j").alias("x")).agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in channels))
 
 
@@ -123,14 +127,18 @@ def rotated_coverage(labelled: DataFrame, squares: DataFrame, gh: int, gw: int,
     cell = lambda c: F.floor(F.col(c) / SAMPLES).cast("int")
     asked = at.select("img", "label", cell("i").alias("r"), cell("j").alias("c"), F.floor(F.col("v") / factor).cast("int").alias("y"), F.floor(F.col("u") / factor).cast("int").alias("x"))
     counts = asked.groupBy("img", "label", "r", "c", "y", "x").agg(F.count("*").alias("n"))
-    hits = counts.join(labelled.select("img", "label", "y", "x", F.lit(1).alias("on")), ["img", "label", "y", "x"], "left")
+    hits = counts.hint("merge").join(labelled.select("img", "label", "y", "x", F.lit(1).alias("on")), ["img", "label", "y", "x"], "left")
     return hits.groupBy("img", "label", "r", "c").agg((F.sum(F.when(F.col("on") == 1, F.col("n")).otherwise(0)) / SAMPLES**2).alias("cov"))
 
 
-def inside_square(x: Column, y: Column) -> Column:
-    """Whether a point lies in the square (columns cx, cy, side, theta) that its row has; the far sides are outside."""
+def inside_square(x: Column, y: Column, near: bool = True, cos: Column | None = None, sin: Column | None = None) -> Column:
+    """Whether a point lies in the square (columns cx, cy, side, theta) that its row has; the far sides are outside, without near all are.
+    cos and sin: those of theta, where they are there already."""
     dx, dy, half = x - F.col("cx"), y - F.col("cy"), F.col("side") / 2
-    a, b = dx * F.cos("theta") + dy * F.sin("theta"), -dx * F.sin("theta") + dy * F.cos("theta")
+    c, s = F.cos("theta") if cos is None else cos, F.sin("theta") if sin is None else sin
+    a, b = dx * c + dy * s, -dx * s + dy * c
+    if not near:
+        return (F.abs(a) < half) & (F.abs(b) < half)
     return (a >= -half) & (a < half) & (b >= -half) & (b < half)
 
 

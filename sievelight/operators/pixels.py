@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.stats import positions
+from ..functions.stats import arc_tangent, cosine, positions, sine
 from ..params import DEFAULT, Params
 from ..sources.shared import stored
 from . import links
@@ -156,10 +156,10 @@ def shapes(labelled: DataFrame) -> DataFrame:
     s = sums.select(*by, "area", central("sxx", "sx", "sx").alias("m20"), central("syy", "sy", "sy").alias("m02"), central("sxy", "sx", "sy").alias("m11"))
     root = F.sqrt(F.pow(F.col("m20") - F.col("m02"), F.lit(2.0)) + 4 * F.col("m11") * F.col("m11"))
     high, low = (F.col("m20") + F.col("m02") + root) / 2, F.greatest(F.lit(0.0), (F.col("m20") + F.col("m02") - root) / 2)
-    s = s.select(*by, "area", ((F.col("m20") + F.col("m02")) / (F.col("area") * F.col("area"))).alias("hu1"), F.when(high == 0, 1.0).otherwise(F.sqrt(low / high)).alias("aspect"), (0.5 * F.atan2(2 * F.col("m11"), F.col("m20") - F.col("m02"))).alias("theta"))
-    along = F.cos("theta") * F.col("x") + F.sin("theta") * F.col("y")
-    across = F.cos("theta") * F.col("y") - F.sin("theta") * F.col("x")
-    wide = labelled.join(s.select(*by, "theta"), by).groupBy(*by).agg(((F.max(along) - F.min(along) + 1) * (F.max(across) - F.min(across) + 1)).alias("_box"))
+    s = s.select(*by, "area", ((F.col("m20") + F.col("m02")) / (F.col("area") * F.col("area"))).alias("hu1"), F.when(high == 0, 1.0).otherwise(F.sqrt(low / high)).alias("aspect"), (0.5 * arc_tangent(2 * F.col("m11"), F.col("m20") - F.col("m02"))).alias("theta"))
+    along = F.col("_cos") * F.col("x") + F.col("_sin") * F.col("y")
+    across = F.col("_cos") * F.col("y") - F.col("_sin") * F.col("x")
+    wide = labelled.join(s.select(*by, cosine(F.col("theta")).alias("_cos"), sine(F.col("theta")).alias("_sin")), by).groupBy(*by).agg(((F.max(along) - F.min(along) + 1) * (F.max(across) - F.min(across) + 1)).alias("_box"))
     return s.join(wide, by).withColumn("fill", F.col("area") / F.col("_box")).drop("_box")
 
 

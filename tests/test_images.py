@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievelight.operators import crops, links, pixels
 
@@ -105,3 +106,28 @@ def test_squares_follow_the_axis(spark):
     got = {r.img: r for r in crops.canonical_square(labelled, angles, 2, 12, 16).collect()}
     assert got[1].theta == 0.0 and abs(got[1].cx - 16) < 1e-9 and abs(got[1].cy - 10) < 1e-9 and got[1].side == 24.0  # held to the image
     assert got[2].theta == 0.0 and abs(got[2].side - 9.6) < 1e-9
+
+
+def test_angles_are_those_of_the_c_library_and_edges_of_squares_may_be_outside(spark):
+    import math
+
+    from sievelight.functions import stats
+
+    angles = [-math.pi / 2 + k * 0.00157 for k in range(2001)]
+    df = spark.createDataFrame([(a,) for a in angles], "a double")
+    got = df.select("a", stats.cosine("a").alias("c"), stats.sine("a").alias("s"), stats.arc_tangent("a", F.lit(0.7)).alias("t")).collect()
+    assert all((r.c, r.s, r.t) == (math.cos(r.a), math.sin(r.a), math.atan2(r.a, 0.7)) for r in got)
+    edge = spark.createDataFrame([(2.0, 2.0, 2.0, 0.0)], "cx double, cy double, side double, theta double")
+    assert edge.select(crops.inside_square(F.lit(1.0), F.lit(2.0)).alias("a"), crops.inside_square(F.lit(1.0), F.lit(2.0), False).alias("b")).first() == (True, False)
+
+
+def test_sides_of_squares_are_tenths_rounded_once_and_what_spreads_is_not_broadcast(spark):
+    from pyspark.sql import DataFrame
+
+    box = spark.createDataFrame([(1, 0, 2, 0, 1)], "img long, min_x int, max_x int, min_y int, max_y int")
+    assert pixels.crop_square(box, 99.0, 99.0).first().side == 3.6  # not 3 * 1.2
+    sq = spark.createDataFrame([(1, 1, 2.0, 2.0, 3.0, 0.0)], "img long, label int, cx double, cy double, side double, theta double")
+    px = spark.createDataFrame([(1, y, x, 1.0, 1) for y in range(4) for x in range(4)], "img long, y int, x int, v double, label int")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made: list[DataFrame] = [crops.rotated(px, sq, 5, 4, 4, ("v",)), crops.rotated_coverage(px, sq, 3, 3), crops.coverage(px, sq.withColumns({"x0": F.lit(0.0), "y0": F.lit(0.0)}), 3, 3)]
+    assert not any("BroadcastHashJoin" in plan(df) for df in made)
