@@ -7,11 +7,14 @@ Spark takes it for, and must not be broadcast.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.stats import cosine, sine
 from .pixels import MARGIN
@@ -157,32 +160,40 @@ def folded_angle(theta: Column) -> Column:
     return F.when(t > math.pi / 2, t - math.pi).otherwise(t)
 
 
-def gathered(pieces: pd.DataFrame) -> pd.DataFrame:
-    """One image's components with `into`: the label of the object that each belongs to. The largest grows by pieces near its box until
-    none is near enough; pieces that are too small, or nearly as large, stay apart."""
-    pieces = pieces.sort_values(["area", "label"], ascending=[False, True], ignore_index=True)
-    main, into = pieces.iloc[0], pieces["label"].tolist()
-    fit = (pieces["area"] >= LEAST_PIECE * main["area"]) & (pieces["area"] <= MOST_PIECE * main["area"])
-    left = sorted((i for i in range(1, len(pieces)) if fit[i]), key=lambda i: pieces["label"][i])
-    x0, y0, x1, y1 = (int(main[c]) for c in ("min_x", "min_y", "max_x", "max_y"))
-    grew = True
+def gathered(pieces: list[tuple[int, ...]]) -> list[int]:
+    """The label of the object that each of one image's components (label, area, min_x, min_y, max_x, max_y) belongs to. The largest grows
+    by pieces near its box until none is near enough; pieces that are too small, or nearly as large, stay apart."""
+    main = min(pieces, key=lambda p: (-p[1], p[0]))
+    left = sorted(p for p in pieces if p[0] != main[0] and LEAST_PIECE * main[1] <= p[1] <= MOST_PIECE * main[1])
+    x0, y0, x1, y1 = main[2:]
+    got, grew = set(), True
     while grew:
-        grew, reach = False, GAP * max(x1 - x0 + 1, y1 - y0 + 1)
-        for i in list(left):
-            p = pieces.iloc[i]
-            if max(p["min_x"] - x1, x0 - p["max_x"]) <= reach and max(p["min_y"] - y1, y0 - p["max_y"]) <= reach:
-                into[i] = int(main["label"])
-                left.remove(i)
-                x0, y0, x1, y1 = min(x0, p["min_x"]), min(y0, p["min_y"]), max(x1, p["max_x"]), max(y1, p["max_y"])
+        grew, rest, reach = False, [], GAP * max(x1 - x0 + 1, y1 - y0 + 1)
+        for p in left:
+            if max(p[2] - x1, x0 - p[4]) <= reach and max(p[3] - y1, y0 - p[5]) <= reach:
+                got.add(p[0])
+                x0, y0, x1, y1 = min(x0, p[2]), min(y0, p[3]), max(x1, p[4]), max(y1, p[5])
                 grew = True
-    return pieces.assign(into=into)
+            else:
+                rest.append(p)
+        left = rest
+    return [main[0] if p[0] in got else p[0] for p in pieces]
 
 
 def merged(stats: DataFrame) -> DataFrame:
     """Component stats (img, label, area, box, cx, cy, touches_border) with the pieces of split objects put together. A group is one
-    image's components, which are few."""
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema)
-    told = stats.groupBy("img").applyInPandas(gathered, f"{shape}, into long")
+    image's components, which are few; a task takes many images one after the other."""
+    names, box = [f.name for f in stats.schema], ("label", "area", "min_x", "min_y", "max_x", "max_y")
+    grouped = stats.groupBy("img").agg(F.collect_list(F.struct(*names)).alias("m")).select("m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, cuts = b.column(0).flatten(), b.column(0).offsets.to_numpy() - b.column(0).offsets[0].as_py()
+            pieces = list(zip(*(rows.field(c).to_pylist() for c in box), strict=True))
+            into = [k for s, e in itertools.pairwise(cuts.tolist()) for k in gathered(pieces[s:e])]
+            yield pa.record_batch([*(rows.field(c) for c in names), pa.array(into, pa.int64())], [*names, "into"])
+
+    told = grouped.mapInArrow(run, StructType([*stats.schema.fields, StructField("into", LongType())]))
     mean = lambda c: (F.sum(F.col(c) * F.col("area")) / F.sum("area")).alias(c)
     out = told.groupBy("img", F.col("into").alias("label")).agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), mean("cx"), mean("cy"), F.max("touches_border").alias("touches_border"), F.sum("area").alias("area"))
     return out.select("img", "label", "area", "min_x", "max_x", "min_y", "max_y", "cx", "cy", "touches_border")

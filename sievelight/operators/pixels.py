@@ -6,12 +6,16 @@ the ends of a component's rows.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.stats import arc_tangent, cosine, positions, sine
@@ -82,32 +86,79 @@ def label(image: pd.DataFrame, min_area: int = MIN_BLOB) -> pd.DataFrame:
     return image[image["label"] > 0]
 
 
-def _tiled(image: pd.DataFrame) -> pd.DataFrame:
-    """One tile's set pixels with node: the place of the first pixel of their component within the tile."""
-    out = label(image, 1)
-    first = out.groupby("label", sort=False)["place"].transform("min")
-    return out.assign(node=first)
+def _roots(key: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first pixel of each pixel's 8-connected component, of places in order on tiles that lie width apart, rims empty."""
+    u, v = [], []
+    for step in (1, width - 1, width, width + 1):
+        at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+        there = np.flatnonzero(key[at] == key + step)
+        u.append(there)
+        v.append(at[there])
+    u, v = np.concatenate(u), np.concatenate(v)
+    top = np.arange(len(key))
+    while True:
+        low = np.minimum(top[u], top[v])
+        new = top.copy()
+        np.minimum.at(new, top[u], low)
+        np.minimum.at(new, top[v], low)
+        new = new[new]
+        if np.array_equal(new, top):
+            return top
+        top = new
+
+
+def _tiled(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
+    """Pixels (img, y, x) in order of tiles, and within them of rows, once each, with node: the place of the first pixel of their component
+    within the tile. Tiles of a batch are labelled together; the last one waits until it is whole."""
+    width, held = tile + 2, [np.empty(0, np.int64)] * 3
+
+    def labelled(img: np.ndarray, y: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        ty, tx = y // tile, x // tile
+        first = np.ones(len(img), bool)
+        first[1:] = (np.diff(img) != 0) | (np.diff(ty) != 0) | (np.diff(tx) != 0)
+        key = ((np.cumsum(first) - 1) * width + y - ty * tile + 1) * width + x - tx * tile + 1
+        once = np.concatenate([[True], np.diff(key) != 0])
+        img, y, x, key = img[once], y[once], x[once], key[once]
+        top = _roots(key, width)
+        node = (y << 32) + x
+        return pa.record_batch([pa.array(img), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(node[top])], ["img", "y", "x", "node"])
+
+    for b in batches:
+        img, y, x = held = [np.concatenate([h, b.column(k).to_numpy().astype(np.int64)]) for k, h in enumerate(held)]
+        if len(img):
+            last = (img == img[-1]) & (y // tile == y[-1] // tile) & (x // tile == x[-1] // tile)
+            cut = len(img) - int(last.sum())
+            if cut:
+                yield labelled(img[:cut], y[:cut], x[:cut])
+                held = [h[cut:] for h in held]
+    if len(held[0]):
+        yield labelled(*held)
 
 
 def components(on: DataFrame, min_area: int = MIN_BLOB, tile: int = TILE) -> DataFrame:
     """img, y, x and label of the pixels that belong to components of min_area pixels or more, numbered from 1 by first pixel.
 
-    Tiles are labelled each for itself. Pixels at the edge of a tile that touch one of another link the two components, and what such
-    links connect is one component; so an image of any size spreads over tasks, and what is joined is seams.
+    Tiles are labelled each for itself, many in one go. Pixels at the edge of a tile that touch one of another link the two components, and
+    what such links connect is one component; so an image of any size spreads over tasks, and what is joined is seams. Sizes and numbers
+    are taken over rows of components; pixels are dealt once by tile, and once to their component's number.
     """
-    pixels = on.select(F.col("img").cast("long").alias("img"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
-    placed = pixels.withColumns({"place": F.shiftleft(F.col("y").cast("long"), 32) + F.col("x"), "ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
-    shape = "img long, y int, x int, place long, ty long, tx long, label int, node long"
-    parts = stored(placed.groupBy("img", "ty", "tx").applyInPandas(_tiled, shape).drop("label"), "tiles")
-    edge = parts.where(F.expr(f"pmod(y, {tile}) in (0, {tile - 1}) or pmod(x, {tile}) in (0, {tile - 1})")).select("img", "y", "x", "ty", "tx", "node")
+    pixels = on.select(F.col("img").cast("long").alias("img"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    tiles = [F.col("img"), F.floor(F.col("y") / tile), F.floor(F.col("x") / tile)]
+    dealt = pixels.repartition(*tiles).sortWithinPartitions(*tiles, "y", "x")
+    parts = stored(dealt.mapInArrow(lambda batches: _tiled(batches, tile), "img long, y int, x int, node long"), "tiles")
+    placed = lambda c: F.floor(F.col(c) / tile)
+    edge = parts.where(F.expr(f"pmod(y, {tile}) in (0, {tile - 1}) or pmod(x, {tile}) in (0, {tile - 1})"))
     next_to = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1)))))
-    asked = edge.select("img", F.col("node").alias("u"), "ty", "tx", "y", "x", next_to.alias("d")).select("img", "u", F.col("ty").alias("uy"), F.col("tx").alias("ux"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
-    seams = asked.join(edge, ["img", "y", "x"]).where("uy <> ty or ux <> tx").select(F.col("img").alias("space"), "u", F.col("node").alias("v")).distinct()
+    there = edge.select("img", F.col("node").alias("u"), placed("y").alias("uy"), placed("x").alias("ux"), "y", "x", next_to.alias("d")).select("img", "u", "uy", "ux", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
+    asked = there.where((F.col("x") >= 0) & ((F.col("uy") != placed("y")) | (F.col("ux") != placed("x")))).drop("uy", "ux")
+    seams = asked.join(edge, ["img", "y", "x"]).select(F.col("img").alias("space"), "u", F.col("node").alias("v")).distinct()
     joined = links.connected(seams).withColumnRenamed("space", "img")
-    rooted = stored(parts.join(joined, ["img", "node"], "left").select("img", "y", "x", F.coalesce("root", "node").alias("root")), "rooted")
-    sizes = rooted.groupBy("img", "root").count().where(F.col("count") >= min_area)
+    nodes = parts.groupBy("img", "node").count()
+    rooted = stored(nodes.join(joined, ["img", "node"], "left").select("img", "node", "count", F.coalesce("root", "node").alias("root")), "rooted")
+    sizes = rooted.groupBy("img", "root").agg(F.sum("count").alias("count")).where(F.col("count") >= min_area)
     numbers = positions(sizes.select("img", "root"), ["img"], F.col("root")).select("img", "root", (F.col("_at") + 1).cast("int").alias("label"))
-    return rooted.join(numbers, ["img", "root"]).select("img", "y", "x", "label")
+    named = rooted.join(numbers, ["img", "root"]).select("img", "node", "label")
+    return parts.join(named, ["img", "node"]).select("img", "y", "x", "label")
 
 
 def component_stats(labelled: DataFrame, height: int, width: int) -> DataFrame:
@@ -163,35 +214,39 @@ def shapes(labelled: DataFrame) -> DataFrame:
     return s.join(wide, by).withColumn("fill", F.col("area") / F.col("_box")).drop("_box")
 
 
-def hull_area(points: np.ndarray) -> float:
+def hull_area(points: Iterable[tuple[int, int]]) -> float:
     """Area of the convex hull: its lower and upper chains over the points from left to right, by the cross products of its edges."""
-    pts = np.unique(points, axis=0)
+    pts = sorted(set(points))
     if len(pts) < 3:
         return 0.0
 
-    def side(ps: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for q in ps:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+    def side(ps: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for x, y in ps:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
                 out.pop()
-            out.append(q)
+            out.append((x, y))
         return out
 
-    ring = np.array(side(pts)[:-1] + side(pts[::-1])[:-1], float)
-    after = np.roll(ring, -1, axis=0)
-    return abs(float((ring[:, 0] * after[:, 1] - ring[:, 1] * after[:, 0]).sum())) / 2
+    ring = side(pts)[:-1] + side(pts[::-1])[:-1]
+    return abs(sum(a * d - b * c for (a, b), (c, d) in zip(ring, [*ring[1:], ring[0]], strict=True))) / 2
+
+
+def _hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """img, label and area as they are, and the hull of each component's rows (y, first and last x)."""
+    for batch in batches:
+        y, low, high = (batch.column("rows").flatten().field(c).to_pylist() for c in ("y", "a", "b"))
+        cuts = batch.column("rows").offsets.to_numpy() - batch.column("rows").offsets[0].as_py()
+        hulls = [hull_area((x, yy) for k in range(s, e) for x in (low[k], high[k] + 1) for yy in (y[k], y[k] + 1)) for s, e in itertools.pairwise(cuts.tolist())]
+        yield pa.record_batch([*(batch.column(c) for c in ("img", "label", "area")), pa.array(hulls, pa.float64())], ["img", "label", "area", "hull"])
 
 
 def solidity(labelled: DataFrame) -> DataFrame:
     """img, label, hull and solidity. Only the ends of each row of a component can be on its hull, so few points reach a task."""
     ends = labelled.groupBy("img", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n"))
     rows = ends.groupBy("img", "label").agg(F.sum("n").alias("area"), F.collect_list(F.struct("y", "a", "b")).alias("rows"))
-
-    @F.pandas_udf("double")
-    def hull(s: pd.Series) -> pd.Series:
-        return pd.Series([hull_area(np.array([(x, y) for r in rs for x in (r["a"], r["b"] + 1) for y in (r["y"], r["y"] + 1)])) for rs in s])
-
-    return rows.select("img", "label", "area", hull("rows").alias("hull")).withColumn("solidity", F.col("area") / F.col("hull"))
+    shape = StructType([*(rows.schema[c] for c in ("img", "label", "area")), StructField("hull", DoubleType())])
+    return rows.mapInArrow(_hulls, shape).withColumn("solidity", F.col("area") / F.col("hull"))
 
 
 def grey(r: Column, g: Column, b: Column) -> Column:

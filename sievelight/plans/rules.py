@@ -274,16 +274,16 @@ PX = f"px as (select row_number() over (order by {', '.join(ORDER)}) - 1 as nth,
 IMG = f"{PX}, img as (select nth // {H * WD} as img, nth % {H * WD} // {WD} as y, nth % {WD} as x, v from px)"
 
 
-def pixel_rows(spark: SparkSession, sf_dir: str, height: int = H, width: int = WD) -> DataFrame:
-    """Images of height x width: the rows of lineitem in order, a pixel each."""
-    rows = table(spark, sf_dir, "lineitem").select(*ORDER, "l_quantity", "l_discount", "l_tax", F.lit(0).alias("all"))
-    at = stats.positions(rows, ["all"], F.struct(*ORDER))
+def pixel_rows(spark: SparkSession, sf_dir: str, height: int = H, width: int = WD, more: tuple[str, ...] = ("l_quantity", "l_discount", "l_tax")) -> DataFrame:
+    """Images of height x width: the rows of lineitem in order, a pixel each, with v and what more is asked for."""
+    rows = table(spark, sf_dir, "lineitem").select(*ORDER, *more, F.lit(0).alias("all"), (F.floor("l_extendedprice") % 256).cast("double").alias("v"))
+    at = stats.positions(rows, ["all"], F.struct(*ORDER), keep=["v", *more])
     k, size = F.col("_at"), height * width
-    return at.select(F.floor(k / size).alias("img"), F.floor(k % size / width).cast("int").alias("y"), (k % width).cast("int").alias("x"), (F.floor("l_extendedprice") % 256).cast("double").alias("v"), "l_quantity", "l_discount", "l_tax")
+    return at.select(F.floor(k / size).alias("img"), F.floor(k % size / width).cast("int").alias("y"), (k % width).cast("int").alias("x"), "v", *more)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixel_rows(spark, sf_dir).select("img", "y", "x", "v")
+    return pixel_rows(spark, sf_dir, more=())
 
 
 CROP = "crop as (select img, 1 + (k % 3)::double / 2 as x0, (k % 4)::double / 3 as y0, 5 + (k % 5)::double as side from (select img, count(*) filter (v > 200) as k from img group by img))"

@@ -1,8 +1,10 @@
 """How work spreads: plans and sizes that must not follow the number of groups."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sievelight.operators import gates
+from sievelight.operators import crops, gates, pixels
 
 
 def test_geometry_rows_do_not_meet_by_part(spark):
@@ -14,3 +16,25 @@ def test_geometry_rows_do_not_meet_by_part(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_tiles_are_labelled_many_at_once(spark):
+    """Across batches that cut tiles, with a pixel twice, as all in one batch; no group of its own in Python for each tile."""
+    rng = np.random.default_rng(5)
+    pixels_ = sorted({(int(i), int(y), int(x)) for i, y, x in rng.integers(0, 24, (3000, 3))}, key=lambda p: (p[0], p[1] // 8, p[2] // 8, p[1], p[2]))
+    pixels_.insert(7, pixels_[7])
+    cols = [pa.array(c) for c in zip(*pixels_, strict=True)]
+    whole = pa.record_batch(cols, ["img", "y", "x"])
+    got = [[r for b in pixels._tiled(iter([whole.slice(k, n) for k in range(0, whole.num_rows, n)]), 8) for r in b.to_pylist()] for n in (10_000, 7)]
+    assert got[0] == got[1] and len(got[0]) == len(set(pixels_))
+    on = spark.createDataFrame(pixels_, "img long, y int, x int")
+    log = pixels.components(on, 1, tile=8)
+    want = {(r.img, r.y, r.x): r.label for r in pixels.components(on, 1, tile=1024).collect()}
+    assert {(r.img, r.y, r.x): r.label for r in log.collect()} == want and len(want) == len(set(pixels_))
+
+
+def test_pieces_need_no_group_in_python(spark):
+    stats = spark.createDataFrame([(1, 1, 100, 0, 0, 9, 9, 5.0, 5.0, False), (1, 2, 10, 11, 0, 12, 4, 12.0, 2.0, True), (2, 1, 5, 0, 0, 2, 2, 1.0, 1.0, False)], "img long, label int, area long, min_x int, min_y int, max_x int, max_y int, cx double, cy double, touches_border boolean")
+    found = crops.merged(stats)
+    assert sorted((r.img, r.label, r.area, r.max_x, r.touches_border) for r in found.collect()) == [(1, 1, 110, 12, True), (2, 1, 5, 2, False)]
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
