@@ -280,5 +280,5 @@ def tracker_events(spark, sf_dir):
     x = F.when(odd, stops).when(c <= 32, c * 10).cast("double")
     sharp = 5 + F.abs("value") - F.floor(F.abs("value"))
     shaped = e.select("stream", (F.col("k") * 33).cast("long").alias("t_ms"), x.alias("x"), (F.col("stream") * 20 + 20).cast("double").alias("y"), F.lit(900.0).alias("area"), sharp.alias("sharp"), (F.col("event_id") % 97 == 0).alias("border"))
-    found = run_available(shaped, tracker.tracked, "tracker", order="t_ms")
+    found = run_available(shaped, tracker.tracked, "tracker", order="t_ms", key="stream")
     return found.withColumn("frames", F.coalesce(F.array_join(F.transform("frames", lambda t: t.cast("string")), ","), F.lit("")))

@@ -1,10 +1,14 @@
 """How work spreads: plans and sizes that must not follow the number of groups."""
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sievelight.operators import crops, gates, pixels
+from sievelight.streaming import tracker
+from sievelight.streaming.run import run_available
 
 
 def test_geometry_rows_do_not_meet_by_part(spark):
@@ -38,3 +42,15 @@ def test_pieces_need_no_group_in_python(spark):
     found = crops.merged(stats)
     assert sorted((r.img, r.label, r.area, r.max_x, r.touches_border) for r in found.collect()) == [(1, 1, 110, 12, True), (2, 1, 5, 2, False)]
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_slices_are_counted_by_the_longest_stream(spark):
+    rows = spark.range(400).select((F.col("id") % 8).alias("stream"), (F.floor(F.col("id") / 8) * 33).alias("t_ms"), (F.col("id") / 8 * 10).alias("x"), (F.col("id") % 8 * 30.0).alias("y"), F.lit(900.0).alias("area"), F.lit(5.0).alias("sharp"), F.lit(False).alias("border"))
+    batches = lambda name: len([p for p in Path(spark.conf.get("spark.checkpoint.dir")).glob(f"sievelight-{name}-*/progress/commits/*") if p.name.isdigit()])
+    got = {}
+    for name, key in (("alone", None), ("together", "stream")):
+        out = run_available(rows, tracker.tracked, name, order="t_ms", slice_rows=100, key=key)
+        got[name] = sorted(map(str, out.collect()))
+    assert got["alone"] == got["together"] and got["alone"]
+    assert batches("alone") >= 4 > batches("together") == 1
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
