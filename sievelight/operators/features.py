@@ -10,6 +10,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .pixels import grey
 
@@ -33,32 +34,33 @@ def projection(dim: int, seed: int = SEED) -> list[list[float]]:
     return xorshift(seed, dim * RAW).reshape(dim, RAW).astype(float).tolist()
 
 
-def _gradients(pixels: DataFrame, side: int) -> DataFrame:
-    """img, y, x, bin, mag and lap of pixels (img, y, x, g) that have all four neighbours."""
-    cross = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)]
-    at = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in cross)))
-    sent = pixels.select("img", "y", "x", "g", at.alias("d")).select("img", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), "d", "g")
-    side_of = lambda dy, dx: F.max(F.when((F.col("d.dy") == dy) & (F.col("d.dx") == dx), F.col("g")))
-    met = sent.where((F.col("y") > 0) & (F.col("y") < side - 1) & (F.col("x") > 0) & (F.col("x") < side - 1)).groupBy("img", "y", "x").agg(side_of(0, 0).alias("own"), side_of(0, -1).alias("right"), side_of(0, 1).alias("left"), side_of(-1, 0).alias("below"), side_of(1, 0).alias("above"))
-    gx, gy = F.col("right") - F.col("left"), F.col("below") - F.col("above")
+def _with_gradients(pixels: DataFrame, side: int) -> DataFrame:
+    """pixels (img, y, x, g) with bin, mag and lap, null where one of the four neighbours is missing. A pixel meets those of its row and
+    those of its column, so that it is sent twice, and no image lies in one task."""
+    beside = lambda c, way, step: F.when(way(c).over(W.partitionBy("img", "y" if c == "x" else "x").orderBy(c)) == F.col(c) + step, way("g").over(W.partitionBy("img", "y" if c == "x" else "x").orderBy(c)))
+    met = pixels.withColumns({"_left": beside("x", F.lag, -1), "_right": beside("x", F.lead, 1)}).withColumns({"_above": beside("y", F.lag, -1), "_below": beside("y", F.lead, 1)})
+    gx, gy = F.col("_right") - F.col("_left"), F.col("_below") - F.col("_above")
+    lap = (F.col("_left") + F.col("_right") + F.col("_above") + F.col("_below") - 4 * F.col("g")) / 255
+    inner = (F.col("y") > 0) & (F.col("y") < side - 1) & (F.col("x") > 0) & (F.col("x") < side - 1) & lap.isNotNull()
     turn = F.floor((F.atan2(gy, gx) + math.pi) / (2 * math.pi) * BINS).cast("int")
-    lap = (F.col("left") + F.col("right") + F.col("above") + F.col("below") - 4 * F.col("own")) / 255
-    return met.dropna().select("img", "y", "x", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), turn)).alias("bin"), (F.sqrt(gx * gx + gy * gy) / 255).alias("mag"), (lap * lap).alias("lap"))
+    added = {"bin": F.greatest(F.lit(0), F.least(F.lit(BINS - 1), turn)), "mag": F.sqrt(gx * gx + gy * gy) / 255, "lap": lap * lap}
+    return met.withColumns({k: F.when(inner, v) for k, v in added.items()}).drop("_left", "_right", "_above", "_below")
 
 
 def raw_features(pixels: DataFrame, side: int, grid: int) -> DataFrame:
     """img, r, c and raw (RAW numbers) of grid x grid patches of square images of pixels (img, y, x, red, green, blue: 0 to 255)."""
     cell = side // grid
     named = pixels.withColumn("g", grey(F.col("red"), F.col("green"), F.col("blue")))
-    edges = _gradients(named, side)
-    both = named.join(edges, ["img", "y", "x"], "left")
+    both = _with_gradients(named, side)
     ch = [F.col(c) / 255 for c in ("red", "green", "blue")]
     sums = [F.count("*").alias("n"), *(F.sum(c).alias(f"s{k}") for k, c in enumerate(ch)), *(F.sum(c * c).alias(f"q{k}") for k, c in enumerate(ch)), *(F.sum(F.when(F.col("bin") == b, F.col("mag")).otherwise(0.0)).alias(f"b{b}") for b in range(BINS)), F.sum(F.coalesce("lap", F.lit(0.0))).alias("e")]
     cells = both.groupBy("img", F.floor(F.col("y") / cell).cast("int").alias("r"), F.floor(F.col("x") / cell).cast("int").alias("c")).agg(*sums)
     names = [c for c in cells.columns if c not in ("img", "r", "c")]
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    near = cells.select("*", around.alias("d")).select("img", (F.col("r") + F.col("d.dr")).alias("r"), (F.col("c") + F.col("d.dc")).alias("c"), *names)
-    near = near.where((F.col("r") >= 0) & (F.col("r") < grid) & (F.col("c") >= 0) & (F.col("c") < grid)).groupBy("img", "r", "c").agg(*(F.sum(c).alias(c) for c in names))
+    near = cells  # sums over three rows, then over three columns, so that a cell is sent twice and not to nine places
+    for along, over in (("r", "c"), ("c", "r")):
+        three = W.partitionBy("img", over).orderBy(along).rangeBetween(-1, 1)
+        near = near.select("img", "r", "c", *(F.sum(c).over(three).alias(c) for c in names))
+    near = near.where((F.col("r") >= 0) & (F.col("r") < grid) & (F.col("c") >= 0) & (F.col("c") < grid))
     mean = lambda k: F.col(f"s{k}") / F.col("n")
     dev = lambda k: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q{k}") / F.col("n") - mean(k) * mean(k)))
     raw = [*(mean(k) for k in range(3)), *(dev(k) for k in range(3)), *(F.col(f"b{b}") / F.col("n") * 4 for b in range(BINS)), F.sqrt(F.col("e") / F.col("n"))]

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sievelight.operators import crops, gates, pixels
+from sievelight.operators import crops, features, gates, pixels
 from sievelight.streaming import tracker
 from sievelight.streaming.run import run_available
 
@@ -54,3 +54,11 @@ def test_slices_are_counted_by_the_longest_stream(spark):
     assert got["alone"] == got["together"] and got["alone"]
     assert batches("alone") >= 4 > batches("together") == 1
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_features_send_no_pixel_to_its_neighbours(spark):
+    px = spark.range(64).select(F.lit(1).alias("img"), F.floor(F.col("id") / 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x"), *((F.col("id") * k % 50).cast("double").alias(c) for k, c in ((7, "red"), (11, "green"), (13, "blue"))))
+    raw = features.raw_features(px, 8, 4)
+    assert raw.count() == 16 and "Generate" not in raw._jdf.queryExecution().toString()
+    one = {(r.r, r.c): r.raw for r in raw.collect()}[0, 0]
+    assert abs(one[0] - sum((8 * y + x) * 7 % 50 for y in range(4) for x in range(4)) / 16 / 255) < 1e-12
