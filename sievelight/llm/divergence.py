@@ -24,33 +24,40 @@ TERM, BREAK = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), re.compile(rb"[\x
 HELD = 200_000
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (rows of docs that have it): several rows a term, one a task as a rule."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-        def rows() -> pa.RecordBatch:
-            flat = [(*g, t, n, has[t]) for g, (all_, has) in held.items() for t, n in all_.items()]
-            lang, source, term, n, has = zip(*flat, strict=True) if flat else ((),) * 5
-            return pa.record_batch([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()), pa.array(n, pa.int64()), pa.array(has, pa.int64())], ["lang", "source", "term", "n", "docs"])
-
-        for b in batches:
-            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                all_, has = held.setdefault((lang, source), (Counter(), Counter()))
-                own: set[bytes] = set()
-                for piece in pieces(text, BREAK):
-                    terms = TERM.findall(piece.lower())
-                    all_.update(terms)
-                    own.update(terms)
-                has.update(own)
-            if sum(len(a) for a, _ in held.values()) > HELD:
-                yield rows()
+def tallied(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, n and docs of rows (lang, source, text). What is held is looked at after every row, as a batch of them can have
+    many times as many terms."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    size = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (all_, has) in held.items():
+            terms, n = pa.array(all_.keys(), pa.binary()), len(all_)
+            yield pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n), terms, pa.array(all_.values(), pa.int64()), pa.array(map(has.__getitem__, all_), pa.int64())], ["lang", "source", "term", "n", "docs"])
+
+    for b in batches:
+        for lang, source, text in zip(*(b.column(c) for c in ("lang", "source", "text")), strict=True):
+            all_, has = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+            own: set[bytes] = set()
+            size -= len(all_)
+            for piece in pieces(text.as_py(), BREAK):
+                terms = TERM.findall(piece.lower())
+                all_.update(terms)
+                own.update(terms)
+            has.update(own)
+            size += len(all_)
+            if size > most:
+                yield from rows()
                 held.clear()
-        yield rows()
+                size = 0
+    yield from rows()
+
 
+def counted(docs: DataFrame) -> DataFrame:
+    """lang, source, term, n (occurrences) and docs (rows of docs that have it): several rows a term."""
     read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    out = read.mapInArrow(run, "lang string, source string, term binary, n long, docs long")
+    most = HELD
+    out = read.mapInArrow(lambda batches: tallied(batches, most), "lang string, source string, term binary, n long, docs long")
     return out.withColumn("term", F.col("term").cast("string"))
 
 

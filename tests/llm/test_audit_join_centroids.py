@@ -4,9 +4,11 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievelight.llm import centroids, divergence, ngram_join, queries
@@ -65,6 +67,24 @@ def test_audit_matches_plain_counts(spark, monkeypatch):
     assert divergence.audit(df.limit(0)).count() == 0
 
 
+def test_terms_held_are_bounded_within_a_batch():
+    """One batch with many times as many terms as are held: they go on row by row, and nothing is lost."""
+    rows = [("en", "web" if k % 2 else "news", " ".join(f"w{_letters(k * 5 + j)}" for j in range(10)).encode()) for k in range(400)]
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "source", "text"])
+    got = list(divergence.tallied(iter([batch]), 100))
+    assert max(b.num_rows for b in got) <= 110 and len(got) > 20
+    n, docs = Counter(), Counter()
+    for r in (r for b in got for r in b.to_pylist()):
+        n[r["source"], r["term"]] += r["n"]
+        docs[r["source"], r["term"]] += r["docs"]
+    want = Counter((s, t) for _, s, text in rows for t in text.split())
+    assert n == docs == want
+
+
+def _letters(k):
+    return "".join(chr(97 + int(d)) for d in str(k))
+
+
 def test_long_texts_are_cut_between_terms():
     text = ("wörd," * 40_000).encode()
     cut = list(divergence.pieces(text, divergence.BREAK, 1000))
