@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.stats import cosine, sine
+from ..sources.shared import dealt, tasks_for
 from .pixels import MARGIN
 
 SAMPLES = 4  # fixed value: sample points along each side of a patch
@@ -37,11 +38,15 @@ def taps(crops: DataFrame, axis: str, size: int, full: int) -> DataFrame:
 
 
 def resized(pixels: DataFrame, crops: DataFrame, size: int, height: int, width: int, channels: tuple[str, ...]) -> DataFrame:
-    """img, y, x and channels of each image's square crop, size x size, by bilinear samples at the centres of the new pixels."""
+    """img, y, x and channels of each image's square crop, size x size, by bilinear samples at the centres of the new pixels.
+    Tasks are as many as the pixels ask for."""
+    tasks = tasks_for(pixels.sparkSession, pixels.count())
     xs = taps(crops, "x", size, width).select("img", F.col("to").alias("_x"), F.col("source").alias("x"), F.col("weight").alias("_wx"))
     ys = taps(crops, "y", size, height).select("img", F.col("to").alias("_y"), F.col("source").alias("y"), F.col("weight").alias("_wy"))
-    met = pixels.select("img", "y", "x", *channels).join(xs.hint("merge"), ["img", "x"]).join(ys.hint("merge"), ["img", "y"])
-    return met.groupBy("img", F.col("_y").alias("y"), F.col("_x").alias("x")).agg(*(F.sum(F.col(c) * F.col("_wx") * F.col("_wy")).alias(c) for c in channels))
+    across = dealt(pixels.select("img", "y", "x", *channels), tasks, "img", "x").join(dealt(xs, tasks, "img", "x").hint("merge"), ["img", "x"])
+    met = dealt(across, tasks, "img", "y").join(dealt(ys, tasks, "img", "y").hint("merge"), ["img", "y"])
+    rows = met.groupBy("img", "y", "_y", "_x").agg(*(F.sum(F.col(c) * F.col("_wx") * F.col("_wy")).alias(c) for c in channels))
+    return dealt(rows, tasks, "img", "_y").groupBy("img", F.col("_y").alias("y"), F.col("_x").alias("x")).agg(*(F.sum(c).alias(c) for c in channels))
 
 
 def turned(pixels: DataFrame, quarters: int, height: int, width: int) -> DataFrame:

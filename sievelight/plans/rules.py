@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..operators import coreset, crops, knn, pixels, rules, telemetry
 from ..params import DEFAULT
-from ..sources.shared import table
+from ..sources.shared import table, tasks_for
 from . import inspection as i
 from .telemetry import EVENTS as EV
 from .telemetry import events
@@ -276,8 +276,9 @@ IMG = f"{PX}, img as (select nth // {H * WD} as img, nth % {H * WD} // {WD} as y
 
 def pixel_rows(spark: SparkSession, sf_dir: str, height: int = H, width: int = WD, more: tuple[str, ...] = ("l_quantity", "l_discount", "l_tax")) -> DataFrame:
     """Images of height x width: the rows of lineitem in order, a pixel each, with v and what more is asked for."""
-    rows = table(spark, sf_dir, "lineitem").select(*ORDER, *more, F.lit(0).alias("all"), (F.floor("l_extendedprice") % 256).cast("double").alias("v"))
-    at = stats.positions(rows, ["all"], F.struct(*ORDER), keep=["v", *more])
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(*ORDER, *more, F.lit(0).alias("all"), (F.floor("l_extendedprice") % 256).cast("double").alias("v"))
+    at = stats.positions(rows, ["all"], F.struct(*ORDER), keep=["v", *more], tasks=tasks_for(spark, lines.count()))
     k, size = F.col("_at"), height * width
     return at.select(F.floor(k / size).alias("img"), F.floor(k % size / width).cast("int").alias("y"), (k % width).cast("int").alias("x"), "v", *more)
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sievelight.operators import crops, features, gates, pixels
+from sievelight.sources import shared
 from sievelight.streaming import tracker
 from sievelight.streaming.run import run_available
 
@@ -62,3 +63,16 @@ def test_features_send_no_pixel_to_its_neighbours(spark):
     assert raw.count() == 16 and "Generate" not in raw._jdf.queryExecution().toString()
     one = {(r.r, r.c): r.raw for r in raw.collect()}[0, 0]
     assert abs(one[0] - sum((8 * y + x) * 7 % 50 for y in range(4) for x in range(4)) / 16 / 255) < 1e-12
+
+
+def test_resizing_takes_tasks_by_its_pixels(spark, monkeypatch):
+    px = spark.range(480).select(F.floor(F.col("id") / 120).alias("img"), F.floor(F.col("id") % 120 / 12).cast("int").alias("y"), (F.col("id") % 12).cast("int").alias("x"), (F.col("id") * 7 % 50).cast("double").alias("v"))
+    squares = spark.range(4).select(F.col("id").alias("img"), F.lit(1.5).alias("x0"), (F.col("id") / 3).alias("y0"), (5.0 + F.col("id")).alias("side"))
+    small = crops.resized(px, squares, 6, 10, 12, ("v",))
+    want = {(r.img, r.y, r.x): round(r.v, 9) for r in small.collect()}
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    large = crops.resized(px, squares, 6, 10, 12, ("v",))
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", 10\n") == 5 and "RepartitionByExpression [img" in plan  # 480 pixels in tasks of 50: both joins and the sums
+    assert {(r.img, r.y, r.x): round(r.v, 9) for r in large.collect()} == want and len(want) == 4 * 36
+    assert spark.range(480).count() and shared.tasks_for(spark, 50) is None and shared.tasks_for(spark, 51) == 4
