@@ -160,19 +160,26 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _stars(links: DataFrame) -> bool:
+    """Every node names one other that names none: the links are what components() is after."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.agg(F.count_if(F.expr("up > 1 or up > 0 and down > 0"))).first()[0]
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links (u, v of type long): component is the smallest node that it reaches.
 
-    Alternates large-star and small-star steps until the links no longer change. Each round is stored and the one before it deleted.
-    Links with a null end or from a node to itself say nothing and are left out; no links give no rows.
+    Alternates large-star and small-star steps until all links form stars. Each step is stored by itself, so that no plan holds two of
+    them, and the one before it deleted. Links with a null end or from a node to itself say nothing and are left out; no links give no
+    rows.
     """
     links = links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links, before = stored(links, "links"), None
+    links = stored(links, "links")
     for _ in range(most_rounds):
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        last, before = links, now
-        links = stored(_star(_star(links, True), False), "links")
-        dropped(last)
+        if _stars(links):
+            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        for large in (True, False):
+            last, links = links, stored(_star(links, large), "links")
+            dropped(last)
     raise RuntimeError("connected components did not settle")
