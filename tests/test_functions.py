@@ -91,3 +91,13 @@ def test_quantiles_are_weighted_means_of_their_ends(spark):
     df = spark.createDataFrame([(n, x) for low, high, n in some for x in (low, high)], "g long, v double")
     got = {r.g: r.q for r in stats.quantiles(df, "v", ["g"], [at], ["q"]).collect()}
     assert got == {n: low * (1 - at) + high * at for low, high, n in some}
+
+
+def test_quantiles_do_not_hang_on_the_order_of_parts(spark, monkeypatch):
+    """Approximate quantiles that come out otherwise each time they are asked for, as those of parts that arrive in another order may."""
+    some = F.udf(lambda v: sorted(random.SystemRandom().sample(v, 9)), "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda c, at, accuracy: some(F.collect_list(c)))
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 3001).cast("double").alias("v"))
+    want = {g: np.median([k * 7919 % 3001 for k in range(g, 3000, 3)]) for g in range(3)}
+    for _ in range(3):
+        assert {r.g: r.q for r in stats.quantiles(df, "v", ["g"], [0.5], ["q"]).collect()} == want
