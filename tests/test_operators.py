@@ -98,6 +98,26 @@ def test_matching_is_greedy_in_time(spark):
     assert got == sorted(want)
 
 
+def test_matching_keeps_points_not_pairs(spark, monkeypatch):
+    """Many at one time, ids that come again, two as near: as the greedy order has it, in tables no longer than the points."""
+    rng, sizes = random.Random(8), []
+    real = telemetry.stored
+    monkeypatch.setattr(telemetry, "stored", lambda df, name: [t := real(df, name), sizes.append(t.count())][0])
+    df = lambda rows: spark.createDataFrame(rows, "k int, id long, t_ms long")
+    for unique, spread in ((True, 30), (True, 900), (False, 60)):
+        sizes.clear()
+        some = lambda: [(i % 2, i if unique else rng.randrange(60), rng.randrange(spread)) for i in range(150)]  # noqa: B023, E731
+        e, a = some(), some()
+        got = sorted(map(tuple, telemetry.matched(df(e + e[:5]), df(a), "k").select("k", "e_id", "a_id", "dt").collect()))
+        pairs, us, vs, want = sorted({(abs(t - u), i, j, k) for k, i, t in e for q, j, u in a if k == q and abs(t - u) <= 150}), set(), set(), []
+        for dt, i, j, k in pairs:
+            if (k, i) not in us and (k, j) not in vs:
+                us.add((k, i))
+                vs.add((k, j))
+                want.append((k, i, j, dt))
+        assert got == sorted(want) and max(sizes) <= len(e) + len(a) + 5 < len(pairs)
+
+
 def _image(rng, h=40, w=50, p=0.45):
     return rng.random((h, w)) < p
 
