@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: tiled exact comparison of fingerprints.
+"""SimHash near-duplicates: tiled exact comparison of fingerprints; near copies by Jaccard similarity, searched by bands of least hashes.
 
 Fingerprints are compared in tiles. Tiles are sorted by population counts (of the whole fingerprint, then of its
 16-bit parts); two tiles meet only if the least difference of their population counts, which no pair can undercut, is within the
@@ -17,6 +17,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import components, forest, met, mix64, numbered, stored
 
@@ -26,6 +27,8 @@ TILE, PART = 32768, 512
 LEAST, FEW = 5, 9
 #: Bytes of shingles, and sets, that are compared with as many at once, and the columns of such a row.
 BUNDLE_BYTES, MOST_SETS = 2 << 20, 4096
+#: Bands of least hashes, and hashes a band: sets of Jaccard similarity 0.8 share a band but for 5 in 10 million, of 0.1 in 5 of 100,000.
+BANDS, ROWS = 48, 6
 BUNDLE = ["tile", "lo", "hi", "component", "n", "node", "fps", "hashes"]
 
 
@@ -188,16 +191,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
 
 
 def _sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """Of every row: doc_id, its set of different shingles (by a 128-bit digest), their number n and fingerprint; of sets of
+    """Of every row: doc_id, its set of different shingles (by a 128-bit digest), their number n, fingerprint and bands; of sets of
     LEAST to FEW shingles also less, the digests of the sets without one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(len(h), _digest(h), majority(h, lanes).astype(">u8").tobytes(), [_digest(np.delete(h, i)) for i in range(len(h))] if LEAST <= len(h) <= FEW else None) for h in (shingles(t, shingle, False) for t in b.column("text").to_pylist())]
-            ns, digests, fps, less = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.record_batch([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(less, pa.list_(pa.binary()))], ["doc_id", "set", "n", "fp", "less"])
+            rows = [(len(h), _digest(h), majority(h, lanes).astype(">u8").tobytes(), [_digest(np.delete(h, i)) for i in range(len(h))] if LEAST <= len(h) <= FEW else None, least_hashes(h)) for h in (shingles(t, shingle, False) for t in b.column("text").to_pylist())]
+            ns, digests, fps, less, lows = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            keys = bands(np.array(lows, np.uint32).reshape(-1, BANDS, ROWS)).ravel()
+            own = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.record_batch([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(less, pa.list_(pa.binary())), own], ["doc_id", "set", "n", "fp", "less", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, set binary, n long, fp binary, less array<binary>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, set binary, n long, fp binary, less array<binary>, bands array<bigint>")
+
+
+_MIX = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+_FLIP, _TIMES = (_MIX >> np.uint64(32)).astype(np.uint32), _MIX.astype(np.uint32) | np.uint32(1)
+
+
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """The least of the shingles' hashes by each of BANDS * ROWS ways to hash them again: of two sets, each is the same with a
+    probability of their Jaccard similarity."""
+    short, out = (h ^ h >> np.uint64(32)).astype(np.uint32), np.full(len(_TIMES), 2**32 - 1, np.uint32)
+    for i in range(0, len(short), 512):
+        np.minimum(out, ((short[i : i + 512, None] ^ _FLIP) * _TIMES).min(0), out=out)
+    return out
+
+
+def bands(lows: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band of sets' least hashes (sets x BANDS x ROWS)."""
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), lows.shape[:2])
+    for k in range(ROWS):
+        keys = mix64((keys << np.uint64(1)) ^ (keys >> np.uint64(63)) ^ lows[:, :, k].astype(np.uint64))
+    return np.ascontiguousarray(keys)
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """Links (u, v) that connect the nodes of sets (node, bands) that share a band: each to the smallest that has it. Rows grow with the
+    sets alone."""
+    keyed = sets.select("node", F.explode("bands").alias("band"))
+    first = F.first("node").over(W.partitionBy("band").orderBy("node").rowsBetween(W.unboundedPreceding, 0))
+    return keyed.select(F.col("node").alias("u"), first.alias("v")).where("u <> v")
 
 
 def _digest(h: np.ndarray) -> bytes:
@@ -289,13 +323,14 @@ def groups(docs: DataFrame, shingle: int = 5, radius: int = 60, lanes: int = 4,
     """doc_id, set (digest of its different shingles), top (number of the component) and component_id of every row of docs with a doc_id:
     the smallest doc_id that links reach, which components share where a doc_id has several texts. A link is a Jaccard similarity of ratio at least, of exact sets.
 
-    Fingerprints only search: sets within radius, and what they connect, meet again in _similar, which compares their shingles.
+    Bands of least hashes only search: sets that share one, and what they connect, meet again in _similar, which compares the shingles of
+    those whose fingerprints are within radius.
     Sets of LEAST to FEW shingles that are one more or one less than another's don't need the search: they are joined by digests.
     """
     rows = stored(_sets(docs, shingle, lanes).where("doc_id is not null"), "sets")
-    distinct = numbered(rows.groupBy("set", "n", "fp").agg(F.min("doc_id").alias("least"), F.first("less").alias("less")), "distinct", "set").withColumnRenamed("at", "node")
-    distinct = stored(distinct, "numbered")
-    search = components(links(distinct.where("n > 0").select("fp", "node"), radius, lanes))
+    distinct = numbered(rows.groupBy("set", "n", "fp").agg(F.min("doc_id").alias("least"), F.first("less").alias("less"), F.first("bands").alias("bands")), "distinct", "set").withColumnRenamed("at", "node")
+    search = components(candidates(distinct.where("n > 0").select("node", "bands")))
+    distinct = stored(distinct.drop("bands"), "numbered")
     members = stored(distinct.drop("less").join(search.hint("merge"), "node"), "members")
     bundles = stored(_bundles(docs, members, shingle, BUNDLE_BYTES), "bundles")
     less = distinct.where("less is not null").select(F.col("node").alias("v"), F.explode("less").alias("set"))

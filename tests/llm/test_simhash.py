@@ -141,3 +141,22 @@ def test_rows_of_one_doc_id_go_by_their_own_text(spark):
     # 3 loses its copy of 1, not b; 5 keeps c alone, so 7 is the one that holds d
     assert out.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (3, b), (5, c), (7, d), (None, a)], key=str)
+
+
+def test_near_copies_are_searched_by_bands(spark, monkeypatch):
+    """Sets that have little in common never meet, so that no tiles of all fingerprints are compared with each other; similar ones share a band."""
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "links", None)
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(10**9)}"
+    base = [[word() for _ in range(60)] for _ in range(200)]
+    texts = [" ".join(x) for x in base] + [" ".join([*x[:55], word()]) for x in base[:100]]  # 51 shingles of 57 in common
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.groups(df).collect()} == {i: i if i < 200 else i - 200 for i in range(300)}
+    sets = [simhash.shingles(t.encode(), 5, False) for t in texts]
+    lows = np.array([simhash.least_hashes(h) for h in sets])
+    keys = simhash.bands(lows.reshape(-1, simhash.BANDS, simhash.ROWS)).view(np.int64).tolist()
+    got = {(r.u, r.v) for r in simhash.candidates(spark.createDataFrame(list(enumerate(keys)), "node long, bands array<long>")).collect()}
+    assert got == {(i + 200, i) for i in range(100)}
+    assert len(simhash.least_hashes(sets[0][:0])) == simhash.BANDS * simhash.ROWS
