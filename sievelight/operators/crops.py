@@ -112,17 +112,19 @@ def _square_points(squares: DataFrame, by: list[str], rows: int, columns: int, t
     return spread.select(*by, "i", "j", (F.col("cx") + a * F.col("_cos") - b * F.col("_sin")).alias("u"), (F.col("cy") + a * F.col("_sin") + b * F.col("_cos")).alias("v"))
 
 
-def rotated(pixels: DataFrame, squares: DataFrame, size: int, height: int, width: int, channels: tuple[str, ...], turned: float = 0.0) -> DataFrame:
+def rotated(pixels: DataFrame, squares: DataFrame, size: int, height: int, width: int, channels: tuple[str, ...], turned: float = 0.0, factor: int = 1) -> DataFrame:
     """img, label, y, x and channels of the content of squares (img, label, cx, cy, side, theta), size x size, by bilinear samples at the
-    centres of the new pixels; turned by half a circle they show it the other way round.
+    centres of the new pixels; turned by half a circle they show it the other way round. A pixel stands for factor x factor of the
+    height x width ones that squares are in; it is not sent as often.
 
     A sample takes from four pixels, the rim repeated: squares become a table of (pixel, weight), pixels meet it by equality and sums
     combine partially, so that no image lies in one task."""
     at = _square_points(squares, ["img", "label"], size, size, turned)
     fx, fy = F.floor(F.col("u") - 0.5), F.floor(F.col("v") - 0.5)
     held = lambda k, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), k)).cast("int")
+    at_pixel = lambda k, n: F.floor(held(k, n) / factor).cast("int")
     wx, wy = F.col("u") - 0.5 - fx, F.col("v") - 0.5 - fy
-    taps_ = F.array(*(F.struct(held(fy + dy, height).alias("y"), held(fx + dx, width).alias("x"), ((wx if dx else 1 - wx) * (wy if dy else 1 - wy)).alias("w")) for dy in (0, 1) for dx in (0, 1)))
+    taps_ = F.array(*(F.struct(at_pixel(fy + dy, height).alias("y"), at_pixel(fx + dx, width).alias("x"), ((wx if dx else 1 - wx) * (wy if dy else 1 - wy)).alias("w")) for dy in (0, 1) for dx in (0, 1)))
     asked = at.select("img", "label", "i", "j", F.explode(taps_).alias("t")).select("img", "label", "i", "j", "t.*").where("w > 0")
     met = pixels.select("img", "y", "x", *channels).hint("merge").join(asked, ["img", "y", "x"])
     return met.groupBy("img", "label", F.col("i").alias("y"), F.col("j").alias("x")).agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in channels))

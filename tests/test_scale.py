@@ -76,3 +76,12 @@ def test_resizing_takes_tasks_by_its_pixels(spark, monkeypatch):
     assert plan.count(", 10\n") == 5 and "RepartitionByExpression [img" in plan  # 480 pixels in tasks of 50: both joins and the sums
     assert {(r.img, r.y, r.x): round(r.v, 9) for r in large.collect()} == want and len(want) == 4 * 36
     assert spark.range(480).count() and shared.tasks_for(spark, 50) is None and shared.tasks_for(spark, 51) == 4
+
+
+def test_pixels_are_not_sent_as_finely_as_crops_read_them(spark):
+    px = spark.range(240).select(F.floor(F.col("id") / 120).alias("img"), F.floor(F.col("id") % 120 / 12).cast("int").alias("y"), (F.col("id") % 12).cast("int").alias("x"), (F.col("id") * 7 % 50).cast("double").alias("v"))
+    squares = spark.range(4).select((F.col("id") % 2).alias("img"), F.col("id").alias("label"), (20.0 + F.col("id")).alias("cx"), (3.0 + 9 * F.col("id")).alias("cy"), (9.0 + F.col("id") * 5).alias("side"), (F.col("id") * 0.7).alias("theta"))
+    fine = px.select("img", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"), "y", "x", "v").select("img", (4 * F.col("y") + F.floor(F.col("k") / 4)).cast("int").alias("y"), (4 * F.col("x") + F.col("k") % 4).alias("x"), "v")
+    told = lambda df: {(r.img, r.label, r.y, r.x): round(r.v, 9) for r in df.collect()}
+    want = told(crops.rotated(fine, squares, 5, 40, 48, ("v",)))
+    assert told(crops.rotated(px, squares, 5, 40, 48, ("v",), factor=4)) == want and len(want) == 100
