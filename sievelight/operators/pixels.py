@@ -210,8 +210,8 @@ def shapes(labelled: DataFrame) -> DataFrame:
     s = s.select(*by, "area", ((F.col("m20") + F.col("m02")) / (F.col("area") * F.col("area"))).alias("hu1"), F.when(high == 0, 1.0).otherwise(F.sqrt(low / high)).alias("aspect"), (0.5 * arc_tangent(2 * F.col("m11"), F.col("m20") - F.col("m02"))).alias("theta"))
     along = F.col("_cos") * F.col("x") + F.col("_sin") * F.col("y")
     across = F.col("_cos") * F.col("y") - F.col("_sin") * F.col("x")
-    wide = labelled.join(s.select(*by, cosine(F.col("theta")).alias("_cos"), sine(F.col("theta")).alias("_sin")), by).groupBy(*by).agg(((F.max(along) - F.min(along) + 1) * (F.max(across) - F.min(across) + 1)).alias("_box"))
-    return s.join(wide, by).withColumn("fill", F.col("area") / F.col("_box")).drop("_box")
+    wide = labelled.join(s.select(*by, cosine(F.col("theta")).alias("_cos"), sine(F.col("theta")).alias("_sin")).hint("merge"), by).groupBy(*by).agg(((F.max(along) - F.min(along) + 1) * (F.max(across) - F.min(across) + 1)).alias("_box"))
+    return s.join(wide.hint("merge"), by).withColumn("fill", F.col("area") / F.col("_box")).drop("_box")
 
 
 def hull_area(points: Iterable[tuple[int, int]]) -> float:

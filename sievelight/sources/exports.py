@@ -1,15 +1,18 @@
 """Evaluation exports as a data source: a folder with manifest.json and the records of teach, parts and negatives, a file each, with a
 picture beside some.
 
-Reading lists the folder once, refuses a manifest of another schema, and deals files out to tasks. Writing puts each record's files into
+Reading lists the folder once, refuses a manifest of another schema, and deals files out to tasks. Records grow with the data, so the
+driver keeps a few bytes a file, and joins of records are by sorting. Writing puts each record's files into
 <name>.tmp from the tasks; the commit writes the manifest with what the tasks counted and renames the folder, and what did not commit
 is not an export.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,11 +44,22 @@ def _folder(path: str) -> tuple[fs.FileSystem, str]:
 @dataclass
 class Some(InputPartition):
     kind: str
-    names: list[str]
+    names: str  # joined by slashes: a string a task, not one a file
 
     def __init__(self, kind: str, names: list[str]):
         super().__init__((kind, len(names)))
-        self.kind, self.names = kind, names
+        self.kind, self.names = kind, "/".join(names)
+
+
+def _listed(files: fs.FileSystem, folder: str) -> Iterator[str]:
+    """The names of the records in a folder without their .json; of a local one as they are read, never all at once."""
+    if isinstance(files, fs.LocalFileSystem):
+        if not os.path.isdir(folder):
+            return
+        with os.scandir(folder) as found:
+            yield from (f.name[:-5] for f in found if f.name.endswith(".json") and f.is_file())
+    else:
+        yield from (f.base_name[:-5] for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.is_file and f.base_name.endswith(".json"))
 
 
 class Reader(DataSourceReader):
@@ -57,15 +71,13 @@ class Reader(DataSourceReader):
         files, at = _folder(self.path)
         out: list[InputPartition] = []
         for kind in self.kinds:
-            found = files.get_file_info(fs.FileSelector(f"{at}/{kind}", allow_not_found=True))
-            names = sorted(f.base_name for f in found if f.is_file and f.base_name.endswith(".json"))
-            out += [Some(kind, names[k : k + self.per_task]) for k in range(0, len(names), self.per_task)]
+            out += [Some(kind, names) for names in itertools.batched(_listed(files, f"{at}/{kind}"), self.per_task)]
         return out or [Some(self.kinds[0], [])]
 
     def read(self, partition: Some) -> Iterator[tuple]:
         files, at = _folder(self.path)
-        for name in partition.names:
-            base = f"{at}/{partition.kind}/{name[:-5]}"
+        for name in filter(None, partition.names.split("/")):
+            base = f"{at}/{partition.kind}/{name}"
             with files.open_input_file(f"{base}.json") as f:
                 record = f.read().decode()
             json.loads(record)  # what is no JSON fails the read
@@ -73,7 +85,7 @@ class Reader(DataSourceReader):
             if files.get_file_info(f"{base}.jpg").is_file:
                 with files.open_input_file(f"{base}.jpg") as f:
                     picture = f.read()
-            yield partition.kind, name[:-5], record, picture
+            yield partition.kind, name, record, picture
 
 
 @dataclass
@@ -196,14 +208,14 @@ def consistency(records: DataFrame, gh: int, gw: int, factor: int) -> DataFrame:
     """name, cov_off (patches whose stored coverage isn't what mask and crop give), cov_max, geometry_max (largest relative difference of
     the stored geometry) and theta_max of the records (name, mask, crop, cov, geometry, theta) that have a mask."""
     numbers = records.where("mask is not null").select("name", F.xxhash64("name").alias("img"), "mask", "crop", "cov", "geometry", "theta")
-    on = mask_pixels(numbers).join(numbers.select("name", "img"), "name").select("img", "y", "x", F.lit(1).alias("label"))
+    on = mask_pixels(numbers).join(numbers.select("name", "img").hint("merge"), "name").select("img", "y", "x", F.lit(1).alias("label"))
     squares = numbers.where("crop is not null and cov is not null").select("img", F.lit(1).alias("label"), F.col("crop.x0").alias("x0"), F.col("crop.y0").alias("y0"), F.col("crop.side").alias("side"))
     again = crops.coverage(on, squares, gh, gw, factor).select("img", (F.col("r") * gw + F.col("c")).alias("p"), F.col("cov").alias("now"))
     stored_ = numbers.select("img", F.posexplode("cov").alias("p", "cov"))
     off = F.abs(F.col("cov") - F.col("now"))
-    cover = stored_.join(again, ["img", "p"]).groupBy("img").agg(F.count_if(off > 0).alias("cov_off"), F.max(off).alias("cov_max"))
-    shape = pixels.shapes(on).join(pixels.solidity(on).select("img", "label", "solidity"), ["img", "label"])
+    cover = stored_.join(again.hint("merge"), ["img", "p"]).groupBy("img").agg(F.count_if(off > 0).alias("cov_off"), F.max(off).alias("cov_max"))
+    shape = pixels.shapes(on).join(pixels.solidity(on).select("img", "label", "solidity").hint("merge"), ["img", "label"])
     far = lambda c: F.abs(F.col(c) - F.col(f"geometry.{c}")) / F.greatest(F.abs(F.col(f"geometry.{c}")), F.lit(1e-12))
-    geometry = shape.withColumnRenamed("theta", "now").join(numbers.select("img", "name", "geometry", "theta"), "img")
+    geometry = shape.withColumnRenamed("theta", "now").join(numbers.select("img", "name", "geometry", "theta").hint("merge"), "img")
     told = geometry.select("img", "name", F.greatest(*(far(c) for c in ("area", "fill", "aspect", "hu1", "solidity"))).alias("geometry_max"), F.abs(F.col("now") - F.col("theta")).alias("theta_max"))
-    return told.join(cover, "img", "left").select("name", F.coalesce("cov_off", F.lit(0)).alias("cov_off"), "cov_max", "geometry_max", "theta_max")
+    return told.join(cover.hint("merge"), "img", "left").select("name", F.coalesce("cov_off", F.lit(0)).alias("cov_off"), "cov_max", "geometry_max", "theta_max")

@@ -67,3 +67,17 @@ def test_consistency_tells_what_is_off(spark):
     short = rows.withColumn("mask", exports.F.expr("named_struct('x', 2, 'y', 1, 'w', 3, 'h', 3, 'rle', array(0, 1, 2))"))
     with pytest.raises(Exception, match="do not fill"):
         exports.mask_pixels(short).count()
+
+
+def test_the_driver_keeps_a_string_a_task_and_broadcasts_no_records(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/d"
+    exports.write(_records(spark), path, {})
+    (tmp_path / "d" / "teach" / "note.txt").write_text("no record")
+    monkeypatch.setattr(exports.fs, "FileSelector", None)  # a local folder is read as it is listed, not at once
+    parts = exports.Reader(path, list(exports.KINDS), 2).partitions()
+    assert sorted(len(p.names.split("/")) for p in parts) == [1, 1, 2, 2] and all(isinstance(p.names, str) for p in parts)
+    read = sorted((k, n) for p in parts for k, n, _, _ in exports.Reader(path, list(exports.KINDS), 2).read(p))
+    assert read == [("negatives", "0000"), *(("teach", f"{k:04d}") for k in range(5))]
+    monkeypatch.undo()
+    rows = spark.createDataFrame(_records(spark).where("kind = 'teach'").collect(), SHAPE)
+    assert "Broadcast" not in exports.consistency(rows, 2, 2, 1)._jdf.queryExecution().executedPlan().toString()
